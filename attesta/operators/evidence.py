@@ -106,10 +106,13 @@ def worth_scanning(pack: RulePack) -> Column:
 
 def evidence_hits(claimed: DataFrame, pack: RulePack) -> DataFrame:
     """Rows with ``marked`` and ``claimed`` (term -> claim id) to one row per match."""
+    # Rows without claims are dropped by the generator: a filter would be pushed down and
+    # make the claims be worked out twice.
+    texts = F.when(F.size("claimed") > 0, haystacks())
     per_text = (
-        claimed.select("facility_id", "claimed", F.posexplode_outer(haystacks()).alias("hay_ord", "h"))
+        claimed.select("facility_id", "claimed", F.posexplode_outer(texts).alias("hay_ord", "h"))
         .select("facility_id", "claimed", "hay_ord", "h.source_field", "h.text")
-        .filter(F.col("text").isNotNull() & (F.size("claimed") > 0) & worth_scanning(pack))
+        .filter(F.col("text").isNotNull() & worth_scanning(pack))
     )
     per_hit = (
         per_text.select(

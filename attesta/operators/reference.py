@@ -65,25 +65,32 @@ def build_district_health(source: DataFrame) -> DataFrame:
     )
 
 
+def with_lookup(rows: DataFrame, directory: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Left lookup on a unique key.
+
+    Rows without a key cannot match; each gets a key of its own, so that they do not
+    all meet in one task. No broadcast is forced: the planner takes one when it measures
+    the directory small enough, and splits a key with very many rows otherwise.
+    """
+    own = F.concat(F.lit("\x00"), F.col(row_id))
+    keyed = rows.withColumn("_key", F.coalesce(F.col(key), own))
+    return keyed.join(directory.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
+
 def resolve_with_provenance(
     entities: DataFrame, pincodes: DataFrame, canonical: DataFrame | None = None
 ) -> DataFrame:
     """Add state, district and where the state came from.
 
-    The postcode wins; else the raw state if it is a canonical name; else nothing. The
-    lookup side is unique by key. No broadcast is forced: the planner picks one when the
-    directory is measured small enough, and splits a skewed postcode otherwise.
+    The postcode wins; else the raw state if it is a canonical name; else nothing.
     ``canonical`` replaces the fixed list by a table with one ``state`` column.
     """
-    looked_up = entities.join(
-        pincodes.select(
-            "pincode",
-            F.col("statename").alias("pincode_state"),
-            F.col("district").alias("pincode_district"),
-        ),
+    directory = pincodes.select(
         "pincode",
-        "left",
+        F.col("statename").alias("pincode_state"),
+        F.col("district").alias("pincode_district"),
     )
+    looked_up = with_lookup(entities, directory, "pincode", "facility_id")
     if canonical is None:
         known = F.col("state_raw").isin(*CANONICAL_STATES)
     else:
@@ -107,7 +114,8 @@ def resolve_with_provenance(
 def attach_district(entities: DataFrame, pincodes: DataFrame) -> DataFrame:
     """Fallback: keep a known state, else the postcode's; district by postcode."""
     p = pincodes.select("pincode", "statename", "district")
-    return entities.select("facility_id", "state", "pincode").join(p, "pincode", "left").select(
+    rows = entities.select("facility_id", "state", "pincode")
+    return with_lookup(rows, p, "pincode", "facility_id").select(
         "facility_id",
         F.coalesce("state", "statename").alias("state_resolved"),
         F.col("district").alias("district_resolved"),

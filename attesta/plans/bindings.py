@@ -18,12 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _lines(part: int) -> Column:
     """Every third line, so that the three array fields together hold the whole text."""
-    return F.filter(F.split(F.col("text"), "\n"), lambda _, i: i % 3 == part)
+    return F.filter(F.col("lines"), lambda _, i: i % 3 == part)
 
 
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as cleaned facilities: prose plus three text arrays and a code array."""
-    return spread(table(spark, sf_dir, "documents")).select(
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("lines", F.split("text", "\n"))
+    return docs.select(
         F.col("doc_id").cast("string").alias("facility_id"),
         F.concat_ws(" ", F.lit("Document"), F.col("doc_id")).alias("name"),
         F.col("source").alias("city"),
@@ -142,10 +143,21 @@ def district_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(table(spark, sf_dir, "events"))
+
+
+def verdict_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log, read as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return _verdicts(files.parquet(sf_dir))
+
+
+def _verdicts(events: DataFrame) -> DataFrame:
     """Events as the reviewer verdict log; clicks carry a status outside the domain."""
     kind = F.col("event_type")
     number = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         number.alias("facility_id"),
         F.when(kind != "view", F.concat(F.lit("claim "), number)).alias("claim_id"),
         F.concat(F.lit("planner "), F.col("user_id")).alias("planner_id"),

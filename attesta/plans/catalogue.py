@@ -14,6 +14,7 @@ from ..operators import (
 )
 from ..packs import CARE_PACK, NOTICE_INDICATORS, NOTICE_PACK
 from ..sources import tables as src
+from ..streaming import verdicts
 from . import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,17 @@ def sample_rows(spark, d):
     return src.sample_rows(b.table(spark, d, "customer"), "c_custkey", 3)
 
 
+@query
+def parameterised_sql(spark, d):
+    return src.query(
+        spark,
+        "SELECT source, count(*) AS documents, sum(n_chars) AS chars FROM {docs} "
+        "WHERE lang = :lang AND n_chars >= :least GROUP BY source",
+        {"lang": "en", "least": 100},
+        docs=b.table(spark, d, "documents"),
+    )
+
+
 @query
 def bronze_copy(spark, d):
     return src.materialise(b.table(spark, d, "customer"), "bronze_copy")
@@ -316,10 +328,7 @@ def indicator_map(spark, d):
 
 @query
 def indicator_filter(spark, d):
-    kept = indicators.filter_by_indicators(
-        _docs(spark, d), NOTICE_INDICATORS, required=("english",), hide_caveats=True
-    )
-    return kept.select("facility_id", "name", "state", "city")
+    return _reachable(spark, d).select("facility_id", "name", "state", "city")
 
 
 @query
@@ -364,7 +373,7 @@ def parse_response(spark, d):
     parsed = inference.parse_response(F.col("response"), ("click", "view", "signup"))
     return (
         _answers(spark, d).withColumn("a", parsed)
-        .select("event_id", "a.claim_value", F.round("a.confidence", 6).alias("confidence"))
+        .select("event_id", "a.claim_value", "a.confidence")
     )
 
 
@@ -397,6 +406,24 @@ def browse_counts(spark, d):
     return serving.browse_counts(_trust(spark, d), _docs(spark, d), "src1")
 
 
+def _reachable(spark, d):
+    """One filtered relation for both the list and its counts."""
+    return indicators.filter_by_indicators(
+        _docs(spark, d), NOTICE_INDICATORS, required=("english",), hide_caveats=True
+    )
+
+
+@query
+def triage_filtered(spark, d):
+    rows = serving.triage(_trust(spark, d), _reachable(spark, d), "common", limit=50)
+    return _rounded(rows.select("facility_id", "name", "trust_score", "status"), "trust_score")
+
+
+@query
+def browse_counts_filtered(spark, d):
+    return serving.browse_counts(_trust(spark, d), _reachable(spark, d))
+
+
 @query
 def prefix_search(spark, d):
     f = _docs(spark, d)
@@ -536,6 +563,11 @@ def verifications_latest(spark, d):
     return actions.latest_verdicts(b.verdict_log(spark, d))
 
 
+@query
+def verifications_stream(spark, d):
+    return verdicts.latest_from_stream(b.verdict_stream(spark, d))
+
+
 @query
 def annotations_log(spark, d):
     return actions.valid_notes(b.note_log(spark, d))

@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     A folder of this machine is taken only in local mode with the setting unset.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -75,18 +77,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     The written copy outlives lost executors, so what follows never recomputes it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that no other run uses."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def create_namespace(spark: SparkSession, names: Tables) -> None:
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {names.catalog}.{names.schema}")
 
 
-def query(spark: SparkSession, sql: str, params: dict | None = None) -> DataFrame:
-    """Parameterised SQL with ``:name`` markers; values never enter the text."""
-    return spark.sql(sql, args=params or {})
+def query(
+    spark: SparkSession, sql: str, params: dict | None = None, **tables: DataFrame
+) -> DataFrame:
+    """SQL with ``:name`` values, which never enter the text, and ``{name}`` tables."""
+    return spark.sql(sql, args=params or {}, **tables)
 
 
 def bronze_copy(spark: SparkSession, source: DataFrame, name: str) -> DataFrame:

@@ -56,6 +56,9 @@ add("describe_sources", "\nUNION ALL ".join(
     for t, cols in _TYPES.items() for c in cols.split(", ")
 ))
 add("sample_rows", "SELECT * FROM customer ORDER BY c_custkey LIMIT 3")
+add("parameterised_sql", """
+SELECT source, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents
+WHERE lang = 'en' AND n_chars >= 100 GROUP BY source""")
 add("bronze_copy", "SELECT * FROM customer")
 
 # --- cleaning ---------------------------------------------------------------
@@ -205,9 +208,17 @@ WITH a AS (
 SELECT event_id,
   CASE WHEN event_type = 'error' THEN NULL WHEN term IN ('click', 'view', 'signup') THEN term ELSE 'other' END AS claim_value,
   CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' THEN 0.5e0
-       ELSE round(greatest(0.0e0, least(0.75e0, conf)), 6) END AS confidence
+       ELSE greatest(0.0e0, least(0.75e0, conf)) END AS confidence
 FROM a""")
 
+_REACHABLE = f.indicators(NOTICE_INDICATORS).split("elem AS (", 1)[1]
+_reach = f""",
+{_REACHABLE[_REACHABLE.index("texts AS ("):]},
+s AS (SELECT facility_id, key, status AS istatus FROM best JOIN meta USING (rule_ord)),
+reachable AS (SELECT * FROM doc
+  WHERE facility_id IN (SELECT facility_id FROM s WHERE key = 'english' AND istatus = 'available')
+    AND facility_id NOT IN (SELECT facility_id FROM s WHERE key IN ({_caveats}) AND istatus = 'attention'))"""
+
 # --- serving ----------------------------------------------------------------
 
 _place = lambda p: f"(starts_with(lower(state), {q(p)}) OR starts_with(lower(city), {q(p)}))"
@@ -239,6 +250,13 @@ SELECT facility_id, name, city, state, pincode, latitude, longitude, round(trust
   verified_caps, unclear_caps, contradicted_caps, verified_capabilities, status, source_urls
 FROM browsed ORDER BY {RANK}, best_trust DESC NULLS LAST, name, facility_id LIMIT 200""")
 add("browse_counts", _browsed + f" SELECT count(*) AS total, {_counts} FROM browsed")
+add("triage_filtered", ctes(TRUST) + _reach + f"""
+SELECT facility_id, name, round(t.trust_score, 6) AS trust_score, status
+FROM trust t JOIN reachable USING (facility_id) WHERE capability = 'common' AND trust_score >= 0
+ORDER BY {RANK}, t.trust_score DESC, facility_id LIMIT 50""")
+add("browse_counts_filtered", _browsed.replace("FROM doc d LEFT JOIN roll", "FROM reachable d LEFT JOIN roll")
+    .replace(f" WHERE {_place('src1')}", "").replace(",\nroll AS", _reach + ",\nroll AS")
+    + f" SELECT count(*) AS total, {_counts} FROM browsed")
 add("prefix_search", ctes(f.DOC) + f"SELECT facility_id, name, state, city FROM doc WHERE {_place('src1')}")
 add("substring_search", """
 SELECT doc_id, lang, source FROM documents WHERE contains(lower(text), 'apache license')""")
@@ -326,6 +344,7 @@ add("eval_misses", PREDICTIONS + "SELECT * FROM predicted WHERE predicted_status
 
 _VERDICT = "facility_id, claim_id, planner_id, status, reason, notes, created_at, seq"
 add("verifications_latest", ctes(f.VERDICT) + f"SELECT {_VERDICT} FROM latest")
+add("verifications_stream", ORACLE_SQL["verifications_latest"])
 add("annotations_log", """
 SELECT CAST(conv_id AS VARCHAR) AS facility_id, role AS planner_id, text AS note, turn AS seq
 FROM conversations WHERE role IS NOT NULL AND trim(text) <> ''""")
