@@ -78,48 +78,52 @@ def any_of(patterns: tuple[str, ...]) -> str:
     return f"{FLAGS}{_guard(flat)}(?:{'|'.join(others)})"
 
 
+# Fills windows that reach beyond the text. It is neither a letter nor white space and has
+# no use in text (DEL). Being ASCII, it keeps the JVM's compact strings.
+PAD = "\x7f"
+
+
 def window_regex(pattern: str, width: int) -> str:
-    """Matches ``pattern`` in a text padded by ``width`` blanks.
+    """Matches ``pattern`` in a padded text; patterns may not be anchored to the text ends.
 
-    Group 1 is the whole window: ``width`` characters, the match, up to ``width``
-    characters. The first look-ahead keeps the look-behind from running at every offset.
-    The never-matching branch widens the look-behind, which Java measures in code
-    units, so that the window may hold surrogate pairs; it may not start inside one.
+    Group 1 is the whole window: ``width`` characters, the match, ``width`` characters.
+    The first look-ahead keeps the look-behind from running at every offset. The
+    never-matching branch widens the look-behind, which Java measures in code units,
+    so that the window may hold surrogate pairs; it may not start inside one.
     """
     p = ungrouped(pattern)
-    window = rf"(?=((?s:.{{{width}}})(?:{p})(?s:.{{0,{width}}})))"
+    window = rf"(?=((?s:.{{{width}}})(?:{p})(?s:.{{{width}}})))"
     behind = rf"(?<=(?![\uDC00-\uDFFF]){window}(?s:.{{{width}}})(?:|(?!).{{{width}}}))"
     return rf"{FLAGS}{_guard([p])}(?=(?:{p})){behind}(?:{p})"
 
 
-def tail_regex(pattern: str, width: int) -> str:
-    """On a whole window: group 1 is the match, group 2 the text after it."""
-    return rf"{FLAGS}\A(?s:.{{{width}}})({ungrouped(pattern)})((?s:.*))\z"
-
-
 def padded(text: Column, width: int) -> Column:
-    return F.concat(F.lit(" " * width), text)
+    return F.concat(F.lit(PAD * width), text, F.lit(PAD * width))
 
 
-def match_windows(text: Column, pattern: str, width: int) -> Column:
-    """The window of every match, as array<string>; each starts with ``width`` characters."""
-    return F.regexp_extract_all(
-        padded(text, width), F.lit(window_regex(pattern, width)), F.lit(1)
-    )
+def match_windows(padded_text: Column, pattern: str, width: int) -> Column:
+    """The window of every match, as array<string>."""
+    return F.regexp_extract_all(padded_text, F.lit(window_regex(pattern, width)), F.lit(1))
 
 
-def first_window(text: Column, window_pattern: Column, width: int) -> Column:
+def first_window(padded_text: Column, window_pattern: Column) -> Column:
     """The window of the first match of a window pattern held in a column."""
-    return F.call_function("regexp_extract", padded(text, width), window_pattern, F.lit(1))
+    return F.call_function("regexp_extract", padded_text, window_pattern, F.lit(1))
 
 
 def text_before(window: Column, width: int, n: int) -> Column:
-    """The last ``n`` characters before the match (blank-padded at the text start)."""
+    """The last ``n`` characters before the match."""
     return F.substring(window, width - n + 1, n)
 
 
-def text_after(window: Column, pattern: str, width: int) -> Column:
-    return F.regexp_extract(window, tail_regex(pattern, width), 2)
+def text_after(window: Column, width: int, n: int) -> Column:
+    """The first ``n`` characters after the match."""
+    return F.left(F.right(window, F.lit(width)), F.lit(n))
+
+
+def quote(window: Column) -> Column:
+    """A window as a snippet: without padding and without white space at its ends."""
+    return F.btrim(window, F.lit(PAD + WHITE_SPACE))
 
 
 def strip(c: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.matching import any_of, first_window, regex, short_sha1, strip, window_regex
+from ..functions.matching import (
+    any_of, first_window, padded, quote, regex, short_sha1, strip, window_regex,
+)
 from ..packs import RulePack
 from .elements import CLAIM_FIELDS, CLAIM_TYPE, TEXT_FIELDS, field_elements, non_empty
 
@@ -30,35 +32,38 @@ def _by_field(source_field: Column, values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[source_field]
 
 
+def terms(pack: RulePack) -> Column:
+    return F.array(*[F.lit(t) for t in pack.taxonomy])
+
+
 def element_hits(text: Column, pack: RulePack) -> Column:
     """Rules that fire on one element, in rule order, each with its first matching pattern."""
+    fired = [text.rlike(any_of(r.patterns)) for r in pack.rules]
     slots = []
-    for i, rule in enumerate(pack.rules):
-        fires = text.rlike(any_of(rule.patterns))
+    for rule, fires in zip(pack.rules, fired):
         for winner in pack.winners_over(rule.capability):
-            fires = fires & ~text.rlike(any_of(winner.patterns))
-        first = F.coalesce(
-            *[F.when(text.rlike(regex(p)), F.lit(j)) for j, p in enumerate(rule.patterns)]
-        )
-        hit = F.struct(
-            F.lit(rule.capability).alias("capability"),
-            F.lit(i).alias("rule_ord"),
-            first.alias("pat_ord"),
-        )
-        slots.append(F.when(fires, hit))
-    return F.filter(F.array(*slots), lambda h: h.isNotNull())
+            fires = fires & ~fired[pack.rules.index(winner)]
+        each = F.array(*[text.rlike(regex(p)) for p in rule.patterns])
+        slots.append(F.when(fires, F.array_position(each, True).cast("int") - 1))
+    hits = F.transform(
+        F.array(*slots),
+        lambda pat, rule: F.struct(rule.alias("rule_ord"), pat.alias("pat_ord")),
+    )
+    return F.filter(hits, lambda h: h["pat_ord"].isNotNull())
 
 
 def _text_claims(marked: Column, pack: RulePack) -> Column:
+    names = terms(pack)
+
     def claim(e: Column, h: Column) -> Column:
-        kind = _by_field(e["source_field"], CLAIM_TYPE)
+        kind, term = _by_field(e["source_field"], CLAIM_TYPE), F.get(names, h["rule_ord"])
         return F.struct(
             e["field_ord"].alias("field_ord"),
             e["elem_ord"].alias("elem_ord"),
             h["rule_ord"].alias("rule_ord"),
             h["pat_ord"].alias("pat_ord"),
-            h["capability"].alias("claim_value"),
-            short_sha1(F.col("facility_id"), kind, h["capability"], e["text"]).alias("claim_id"),
+            term.alias("claim_value"),
+            short_sha1(F.col("facility_id"), kind, term, e["text"]).alias("claim_id"),
             kind.alias("claim_type"),
             e["source_field"].alias("source_field"),
             e["text"].alias("element"),
@@ -81,14 +86,14 @@ def _code_claims(pack: RulePack) -> Column:
     if not owner:
         return F.array().cast(_CLAIMS)
     lookup = F.create_map(*[F.lit(x) for kv in owner.items() for x in kv])
-    terms = F.array(*[F.lit(t) for t in pack.taxonomy])
+    names = terms(pack)
     coded = F.transform(
         non_empty(field_elements("specialties", CLAIM_FIELDS.index("specialties"))),
         lambda e: F.struct(e.alias("e"), lookup[strip(e["text"])].alias("rule_ord")),
     )
 
     def claim(x: Column) -> Column:
-        e, term = x["e"], F.get(terms, x["rule_ord"])
+        e, term = x["e"], F.get(names, x["rule_ord"])
         return F.struct(
             e["field_ord"].alias("field_ord"),
             e["elem_ord"].alias("elem_ord"),
@@ -136,7 +141,7 @@ def claim_table(with_claims_: DataFrame, pack: RulePack) -> DataFrame:
         .select("facility_id", "c.*")
     )
     context = F.get(F.get(contexts, F.col("rule_ord")), F.col("pat_ord"))
-    span = strip(first_window(F.col("element"), context, SPAN_HALF))
+    span = quote(first_window(padded(F.col("element"), SPAN_HALF), context))
     is_code = F.col("source_field") == "specialties"
     shaped = rows.select(
         "facility_id",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.matching import (
-    any_of, match_windows, regex, short_sha1, strip, text_after, text_before,
+    any_of, match_windows, padded, quote, regex, short_sha1, text_after, text_before,
 )
 from ..packs import RulePack
-from .claims import SPAN_HALF, primary_claims, with_claims
+from .claims import SPAN_HALF, primary_claims, terms, with_claims
 from .elements import field_elements
 
 # Cue windows in characters, and the part of a snippet that names it.
@@ -19,11 +19,14 @@ SNIPPET_KEY_LENGTH = 64
 # Scan order of the haystacks. It differs from the claim emission order.
 SCAN_FIELDS = ("description", "capabilities", "procedures", "equipment", "specialties")
 
-_HIT = "array<struct<capability:string,claim_id:string,window:string,after:string>>"
+_HIT = "array<struct<rule_ord:int,claim_id:string,window:string>>"
 
 
-def row_primary(claims: Column) -> Column:
-    """term -> primary claim id for one entity row."""
+def row_primary(claims: Column, pack: RulePack) -> Column:
+    """Primary claim id per rule of one entity row, NULL where a rule has no claim.
+
+    Highest confidence first, then emission order. NULL as a whole without any claim.
+    """
     best_first = F.array_sort(
         F.transform(
             claims,
@@ -35,11 +38,11 @@ def row_primary(claims: Column) -> Column:
             ),
         )
     )
-    terms = F.array_distinct(F.transform(claims, lambda c: c["claim_value"]))
     ids = F.transform(
-        terms, lambda t: F.get(F.filter(best_first, lambda c: c["term"] == t), F.lit(0))["claim_id"]
+        terms(pack),
+        lambda t: F.get(F.filter(best_first, lambda c: c["term"] == t), F.lit(0))["claim_id"],
     )
-    return F.map_from_arrays(terms, ids)
+    return F.when(F.size(claims) > 0, ids)
 
 
 def haystacks() -> Column:
@@ -61,31 +64,32 @@ def haystacks() -> Column:
     return F.concat(prose.cast(text), listed.cast(text), codes.cast(text))
 
 
-def _tagged(windows: Column, pattern: str, capability: str, claim_id: Column) -> Column:
-    return F.transform(
-        windows,
-        lambda w: F.struct(
-            F.lit(capability).alias("capability"), claim_id.alias("claim_id"),
-            w.alias("window"), text_after(w, pattern, SPAN_HALF).alias("after"),
-        ),
-    )
-
-
 def scan(text: Column, claimed: Column, pack: RulePack) -> Column:
-    """All matches of all patterns of the claimed terms in one text, in pattern order."""
-    found = []
-    for rule in pack.rules:
-        claim_id = F.try_element_at(claimed, F.lit(rule.capability))
+    """All matches of all patterns of the claimed terms in one text, in pattern order.
+
+    ``claimed`` holds a claim id per rule; rules without one are not searched.
+    """
+    source = padded(text, SPAN_HALF)
+    windows, rule_of = [], []
+    for i, rule in enumerate(pack.rules):
+        asked = F.get(claimed, F.lit(i)).isNotNull()
         for p in rule.patterns:
-            hits = _tagged(match_windows(text, p, SPAN_HALF), p, rule.capability, claim_id)
-            found.append(F.when(claim_id.isNotNull(), hits))
-    return F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull())).cast(_HIT)
+            windows.append(F.when(asked, match_windows(source, p, SPAN_HALF)))
+            rule_of.append(F.lit(i))
+    rules = F.array(*rule_of)
+
+    def tagged(found: Column, k: Column) -> Column:
+        rule = F.get(rules, k)
+        return F.transform(found, lambda w: F.struct(rule, F.get(claimed, rule), w))
+
+    hits = F.transform(F.array(*windows), tagged)
+    return F.flatten(F.filter(hits, lambda a: a.isNotNull())).cast(_HIT)
 
 
-def polarity(window: Column, after: Column, pack: RulePack) -> Column:
-    denied = text_before(window, SPAN_HALF, CUE_BEFORE_WIDTH).rlike(regex(pack.cue_before)) | F.left(
-        after, F.lit(CUE_AFTER_WIDTH)
-    ).rlike(regex(pack.cue_after))
+def polarity(window: Column, pack: RulePack) -> Column:
+    before = text_before(window, SPAN_HALF, CUE_BEFORE_WIDTH)
+    after = text_after(window, SPAN_HALF, CUE_AFTER_WIDTH)
+    denied = before.rlike(regex(pack.cue_before)) | after.rlike(regex(pack.cue_after))
     return F.when(denied, F.lit("contradicts")).otherwise(F.lit("supports"))
 
 
@@ -105,10 +109,10 @@ def worth_scanning(pack: RulePack) -> Column:
 
 
 def evidence_hits(claimed: DataFrame, pack: RulePack) -> DataFrame:
-    """Rows with ``marked`` and ``claimed`` (term -> claim id) to one row per match."""
+    """Rows with ``marked`` and ``claimed`` (claim id per rule) to one row per match."""
     # Rows without claims are dropped by the generator: a filter would be pushed down and
     # make the claims be worked out twice.
-    texts = F.when(F.size("claimed") > 0, haystacks())
+    texts = F.when(F.col("claimed").isNotNull(), haystacks())
     per_text = (
         claimed.select("facility_id", "claimed", F.posexplode_outer(texts).alias("hay_ord", "h"))
         .select("facility_id", "claimed", "hay_ord", "h.source_field", "h.text")
@@ -123,10 +127,10 @@ def evidence_hits(claimed: DataFrame, pack: RulePack) -> DataFrame:
         .select("facility_id", "hay_ord", "hit_ord", "source_field", "m.*")
     )
     return per_hit.select(
-        "facility_id", "claim_id", "capability", "source_field",
+        "facility_id", "claim_id", "source_field",
         hit_order(F.col("hay_ord"), F.col("hit_ord")).alias("scan_ord"),
-        polarity(F.col("window"), F.col("after"), pack).alias("polarity"),
-        strip(F.col("window")).alias("snippet"),
+        polarity(F.col("window"), pack).alias("polarity"),
+        quote(F.col("window")).alias("snippet"),
     )
 
 
@@ -145,7 +149,9 @@ def keep_first_evidence(hits: DataFrame) -> DataFrame:
 
 def find_evidence(entities: DataFrame, pack: RulePack) -> DataFrame:
     """Entities to the evidence table; claims are found on the way, inside the row."""
-    claimed = with_claims(entities, pack).withColumn("claimed", row_primary(F.col("claims")))
+    claimed = with_claims(entities, pack).withColumn(
+        "claimed", row_primary(F.col("claims"), pack)
+    )
     return keep_first_evidence(evidence_hits(claimed, pack))
 
 
@@ -155,10 +161,15 @@ def find_evidence_for(entities: DataFrame, claims: DataFrame, pack: RulePack) ->
     Claims are folded to one small map per entity, at most one entry per term, before
     they meet the text.
     """
+    known = primary_claims(claims).filter(F.col("capability").isin(*pack.taxonomy))
+    by_term = F.map_from_entries(F.collect_list(F.struct("capability", "claim_id")))
     by_entity = (
-        primary_claims(claims)
-        .groupBy("facility_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("capability", "claim_id"))).alias("claimed"))
+        known.groupBy("facility_id")
+        .agg(by_term.alias("m"))
+        .select(
+            "facility_id",
+            F.transform(terms(pack), lambda t: F.try_element_at(F.col("m"), t)).alias("claimed"),
+        )
     )
     marked = with_claims(entities, pack).drop("claims")
     return keep_first_evidence(evidence_hits(marked.join(by_entity, "facility_id"), pack))

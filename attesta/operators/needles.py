@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.matching import padded, strip
+from ..functions.matching import PAD, padded, quote
 from ..packs import NEEDLE_CUES
 
 # Window half-width, cue reach, and scores of raw wording and of the term.
@@ -20,7 +20,7 @@ def _quoted(needle: Column) -> Column:
 def _window_pattern(needle: Column) -> Column:
     """The window pattern of the matching module with the needle in place of a pattern."""
     q, w = _quoted(needle), NEEDLE_HALF
-    window = F.concat(F.lit(rf"(?=((?s:.{{{w}}})"), q, F.lit(rf"(?s:.{{0,{w}}})))"))
+    window = F.concat(F.lit(rf"(?=((?s:.{{{w}}})"), q, F.lit(rf"(?s:.{{{w}}})))"))
     return F.concat(
         F.lit("(?iu)(?="), q, F.lit(r")(?<=(?![\uDC00-\uDFFF])"), window,
         F.lit(rf"(?s:.{{{w}}})(?:|(?!).{{{w}}}))"), q,
@@ -45,7 +45,7 @@ def needle_evidence(texts: DataFrame) -> DataFrame:
         "facility_id", "claim_value", "claim_raw", "source_field", "needle",
         F.posexplode(windows).alias("hit_ord", "window"),
     )
-    lowered = F.lower("window")
+    lowered = F.btrim(F.lower("window"), F.lit(PAD))
     at = F.instr(lowered, F.col("needle"))
     before = F.substring(lowered, F.greatest(F.lit(1), at - CUE_REACH), F.least(F.lit(CUE_REACH), at - 1))
     denied = F.lit(False)
@@ -53,7 +53,7 @@ def needle_evidence(texts: DataFrame) -> DataFrame:
         denied = denied | F.contains(before, F.lit(cue))
     return hits.select(
         "facility_id", "claim_value", "claim_raw", "source_field", "hit_ord",
-        strip(F.col("window")).alias("snippet"),
+        quote(F.col("window")).alias("snippet"),
         F.when(at == 0, F.lit("neutral")).when(denied, F.lit("contradicts"))
         .otherwise(F.lit("supports")).alias("polarity"),
         F.when(F.col("needle") == raw, F.lit(RAW_SCORE)).otherwise(F.lit(VALUE_SCORE))

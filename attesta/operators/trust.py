@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scoring import status_label, trust_score
-from ..functions.matching import strip
+from ..functions.matching import quote
 from ..packs import RulePack
-from .claims import with_claims
+from .claims import terms, with_claims
 from .evidence import (
     evidence_id, haystacks, hit_order, polarity, row_primary, scan, worth_scanning,
 )
 
 _FACT = (
-    "array<struct<capability:string,claim_id:string,window:string,after:string,confidence:double>>"
+    "array<struct<rule_ord:int,claim_id:string,window:string,confidence:double>>"
 )
 
 
@@ -54,23 +54,15 @@ def _claim_facts(claims: Column) -> Column:
     none = F.lit(None).cast("string")
     return F.transform(
         claims,
-        lambda c: F.struct(
-            c["claim_value"].alias("capability"), c["claim_id"].alias("claim_id"),
-            none.alias("window"), none.alias("after"),
-            c["extraction_confidence"].alias("confidence"),
-        ),
+        lambda c: F.struct(c["rule_ord"], c["claim_id"], none, c["extraction_confidence"]),
     ).cast(_FACT)
 
 
 def _evidence_facts(pack: RulePack) -> Column:
+    none = F.lit(None).cast("double")
     hits = scan(F.col("text"), F.col("claimed"), pack)
     return F.transform(
-        hits,
-        lambda m: F.struct(
-            m["capability"].alias("capability"), m["claim_id"].alias("claim_id"),
-            m["window"].alias("window"), m["after"].alias("after"),
-            F.lit(None).cast("double").alias("confidence"),
-        ),
+        hits, lambda m: F.struct(m["rule_ord"], m["claim_id"], m["window"], none)
     ).cast(_FACT)
 
 
@@ -94,11 +86,14 @@ def trust_facts(entities: DataFrame, pack: RulePack) -> DataFrame:
             F.lit(None).cast(_FACT).alias("claims"),
         ),
     ).cast(items)
-    base = with_claims(entities, pack).withColumn("claimed", row_primary(F.col("claims")))
+    base = with_claims(entities, pack).withColumn(
+        "claimed", row_primary(F.col("claims"), pack)
+    )
     per_item = (
         base.select(
             "facility_id", "claimed",
-            F.posexplode_outer(F.when(F.size("claimed") > 0, F.concat(own, texts))).alias("hay_ord", "h"),
+            F.posexplode_outer(F.when(F.col("claimed").isNotNull(), F.concat(own, texts)))
+            .alias("hay_ord", "h"),
         )
         .select("facility_id", "claimed", "hay_ord", "h.*")
         .filter(F.col("claims").isNotNull() | (F.col("text").isNotNull() & worth_scanning(pack)))
@@ -110,10 +105,11 @@ def trust_facts(entities: DataFrame, pack: RulePack) -> DataFrame:
         .select("facility_id", "hay_ord", "hit_ord", "f.*")
     )
     is_hit = F.col("window").isNotNull()
-    denied = polarity(F.col("window"), F.col("after"), pack) == "contradicts"
+    denied = polarity(F.col("window"), pack) == "contradicts"
     return per_fact.select(
-        "facility_id", "capability", "claim_id", "confidence",
-        F.when(is_hit, evidence_id(F.col("claim_id"), strip(F.col("window")))).alias("evidence_id"),
+        "facility_id", F.get(terms(pack), F.col("rule_ord")).alias("capability"),
+        "claim_id", "confidence",
+        F.when(is_hit, evidence_id(F.col("claim_id"), quote(F.col("window")))).alias("evidence_id"),
         # scan position with the polarity in the lowest bit: the least value is the first hit
         F.when(
             is_hit, F.shiftleft(hit_order(F.col("hay_ord"), F.col("hit_ord")), 1) + denied.cast("int")

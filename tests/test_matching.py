@@ -3,7 +3,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from attesta.functions.matching import any_of, match_windows, regex, strip, text_after, ungrouped
+from attesta.functions.matching import (
+    PAD, any_of, match_windows, padded, quote, regex, strip, text_after, text_before, ungrouped,
+)
 from attesta.packs import CARE_INDICATORS, CARE_PACK, NOTICE_INDICATORS, NOTICE_PACK
 
 ALPHABETS = (
@@ -24,18 +26,19 @@ def test_windows_equal_finditer(spark):
     texts = list(_texts(3))
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for p in (r"\bthe\b", r"\bof the\b|\bthe\b", r"\bx-?ray\b", "the"):
-        windows = df.select("i", match_windows(F.col("t"), p, 100).alias("w"))
-        rows = windows.select(
-            "i", "w", F.transform("w", lambda w: text_after(w, p, 100)).alias("a")
-        ).collect()
+        windows = df.select("i", match_windows(padded(F.col("t"), 100), p, 100).alias("w"))
+        parts = lambda w: F.array(
+            w, text_before(w, 100, 50), text_after(w, 100, 80), quote(w)
+        )
+        rows = windows.select("i", F.transform("w", parts).alias("w")).collect()
         for r in rows:
             t = texts[r.i]
             want = [
-                (t[max(0, m.start() - 100):m.start()].rjust(100) + t[m.start():m.end() + 100],
-                 t[m.end():m.end() + 100])
+                [t[max(0, m.start() - 100):m.end() + 100], t[max(0, m.start() - 50):m.start()],
+                 t[m.end():m.end() + 80], t[max(0, m.start() - 100):m.end() + 100].strip()]
                 for m in re.finditer(p, t, re.I)
             ]
-            assert list(zip(r.w, r.a)) == want
+            assert [[x.strip(PAD) for x in w] for w in r.w] == want
 
 
 def test_any_of_equals_trying_each(spark):
