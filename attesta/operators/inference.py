@@ -115,30 +115,35 @@ def parse_response(raw: Column, taxonomy: tuple[str, ...]) -> Column:
     """
     tries = F.concat(F.array(raw), F.regexp_extract_all(raw, F.lit(r"\{[^{}]*\}"), F.lit(0)))
 
-    def read(text: Column) -> Column:
-        whole = F.startswith(strip(text), F.lit("{")) & F.endswith(strip(text), F.lit("}"))
-        obj = F.from_json(F.when(whole, text), "map<string,string>")
-        term = F.when(
-            F.map_contains_key(obj, "claim_value"),
-            F.lower(strip(F.coalesce(F.try_element_at(obj, F.lit("claim_value")), F.lit("none")))),
+    def parsed(text: Column) -> Column:
+        core = strip(text)
+        whole = F.startswith(core, F.lit("{")) & F.endswith(core, F.lit("}"))
+        return F.from_json(F.when(whole, text), "map<string,string>")
+
+    def fields(obj: Column) -> Column:
+        value = F.coalesce(F.try_element_at(obj, F.lit("claim_value")), F.lit("none"))
+        return F.struct(
+            F.when(F.map_contains_key(obj, "claim_value"), F.lower(strip(value))).alias("term"),
+            strip(F.try_element_at(obj, F.lit("confidence"))).alias("given"),
         )
-        given = strip(F.try_element_at(obj, F.lit("confidence")))
+
+    def answer(f: Column) -> Column:
+        term, given = f["term"], f["given"]
         number = F.coalesce(
             F.when(given == "true", F.lit(1.0)).when(given == "false", F.lit(0.0)),
             given.try_cast("double"),
             F.lit(CONFIDENCE_DEFAULT),
         )
-        return F.when(
-            term != "",
-            F.struct(
-                F.when(term.isin(*taxonomy), term).otherwise(F.lit("other")).alias("claim_value"),
-                F.greatest(F.lit(0.0), F.least(F.lit(CONFIDENCE_CAP), number)).alias("confidence"),
-            ),
+        return F.struct(
+            F.when(term.isin(*taxonomy), term).otherwise(F.lit("other")).alias("claim_value"),
+            F.greatest(F.lit(0.0), F.least(F.lit(CONFIDENCE_CAP), number)).alias("confidence"),
         )
 
-    answers = F.filter(F.transform(tries, read), lambda a: a.isNotNull())
-    is_array = F.from_json(raw, "array<string>").isNotNull() & F.startswith(strip(raw), F.lit("["))
-    return F.when((raw != "") & ~is_array, F.get(answers, F.lit(0)))
+    # one step per transform, so that each answer is parsed once
+    found = F.filter(F.transform(F.transform(tries, parsed), fields), lambda f: f["term"] != "")
+    listed = F.startswith(strip(raw), F.lit("["))
+    is_array = listed & F.from_json(F.when(listed, raw), "array<string>").isNotNull()
+    return F.when((raw != "") & ~is_array, F.get(F.transform(found, answer), F.lit(0)))
 
 
 def ask_model(prompts: DataFrame, model: Callable[[list[str]], list[str | None]]) -> DataFrame:
