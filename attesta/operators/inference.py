@@ -146,44 +146,52 @@ def parse_response(raw: Column, taxonomy: tuple[str, ...]) -> Column:
     return F.when((raw != "") & ~is_array, F.get(F.transform(found, answer), F.lit(0)))
 
 
+def with_prompt_key(elements: DataFrame, pack: RulePack) -> DataFrame:
+    """Add the prompt and its hash; only the hash needs to travel with the elements."""
+    prompt = classify_prompt(F.col("source_field"), F.col("element"), pack)
+    return elements.withColumn("prompt", prompt).withColumn("prompt_key", F.sha1("prompt"))
+
+
 def ask_model(prompts: DataFrame, model: Callable[[list[str]], list[str | None]]) -> DataFrame:
-    """Distinct prompts to (prompt, response) in batches; a failed batch gives no answers."""
+    """Distinct (prompt_key, prompt) to (prompt_key, response), in batches.
+
+    A failed batch gives no answers and does not end the job.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
                 answers = model(batch["prompt"].tolist())
-            except Exception:  # a bad call must not end the job
+            except Exception:
                 answers = [None] * len(batch)
-            yield pd.DataFrame({"prompt": batch["prompt"], "response": answers})
+            yield pd.DataFrame({"prompt_key": batch["prompt_key"], "response": answers})
 
-    return prompts.select("prompt").distinct().mapInPandas(run, MODEL_RESPONSE)
+    distinct = prompts.groupBy("prompt_key").agg(F.min("prompt").alias("prompt"))
+    return distinct.mapInPandas(run, MODEL_RESPONSE)
 
 
 def cached_answers(
     prompts: DataFrame, model: Callable[[list[str]], list[str | None]], cache: DataFrame
 ) -> DataFrame:
     """Answers for all prompts, asking only for those that the cache does not hold."""
-    asked = prompts.select("prompt").distinct()
-    fresh = ask_model(asked.join(cache, "prompt", "left_anti"), model)
-    return cache.join(asked, "prompt", "left_semi").unionByName(fresh)
+    fresh = ask_model(prompts.join(cache, "prompt_key", "left_anti"), model)
+    asked = prompts.select("prompt_key").distinct()
+    return cache.join(asked, "prompt_key", "left_semi").unionByName(fresh)
 
 
 def model_claims(elements: DataFrame, answers: DataFrame, pack: RulePack) -> DataFrame:
-    """Claims from answered prompts; ``elements`` are unmatched elements with a prompt.
+    """Claims from answered prompts; ``elements`` are unmatched elements with a prompt key.
 
-    Terms outside the taxonomy make no claim. The answer side has one row per prompt, so
-    a prompt shared by very many elements is split by the planner's skew handling.
+    Terms outside the taxonomy make no claim; their answers are dropped before the join.
+    The answer side has one row per prompt, so a prompt shared by very many elements is
+    split by the planner's skew handling.
     """
     kind = F.create_map(*[F.lit(x) for kv in CLAIM_TYPE.items() for x in kv])[F.col("source_field")]
     quote = F.left("element", F.lit(QUOTE_LENGTH))
-    parsed = (
-        elements.join(
-            answers.select("prompt", parse_response(F.col("response"), pack.taxonomy).alias("a")),
-            "prompt",
-        )
-        .filter(F.col("a").isNotNull() & (F.col("a.claim_value") != "other"))
-    )
+    named = answers.select(
+        "prompt_key", parse_response(F.col("response"), pack.taxonomy).alias("a")
+    ).filter(F.col("a").isNotNull() & (F.col("a.claim_value") != "other"))
+    parsed = elements.join(named, "prompt_key")
     return keep_first_claim(
         parsed.select(
             "facility_id",
@@ -212,7 +220,6 @@ def classify_with_model(
     rules = classify(entities, pack)
     if model is None:
         return rules
-    left = unmatched_elements(entities, pack)
-    left = left.withColumn("prompt", classify_prompt(F.col("source_field"), F.col("element"), pack))
+    left = with_prompt_key(unmatched_elements(entities, pack), pack)
     answers = ask_model(left, model) if cache is None else cached_answers(left, model, cache)
-    return rules.unionByName(model_claims(left, answers, pack))
+    return rules.unionByName(model_claims(left.drop("prompt"), answers, pack))

@@ -65,4 +65,4 @@ VERIFICATION = _struct(
 
 ANNOTATION = _struct(facility_id=_S, planner_id=_S, note=_S, created_at=T.TimestampType(), seq=_L)
 
-MODEL_RESPONSE = _struct(prompt=_S, response=_S)
+MODEL_RESPONSE = _struct(prompt_key=_S, response=_S)

@@ -77,10 +77,11 @@ def test_evidence_of_model_claims(spark):
 
 
 def test_cache_is_asked_first(spark):
-    asked = spark.createDataFrame([("p1",), ("p2",), ("p1",)], "prompt string")
-    cache = spark.createDataFrame([("p1", "kept"), ("p9", "unused")], "prompt string, response string")
+    asked = spark.createDataFrame(
+        [("k1", "p1"), ("k2", "p2"), ("k1", "p1")], "prompt_key string, prompt string")
+    cache = spark.createDataFrame([("k1", "kept"), ("k9", "unused")], "prompt_key string, response string")
     got = cached_answers(asked, lambda ps: [f"new {p}" for p in ps], cache).collect()
-    assert sorted(tuple(r) for r in got) == [("p1", "kept"), ("p2", "new p2")]
+    assert sorted(tuple(r) for r in got) == [("k1", "kept"), ("k2", "new p2")]
     assert ask_model(asked, lambda ps: ["x"] * len(ps)).count() == 2
 
 
