@@ -22,7 +22,8 @@ WHITE_SPACE = (
 )
 
 _GROUP = re.compile(r"(\\.|\[(?:\\.|[^\]\\])*\])|\((?!\?)")
-_HEAD = re.compile(r"([A-Za-z0-9 ]|\\d|\\[+$.*?()]|\[[^\]\\^]+\])(?![?*]|\{0)")
+_TOKEN = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|.", re.DOTALL)
+_HEAD = re.compile(r"([A-Za-z0-9 #@%]|\\d|\\[+$.*?()]|\[[^\]\\^]+\])(?![?*]|\{0)")
 
 
 def ungrouped(pattern: str) -> str:
@@ -30,22 +31,52 @@ def ungrouped(pattern: str) -> str:
     return _GROUP.sub(lambda m: m.group(1) or "(?:", pattern)
 
 
-def _one_branch(pattern: str) -> bool:
-    return "|" not in re.sub(r"\(\?:[^()]*\)|\\\|", "", pattern)
-
-
-def _head(pattern: str) -> str | None:
-    """What the first character must be, as an item of a character class."""
-    if not _one_branch(pattern):
-        return None
-    found = _HEAD.match(pattern.removeprefix(r"\b"))
-    return found.group(1) if found else None
+def _branches(pattern: str) -> list[str]:
+    """The alternatives on the top level of a pattern."""
+    out, depth = [""], 0
+    for token in _TOKEN.findall(pattern):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += token
+    return out
+
+
+def _heads(pattern: str) -> list[str] | None:
+    """What the first character can be, as items of a character class; None if unknown."""
+    heads: list[str] = []
+    for branch in _branches(pattern):
+        rest = branch.removeprefix(r"\b")
+        if rest.startswith("(?:"):
+            inner, tail = _first_group(rest)
+            found = None if re.match(r"[?*]|\{0", tail) else _heads(inner)
+        else:
+            head = _HEAD.match(rest)
+            found = [head.group(1)] if head else None
+        if found is None:
+            return None
+        heads += found
+    return heads
+
+
+def _first_group(pattern: str) -> tuple[str, str]:
+    """Content of the group that a pattern starts with, and what follows the group."""
+    depth, used = 0, ""
+    for token in _TOKEN.findall(pattern):
+        depth += (token == "(") - (token == ")")
+        used += token
+        if depth == 0:
+            break
+    return used[3:-1], pattern[len(used):]
 
 
 def _guard(patterns: list[str]) -> str:
     """Look-ahead at one character, which is far cheaper than a word-boundary test."""
-    heads = [_head(p) for p in patterns]
-    return "" if None in heads else f"(?=[{''.join(dict.fromkeys(heads))}])"  # type: ignore
+    heads = [_heads(p) for p in patterns]
+    if any(h is None for h in heads):
+        return ""
+    return f"(?=[{''.join(dict.fromkeys(x for h in heads for x in h))}])"
 
 
 def _alternatives(tails: list[str]) -> str:
@@ -67,12 +98,9 @@ def regex(pattern: str) -> str:
 
 def any_of(patterns: tuple[str, ...]) -> str:
     """One pattern that hits wherever any of ``patterns`` does, quick to say no."""
-    flat = [
-        b for p in map(ungrouped, patterns) for b in (p.split("|") if "(" not in p else [p])
-    ]
-    flat = list(dict.fromkeys(flat))
-    bounded = [p[2:] for p in flat if p.startswith(r"\b") and _one_branch(p)]
-    others = [f"(?:{p})" for p in flat if not (p.startswith(r"\b") and _one_branch(p))]
+    flat = list(dict.fromkeys(b for p in patterns for b in _branches(ungrouped(p))))
+    bounded = [p[2:] for p in flat if p.startswith(r"\b")]
+    others = [f"(?:{p})" for p in flat if not p.startswith(r"\b")]
     if bounded:
         others.insert(0, rf"\b(?:{_alternatives(bounded)})")
     return f"{FLAGS}{_guard(flat)}(?:{'|'.join(others)})"

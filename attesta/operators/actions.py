@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import append_table
+
 VERDICTS = ("verified", "rejected", "needs_info")
 VERDICT_KEY = ("facility_id", "claim_id", "planner_id")
 NOTE_REQUIRED = ("facility_id", "planner_id", "note")
@@ -53,6 +55,15 @@ def valid_notes(log: DataFrame) -> DataFrame:
     return log.filter(ok & (F.trim("note") != ""))
 
 
+def record_verdicts(verdicts: DataFrame, log_table: str) -> None:
+    """Append valid verdicts; the latest-wins view makes a repeated key an update."""
+    append_table(valid_verdicts(verdicts), log_table)
+
+
+def add_notes(notes: DataFrame, log_table: str) -> None:
+    append_table(valid_notes(notes), log_table)
+
+
 def planner_history(rows: DataFrame, planner_id: str) -> DataFrame:
     """One reviewer's rows, newest first."""
     return rows.filter(F.col("planner_id") == planner_id).orderBy(

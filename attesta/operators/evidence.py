@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.matching import (
-    any_of, match_windows, padded, quote, regex, short_sha1, text_after, text_before,
+    match_windows, padded, quote, regex, short_sha1, text_after, text_before,
 )
 from ..packs import RulePack
 from .claims import SPAN_HALF, primary_claims, terms, with_claims
@@ -102,12 +102,6 @@ def hit_order(hay_ord: Column, hit_ord: Column) -> Column:
     return F.shiftleft(hay_ord.cast("long"), 31) + hit_ord
 
 
-def worth_scanning(pack: RulePack) -> Column:
-    """Only prose and codes still need the cheap pass; array elements are marked already."""
-    listed = ~F.col("source_field").isin("description", "specialties")
-    return listed | F.col("text").rlike(any_of(pack.patterns))
-
-
 def evidence_hits(claimed: DataFrame, pack: RulePack) -> DataFrame:
     """Rows with ``marked`` and ``claimed`` (claim id per rule) to one row per match."""
     # Rows without claims are dropped by the generator: a filter would be pushed down and
@@ -116,7 +110,7 @@ def evidence_hits(claimed: DataFrame, pack: RulePack) -> DataFrame:
     per_text = (
         claimed.select("facility_id", "claimed", F.posexplode_outer(texts).alias("hay_ord", "h"))
         .select("facility_id", "claimed", "hay_ord", "h.source_field", "h.text")
-        .filter(F.col("text").isNotNull() & worth_scanning(pack))
+        .filter(F.col("text").isNotNull())
     )
     per_hit = (
         per_text.select(

@@ -9,7 +9,7 @@ from ..functions.matching import quote
 from ..packs import RulePack
 from .claims import terms, with_claims
 from .evidence import (
-    evidence_id, haystacks, hit_order, polarity, row_primary, scan, worth_scanning,
+    evidence_id, haystacks, hit_order, polarity, row_primary, scan,
 )
 
 _FACT = (
@@ -96,7 +96,7 @@ def trust_facts(entities: DataFrame, pack: RulePack) -> DataFrame:
             .alias("hay_ord", "h"),
         )
         .select("facility_id", "claimed", "hay_ord", "h.*")
-        .filter(F.col("claims").isNotNull() | (F.col("text").isNotNull() & worth_scanning(pack)))
+        .filter(F.col("claims").isNotNull() | F.col("text").isNotNull())
     )
     facts = F.when(F.col("claims").isNotNull(), F.col("claims")).otherwise(_evidence_facts(pack))
     per_fact = (

@@ -21,11 +21,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+def query(f: Query, name: str | None = None) -> Query:
+    QUERIES[name or f.__name__] = f
     return f
 
 
+def named(name: str) -> Callable[[Query], Query]:
+    return lambda f: query(f, name)
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return b.document_entities(spark, d)
 
@@ -248,8 +252,8 @@ def primary_claim(spark, d):
     return claims.primary_claims(_claims(spark, d))
 
 
-@query
-def find_evidence(spark, d):
+@named("evidence")
+def evidence_query(spark, d):
     return _evidence(spark, d)
 
 
@@ -280,15 +284,15 @@ def _score_inputs(spark, d):
     )
 
 
-@query
-def trust_score_expression(spark, d):
+@named("trust_score")
+def trust_score_query(spark, d):
     s = _score_inputs(spark, d)
     score = trust_score(F.col("claims"), F.col("supports"), F.col("contradicts"), F.col("confidence"))
     return s.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(score, 6).alias("trust_score"))
 
 
-@query
-def status_label_expression(spark, d):
+@named("status_label")
+def status_label_query(spark, d):
     s = _score_inputs(spark, d)
     label = status_label(F.col("confidence"), F.col("supports"), F.col("contradicts"))
     return s.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", label.alias("status"))
@@ -309,8 +313,8 @@ def needle_evidence(spark, d):
     return needles.needle_evidence(texts)
 
 
-@query
-def extract_indicators(spark, d):
+@named("indicators")
+def indicators_query(spark, d):
     return indicators.indicators(_docs(spark, d), NOTICE_INDICATORS)
 
 

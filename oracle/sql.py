@@ -130,7 +130,7 @@ add("classify_codes", ctes(CLAIM) + """
 SELECT facility_id, claim_id, claim_type, claim_value, claim_raw, source_field, source_text_span,
   extraction_confidence FROM claim WHERE source_field = 'specialties'""")
 add("primary_claim", ctes(CLAIM) + "SELECT * FROM prim")
-add("find_evidence", ctes(EVIDENCE) + "SELECT * FROM evidence")
+add("evidence", ctes(EVIDENCE) + "SELECT * FROM evidence")
 add("gold_trust", ctes(TRUST) + f"SELECT {TRUST_COLUMNS} FROM trust")
 add("gold_trust_tables", ORACLE_SQL["gold_trust"])
 add("gold_trust_care", ctes(f.trust(CARE_PACK)) + f"SELECT {TRUST_COLUMNS} FROM trust")
@@ -140,10 +140,10 @@ inputs AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) % 7 AS claims, CAST(l_linenumber AS BIGINT) AS s,
     CAST(round(l_tax * 50) AS BIGINT) AS c, round(1.0e0 - l_discount * 3, 2) AS conf FROM lineitem)
 """
-add("trust_score_expression", ctes(_INPUTS) + f"""
+add("trust_score", ctes(_INPUTS) + f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({f.score('claims', 's', 'c', 'conf')}, 6) AS trust_score
 FROM inputs""")
-add("status_label_expression", ctes(_INPUTS) + f"""
+add("status_label", ctes(_INPUTS) + f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {f.label('conf', 's', 'c')} AS status FROM inputs""")
 
 _before = "substring(lw, greatest(1, idx - 40), least(40, idx - 1))"
@@ -170,7 +170,7 @@ SELECT facility_id, claim_value, claim_raw, 'description' AS source_field, CAST(
   CASE WHEN needle = lower(claim_raw) THEN 1.0e0 ELSE 0.7e0 END AS retrieval_score FROM found""")
 
 INDICATORS = f.indicators(NOTICE_INDICATORS)
-add("extract_indicators", ctes(INDICATORS) + f"""
+add("indicators", ctes(INDICATORS) + f"""
 SELECT facility_id, key, label, kind, status, source_field, left({f.strip('text')}, 200) AS source_quote,
   CAST(rule_ord AS INTEGER) AS indicator_ord FROM best JOIN meta USING (rule_ord)""")
 add("indicator_map", ctes(INDICATORS) + """

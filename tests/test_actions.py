@@ -2,7 +2,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from attesta.operators.actions import latest_verdicts, planner_history, valid_notes, validate_actions
+from attesta.operators.actions import (
+    add_notes, latest_verdicts, planner_history, record_verdicts, valid_notes, validate_actions,
+)
 from attesta.schemas import ANNOTATION, VERIFICATION
 from attesta.streaming.verdicts import append_valid, current
 
@@ -48,6 +50,18 @@ def test_notes(spark):
     assert valid_notes(spark.createDataFrame(rows, ANNOTATION)).count() == 1
 
 
+def test_log_tables_upsert_by_appending(spark):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS log_test")
+    for row in ROWS:
+        record_verdicts(spark.createDataFrame([row], VERIFICATION), "log_test.verifications")
+    log = spark.table("log_test.verifications")
+    assert log.count() == 5 and _latest(log) == WANT
+    notes = [("f", "p", "old", T0, 1), ("f", "p", " ", T0, 2), ("g", "p", "new", T0 + dt.timedelta(1), 3)]
+    add_notes(spark.createDataFrame(notes, ANNOTATION), "log_test.annotations")
+    history = planner_history(spark.table("log_test.annotations"), "p")
+    assert [r.note for r in history.collect()] == ["new", "old"]
+
+
 def test_stream_equals_batch_and_appends_once(spark, tmp_path):
     inbox, log, checkpoint = (str(tmp_path / n) for n in ("inbox", "log", "checkpoint"))
     for part in (ROWS[:3], ROWS[3:]):

@@ -44,10 +44,13 @@ def test_windows_equal_finditer(spark):
 def test_any_of_equals_trying_each(spark):
     packs = [CARE_PACK.patterns, NOTICE_PACK.patterns]
     packs += [tuple(p for r in k.rules for p in r.patterns) for k in (CARE_INDICATORS, NOTICE_INDICATORS)]
+    packs += [(c,) for k in (CARE_PACK, NOTICE_PACK) for c in (k.cue_before, k.cue_after)]
     rnd = random.Random(5)
     literal = lambda p: re.sub(r"\\b|\?|\(\?:|[()\[\]\\]|\|.*", "", p).replace("d{1,3}", "12")
     words = [literal(p) for pack in packs for p in pack] + [
         "no", "the", "ward", "é", "1.2.3.4", "1234567890123", "a.b@mail.example.com", "+49 (123) 555-1234",
+        "doesn't have", "do not have", "in house  none", "non functional", "case referred to", "not in-house",
+        "being set up", "yet to be", "$$$", "###", "version 3", "x by", "refers out",
         "X-ray", "xray", "haemodialysis", "hemodialysis", "24x7", "24 / 7", "ſurgery", "İCU", "cardıac", "",
     ]
     texts = [rnd.choice(["", " ", "é"]).join(rnd.sample(words, 3)) for _ in range(1500)] + words

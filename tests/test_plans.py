@@ -11,6 +11,7 @@ from attesta.plans.bindings import (
 )
 from attesta.plans.build import run_all
 from attesta.plans.catalogue import QUERIES
+from attesta.sources.tables import overwrite_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +77,10 @@ def test_build_writes_every_table(spark):
     assert {tuple(r) for r in gold.drop("last_computed_at").collect()} == expect
     claims, evidence = (spark.table(names.fq(t)) for t in ("silver_claim", "silver_evidence"))
     assert {tuple(r) for r in trust_from_tables(claims, evidence).collect()} == expect
+
+
+def test_overwrite_may_change_the_schema(spark):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS src")
+    assert overwrite_table(spark.range(5), "src.evolving").columns == ["id"]
+    again = overwrite_table(spark.range(3).selectExpr("id", "'x' AS kind"), "src.evolving")
+    assert again.columns == ["id", "kind"] and again.count() == 3
