@@ -17,13 +17,13 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a table that has fewer splits than cores to all cores.
+    """Give a table with splits for less than half of the cores to all cores.
 
-    Text work costs far more than moving a small table once. A table with enough
-    splits, as any large one has, is left where it is.
+    Text work costs far more than moving a small table once. A table with more splits,
+    as any large one has, is left where it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
+    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(2 * cores)
 
 
 def describe_sources(tables: dict[str, DataFrame]) -> DataFrame:
