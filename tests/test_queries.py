@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from attesta.plans.catalogue import QUERIES
+from oracle.sql import ORACLE_SQL
 
 from .compare import connect, differences
 
@@ -15,12 +17,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    assert differences(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) == []
+    assert differences(QUERIES[name](spark, SF), con, ORACLE_SQL[name]) == []
 
 
 def test_entry(spark):
