@@ -53,7 +53,7 @@ class Rule:
 RULES = (
     Rule("mean_word_length", "word_length", low=2.0, high=12.0),
     Rule("symbols_per_word", "symbols", high=0.25),
-    Rule("letters", "letters", low=0.6),
+    Rule("letters", "letters", low=0.5, min_words=20),
     Rule("stop_words", "stop_words", low=0.01, min_words=50),
     Rule("repeated_lines", "dup_lines", high=0.5),
     Rule("ellipsis_lines", "ellipsis_lines", high=0.5),
