@@ -8,18 +8,44 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import digests, events_of_turns, format_chats
 from .common import table
+from .decontaminate import leaks
+from .line_dedup import drop_repeated_lines
+from .packing import pack_documents
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .simhash import simhash_components
+from .toxicity import toxicity
 
 # Fixed value: the text of both turns of the added conversation.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in a training window."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and verdict of every document."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeated chunks of lines, and what it lost."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_repeated_lines(docs, counts=True)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chain probabilities and verdict of every document."""
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "1 - quality AS low_quality", "toxic")
+    return toxicity(table(spark, sf_dir, "documents"), labels, ("low_quality", "toxic"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from what was rendered."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,7 +64,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_chat_format": op8_chat_format,
     "op10_simhash": op10_simhash,
 }
