@@ -10,8 +10,10 @@ from .chat import digests, events_of_turns, format_chats
 from .common import table
 from .decontaminate import leaks
 from .line_dedup import drop_repeated_lines
+from .lm_score import pseudo_likelihood
 from .packing import pack_documents
 from .quality_rules import RULES, STOP_WORDS, quality_rules
+from .secret_scan import scan_secrets, span_digests
 from .simhash import simhash_components
 from .toxicity import toxicity
 
@@ -19,6 +21,11 @@ from .toxicity import toxicity
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all of them."""
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in a training window."""
     return pack_documents(table(spark, sf_dir, "documents"))
@@ -35,6 +42,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs, counts=True)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, hash and places of the secrets of every document."""
+    return span_digests(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that documents hold."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -64,9 +76,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_chat_format": op8_chat_format,
