@@ -12,6 +12,7 @@ from .decontaminate import leaks
 from .line_dedup import drop_repeated_lines
 from .lm_score import pseudo_likelihood
 from .packing import pack_documents
+from .passages import repeated_passages
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .secret_scan import scan_secrets, span_digests
 from .simhash import simhash_components
@@ -70,6 +71,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(events_of_turns(turns.unionByName(added))))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that another document holds as well."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash_components(table(spark, sf_dir, "documents"))
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_chat_format": op8_chat_format,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
 }
 
