@@ -61,14 +61,13 @@ RULES = (
 
 
 def _ratios() -> dict[str, Column]:
-    n, lines = F.col("n_words"), F.col("n_lines")
     return {
-        "word_length": F.col("word_chars") / n,
-        "symbols": F.col("n_symbols") / n,
-        "letters": F.col("n_letters") / F.col("word_chars"),
-        "stop_words": F.col("n_stop_words") / n,
-        "dup_lines": F.col("n_dup_lines") / lines,
-        "ellipsis_lines": F.col("n_ellipsis_lines") / lines,
+        "word_length": F.try_divide("word_chars", "n_words"),
+        "symbols": F.try_divide("n_symbols", "n_words"),
+        "letters": F.try_divide("n_letters", "word_chars"),
+        "stop_words": F.try_divide("n_stop_words", "n_words"),
+        "dup_lines": F.try_divide("n_dup_lines", "n_lines"),
+        "ellipsis_lines": F.try_divide("n_ellipsis_lines", "n_lines"),
     }
 
 

@@ -13,11 +13,14 @@ from .line_dedup import drop_repeated_lines
 from .lm_score import pseudo_likelihood
 from .packing import pack_documents
 from .passages import repeated_passages
-from .quality_rules import RULES, STOP_WORDS, quality_rules
+from .quality_rules import quality_rules
 from .secret_scan import scan_secrets, span_digests
 from .simhash import simhash_components
+from .sql import ORACLE_SQL
 from .toxicity import toxicity
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 # Fixed value: the text of both turns of the added conversation.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -93,5 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
 }
-
-ORACLE_SQL: dict[str, str] = {}
