@@ -191,22 +191,29 @@ def links(fps: DataFrame, radius: int = RADIUS, bound: int = SHARD_BOUND) -> Dat
     return sorted_shards.mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, __row, fp, root): rows with their fingerprint and the smallest one reachable from it."""
-    kept = materialise(fingerprints(numbered(texts(docs, id_col, text_col))), "fingerprints")
-    reached = components(links(kept.select("fp").distinct()))
+def _fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return materialise(fingerprints(numbered(texts(docs, id_col, text_col))), "fingerprints")
+
+
+def _by_root(folded: DataFrame) -> DataFrame:
+    """One row per distinct fingerprint, with the smallest fingerprint reachable from it as ``root``."""
+    reached = components(links(folded.select("fp")))
     roots = reached.select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    return kept.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return folded.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id, copies): one row per document.
 
-    ``copies`` counts the rows of the component.
+    ``copies`` counts the rows of the component. Components are folded over distinct fingerprints,
+    and only the last join meets the rows again.
     """
-    found = groups(docs, id_col, text_col)
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("copies"))
-    return found.join(least, "root").select(
+    kept = _fingerprinted(docs, id_col, text_col)
+    folded = kept.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    found = _by_root(folded)
+    per_root = found.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("copies"))
+    per_fp = found.select("fp", "root").join(per_root, "root").drop("root")
+    return kept.join(per_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies"
     )
 
@@ -216,7 +223,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``docs`` has to be a written table, as its rows are numbered by their places.
     """
-    found = groups(docs, id_col, text_col)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    first = found.groupBy("root").agg(F.min(place).alias("p")).select(F.col(f"p.{ROW}").alias(ROW))
-    return numbered(docs).join(first, ROW, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    folded = _fingerprinted(docs, id_col, text_col).groupBy("fp").agg(F.min(place).alias("p"))
+    first = _by_root(folded).groupBy("root").agg(F.min("p").alias("p"))
+    return numbered(docs).join(first.select(f"p.{ROW}"), ROW, "left_semi").select(
+        *[f"`{c}`" for c in docs.columns]
+    )

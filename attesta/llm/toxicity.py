@@ -4,8 +4,9 @@ The categories are label columns, in the order of the chain. A model sees the te
 the earlier probabilities. While fitting, earlier probabilities are out-of-fold predictions, so a later
 model learns from inputs as uncertain as those it meets when scoring.
 
-Features: ``log(1 + count)`` of the words that speak for a category in the labelled sample (document
-frequencies, smoothed log odds over their standard error), and a few ratios of the whole text.
+Features: count and density of the terms that speak for a category in the labelled sample (document
+frequencies, smoothed log odds over their standard error), and a few ratios of the whole text. Terms are
+words and word beginnings, as languages that inflect or compound vary a stem.
 Fitting takes at most ``MAX_TRAIN`` labelled documents, those with the smallest hash of their id; words
 are counted and features made by Spark, and only the sample's feature rows (a bounded number of
 numbers each) reach the driver, where numpy fits ridge-penalised logistic regressions. Scoring reads every
@@ -34,10 +35,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_batches, materialise, texts
 
 MAX_TRAIN = 8192
-WORDS_PER_CATEGORY = 128
+TERMS_PER_CATEGORY = 64
+STEMS = (3, 4, 5, 6, 7)
 LEAST_DOCS = 5
 FOLDS = 5
-RIDGE = 0.5
+RIDGE = 0.1
 PRECISION = 0.95
 LEAST_THRESHOLD = 0.5
 STEPS = 25
@@ -62,21 +64,35 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def term_counts(found: list[str]) -> Counter:
+    """How often each word and each beginning of a longer word occurs."""
+    out: Counter = Counter()
+    for w, n in Counter(found).items():
+        out[w] += n
+        for k in STEMS:
+            if len(w) > k:
+                out[w[:k] + "*"] += n
+    return out
+
+
 def features(text: str, words: dict[str, int]) -> np.ndarray:
-    """Word features, then log length, word length, and shares of capitals, digits, symbols, new words."""
+    """Counts and densities of terms, then log length, word length, and shares of capitals, digits,
+    symbols and distinct words."""
     found = tokens(text)
-    out = np.zeros(len(words) + RATIOS)
-    for w, n in Counter(w for w in found if w in words).items():
-        out[words[w]] = np.log1p(n)
+    n, size = max(1, len(found)), max(1, len(text))
+    out = np.zeros(2 * len(words) + RATIOS)
+    for w, c in term_counts(found).items():
+        if w in words:
+            out[words[w]] = np.log1p(c)
+            out[len(words) + words[w]] = np.sqrt(100 * c / n)
     raw = np.frombuffer(text.encode(), np.uint8)
-    n, size = max(1, len(found)), max(1, len(raw))
-    letters = np.count_nonzero(((raw | 32) >= 97) & ((raw | 32) <= 122)) + np.count_nonzero(raw > 127)
+    letters = np.count_nonzero(((raw | 32) >= 97) & ((raw | 32) <= 122)) + np.count_nonzero(raw > 191)
     capitals = np.count_nonzero((raw >= 65) & (raw <= 90))
     digits = np.count_nonzero((raw >= 48) & (raw <= 57))
     spaces = np.count_nonzero(raw <= 32)
-    out[len(words) :] = (
+    out[2 * len(words) :] = (
         np.log1p(len(found)), min(50.0, sum(map(len, found)) / n), capitals / size, digits / size,
-        (size - letters - digits - spaces) / size, len(set(found)) / n,
+        max(0, size - letters - digits - spaces) / size, len(set(found)) / n,
     )
     return out
 
@@ -102,7 +118,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarr
         curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(curve, slope)
         w = w + step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -156,14 +172,14 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], bou
     return materialise(docs.join(F.broadcast(chosen), "doc_id"), "labelled-sample")
 
 
-def _telling_words(sample: DataFrame, n_categories: int) -> list[str]:
+def _telling_terms(sample: DataFrame, n_categories: int) -> list[str]:
     """The words whose log odds between the classes lie furthest above zero, for each category."""
     ys = [f"y{n}" for n in range(n_categories)]
 
     def make(batch):
         at, word = [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
-            own = set(tokens(text))
+            own = term_counts(tokens(text))
             at += [i] * len(own)
             word += own
         at = pa.array(at, pa.int32())
@@ -180,10 +196,18 @@ def _telling_words(sample: DataFrame, n_categories: int) -> list[str]:
         pos, neg = F.col(y) + 0.5, F.col("n") - F.col(y) + 0.5
         all_pos, all_neg = (sizes[y] or 0) + 1.0, sizes["n"] - (sizes[y] or 0) + 1.0
         z = F.log(pos / all_pos / (neg / all_neg)) / F.sqrt(1 / pos + 1 / neg)
-        for row in seen.select("word", z.alias("z")).orderBy(F.desc("z"), "word").limit(
-            WORDS_PER_CATEGORY
-        ).collect():
-            out[row["word"]] = None
+        ranked = seen.select("word", z.alias("z")).filter("z > 0").orderBy(
+            F.desc("z"), F.desc(F.length("word")), "word"
+        )
+        chosen: list[str] = []
+        # Bounded: the terms asked for and some spare, as those that share a stem say the same.
+        for row in ranked.limit(8 * TERMS_PER_CATEGORY).collect():
+            stem = row["word"].rstrip("*")
+            if len(chosen) < TERMS_PER_CATEGORY and not any(
+                stem.startswith(c) or c.startswith(stem) for c in (t.rstrip("*") for t in chosen)
+            ):
+                chosen.append(row["word"])
+        out |= dict.fromkeys(chosen)
     return list(out)
 
 
@@ -204,7 +228,7 @@ def fit_chain(
     """Fit the chain on the documents that have all labels, ``max_train`` of them at most."""
     n = len(categories)
     sample = _sample(texts(docs), labels, categories, max_train)
-    words = {w: i for i, w in enumerate(_telling_words(sample, n))}
+    words = {w: i for i, w in enumerate(_telling_terms(sample, n))}
     keep = ["doc_id", *[f"y{k}" for k in range(n)]]
     rows = _feature_rows(sample, words, keep).groupBy("doc_id").agg(
         *[F.min_by(c, F.xxhash64("x")).alias(c) for c in [*keep[1:], "x"]]
@@ -212,14 +236,14 @@ def fit_chain(
     # Bounded: ``max_train`` rows of some hundred numbers.
     held = sorted(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))).collect(),
                   key=lambda r: r["doc_id"])
-    size = len(words) + RATIOS
+    size = 2 * len(words) + RATIOS
     x = np.array([r["x"] for r in held], float).reshape(len(held), size)
     y = np.array([[r[c] for c in keep[1:]] for r in held], float).reshape(len(held), n)
     mean, scale = np.zeros(size), np.ones(size)
     if len(held):
         # Words keep their zero; the ratios are centred, so that one penalty fits all.
-        mean[len(words) :] = x[:, len(words) :].mean(axis=0)
-        scale[len(words) :] = np.maximum(x[:, len(words) :].std(axis=0), 1e-6)
+        mean[-RATIOS:] = x[:, -RATIOS:].mean(axis=0)
+        scale[-RATIOS:] = np.maximum(x[:, -RATIOS:].std(axis=0), 1e-6)
     weights, cuts = fit_models((x - mean) / scale, y, np.array([r["fold"] for r in held], int))
     return Chain(tuple(categories), words, mean, scale, weights, cuts)
 
