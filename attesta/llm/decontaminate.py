@@ -11,8 +11,8 @@ document throughout: an occurrence with inconsistent slots is dropped. A documen
 item when consistent occurrences cover ``SHARE`` of the item's windows, or a passage of ``RUN`` words.
 
 Benchmark windows are broadcast when counted to be few; above ``BROADCAST_WINDOWS`` the join shuffles.
-Window texts travel only for windows with a placeholder. Nothing is collected by document but the
-places and slots that matched.
+Only hashes and places are compared; the texts behind matches are read once more where an item has values
+to check. Nothing is collected by document but the places and slots that matched.
 
 Defined cases: NULL texts are empty on both sides; items shorter than a window are one window of all their
 words; items without enough literal words match nothing. A document that repeats an item is listed once.
@@ -22,9 +22,9 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ROW, numbered, texts, words
+from .common import ROW, SPACE_CHARS, materialise, numbered, texts, words
 
 WINDOW = 5
 LITERALS = 3
@@ -49,14 +49,18 @@ _OPEN = r"(?<![^\x20\x09-\x0D(\[\"'])"
 
 def spaced(text: Column) -> Column:
     """The text with units apart from their numbers, so that each is a word."""
-    return F.regexp_replace(text, rf"(?i)(?<=\d)({_UNIT}){_EDGE}", " $1")
+    apart = F.regexp_replace(text, rf"(?i)(?<=\d)({_UNIT}){_EDGE}", " $1")
+    return F.when(text.rlike(r"\d"), apart).otherwise(text)
 
 
 def template(spaced_text: Column) -> Column:
     """Placeholders for numbers, units and names; one word stays one word."""
     numbers = F.regexp_replace(spaced_text, rf"{_OPEN}{_VALUE}{_EDGE}", NUMBER)
     units = F.regexp_replace(numbers, rf"(?i)(?<={NUMBER}[\x20\x09])({_UNIT}){_EDGE}", UNIT)
-    names = F.regexp_replace(units, r"(?<=[^.!?:\x20\x09-\x0D][\x20\x09])\p{Lu}[\p{L}\p{M}'’-]*", NAME)
+    valued = F.when(spaced_text.rlike(r"\d"), units).otherwise(spaced_text)
+    names = F.regexp_replace(
+        valued, r"\p{Lu}(?<=[^.!?:\x20\x09-\x0D][\x20\x09]\p{Lu})[\p{L}\p{M}'’-]*", NAME
+    )
     return F.lower(F.regexp_replace(names, r"(?<=[\p{L}\p{N}>])[.,;:!?]+(?=[\x20\x09-\x0D]|$)", ""))
 
 
@@ -64,88 +68,103 @@ def _is_slot(word: Column) -> Column:
     return F.contains(word, F.lit(NUMBER)) | F.contains(word, F.lit(UNIT)) | F.contains(word, F.lit(NAME))
 
 
-def _windows(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """ids, n_windows, place, hash, literals, raw: one row per window; raw only where a slot is."""
-    parts = rows.select(*ids, spaced(F.col("text")).alias("spaced"))
-    split = parts.select(
-        *ids, words(F.col("spaced")).alias("raw"), words(template(F.col("spaced"))).alias("words")
+def _templated(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, spaced, template: in steps, so that each text is rewritten once.
+
+    Array functions evaluate their arguments as written, also what stands there twice; a column of an
+    earlier step that is used twice stays a column.
+    """
+    apart = rows.select(*ids, spaced(F.col("text")).alias("spaced"))
+    return apart.select(
+        *ids, "spaced", F.btrim(template(F.col("spaced")), F.lit(SPACE_CHARS)).alias("template")
     )
-    coded = split.select(
-        *ids, "raw",
-        F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
-        F.transform("words", lambda w: _is_slot(w)).alias("slot"),
+
+
+def _window_hashes(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, windows: the hashes of the template windows of a text, in their order."""
+    coded = _templated(rows, ids).select(
+        *ids, F.transform(words(F.col("template")), lambda w: F.xxhash64(w)).alias("h")
     )
-    h, slot = F.col("h"), F.col("slot")
+    h = F.col("h")
     starts = F.slice(h, 1, F.greatest(F.size(h) - (WINDOW - 1), F.least(F.size(h), F.lit(1))))
-    at = lambda c, i, k: F.get(c, i + k)
-    slots = lambda i: sum(
-        (F.coalesce(at(slot, i, k).cast("int"), F.lit(0)) for k in range(1, WINDOW)),
-        at(slot, i, 0).cast("int"),
-    )
-    window = F.transform(
-        starts,
-        lambda first, i: F.struct(
-            F.xxhash64(first, *[at(h, i, k) for k in range(1, WINDOW)]).alias("hash"),
-            slots(i).alias("slots"),
-        ),
-    )
-    made = coded.select(*ids, "raw", "slot", F.size("h").alias("n"), window.alias("windows"))
-    with_raw = F.transform(
-        "windows",
-        lambda w, i: F.struct(
-            w["hash"].alias("hash"), i.alias("place"), w["slots"].alias("slots"),
-            F.when(
-                w["slots"] > 0,
-                F.transform(
-                    F.slice("raw", i + 1, WINDOW),
-                    lambda word, k: F.when(F.get(F.col("slot"), i + k), word),
-                ),
-            ).alias("raw"),
-        ),
+    return coded.select(
+        *ids,
+        F.transform(
+            starts, lambda first, i: F.xxhash64(first, *[F.get(h, i + k) for k in range(1, WINDOW)])
+        ).alias("windows"),
     )
-    return made.select(*ids, F.size("windows").alias("n_windows"), "n", F.inline(with_raw))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    rows = texts(benchmark, "item_id").withColumnRenamed("doc_id", "item_id")
-    found = _windows(rows, ["item_id"])
-    literal = F.least(F.col("n"), F.lit(WINDOW)) - F.col("slots") >= F.least(F.col("n"), F.lit(LITERALS))
-    return found.filter(literal & (F.col("n") >= LITERALS)).select(
-        "item_id", "hash", F.col("place").alias("q"), F.col("raw").alias("item_raw"),
-        F.count("*").over(_by_item()).alias("item_windows"),
+    """(item_id, hash, q, slots, item_windows): the windows that count, ``slots`` with their values."""
+    rows = texts(benchmark, "item_id").select(F.col("doc_id").alias("item_id"), "text")
+    hashed = _window_hashes(rows.withColumn("item", F.struct("item_id", "text")), ["item"])
+    bodies = _templated(hashed.select("item.item_id", "item.text", "windows"), ["item_id", "windows"])
+    split = bodies.select(
+        "item_id", "windows", words(F.col("spaced")).alias("raw"), words(F.col("template")).alias("words")
+    )
+    values = F.transform(
+        "words", lambda w, i: F.when(_is_slot(w), F.get(F.col("raw"), i))
+    )
+    valued = split.select("item_id", "windows", F.size("words").alias("n"), values.alias("values"))
+    window = F.transform(
+        "windows",
+        lambda w, i: F.struct(w.alias("hash"), i.alias("q"), F.slice("values", i + 1, WINDOW).alias("slots")),
+    )
+    found = valued.select("item_id", "n", F.inline(window))
+    literals = F.size(F.filter("slots", lambda v: v.isNull()))
+    return found.filter((F.col("n") >= LITERALS) & (literals >= LITERALS)).select(
+        "item_id", "hash", "q", "slots", F.count("*").over(Window.partitionBy("item_id")).alias("item_windows"),
     )
 
 
-def _by_item():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("item_id")
+def _document_values(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(__row, p, raw): the words of the matched windows in which the item has a value."""
+    wanted = met.filter(F.exists("slots", lambda v: v.isNotNull())).groupBy(ROW).agg(
+        F.collect_set("p").alias("places")
+    )
+    split = docs.join(wanted, ROW).select(ROW, "places", words(spaced(F.col("text"))).alias("raw"))
+    # ``raw`` stands here twice, so that it is computed once for the text and not for each place.
+    cut = F.transform(
+        "places",
+        lambda p: F.struct(
+            p.alias("p"), F.when(F.size("raw") > p, F.slice("raw", p + 1, WINDOW)).alias("raw")
+        ),
+    )
+    return split.select(ROW, cut.alias("cut")).select(ROW, F.inline_outer("cut"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, __row, item_id, matched, item_windows, slots): the pairs that a document leaks."""
+    """(doc_id, __row, item_id, matched, item_windows, changed_slots): what documents leak."""
     bench = benchmark_windows(benchmark)
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
-    seen = _windows(numbered(texts(docs)), ["doc_id", ROW]).select(
-        "doc_id", ROW, "hash", F.col("place").alias("p"), "raw"
+    rows = numbered(texts(docs))
+    # The outer form, as the plain one would make the optimizer test the arrays below, where every
+    # element would compute its text again. The join drops the empty rows.
+    seen = _window_hashes(rows, ["doc_id", ROW]).select(
+        "doc_id", ROW, F.posexplode_outer("windows").alias("p", "hash")
     )
-    met = seen.join(bench, "hash")
+    # Written, so that the texts behind the few matches are fetched without computing them again.
+    met = materialise(seen.join(bench, "hash").drop("hash"), "template-matches")
+    valued = met.join(_document_values(rows, met), [ROW, "p"], "left")
     pairs = F.filter(
-        F.arrays_zip(F.col("item_raw").alias("item"), F.col("raw").alias("doc")),
+        F.arrays_zip(F.col("slots").alias("item"), F.col("raw").alias("doc")),
         lambda x: x["item"].isNotNull() & x["doc"].isNotNull(),
     )
-    occurrences = met.groupBy("doc_id", ROW, "item_id", "item_windows", (F.col("p") - F.col("q")).alias("d")).agg(
+    no_pairs = F.array().cast("array<struct<item:string,doc:string>>")
+    occurrences = valued.groupBy(
+        "doc_id", ROW, "item_id", "item_windows", (F.col("p") - F.col("q")).alias("diagonal")
+    ).agg(
         F.collect_set("q").alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(F.coalesce(pairs, F.array().cast(
-            "array<struct<item:string,doc:string>>"))))).alias("slots"),
+        F.array_distinct(F.flatten(F.collect_set(F.coalesce(pairs, no_pairs)))).alias("slots"),
     )
     values = F.array_distinct(F.transform("slots", lambda s: s["item"]))
     consistent = occurrences.filter(F.size(values) == F.size("slots"))
-    exact = F.forall("slots", lambda s: s["item"] == s["doc"])
+    changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
     found = consistent.groupBy("doc_id", ROW, "item_id", "item_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"),
-        F.max(F.when(exact, F.lit(0)).otherwise(F.size("slots"))).alias("changed_slots"),
+        F.max(changed).alias("changed_slots"),
     )
     enough = F.least(F.ceil(F.col("item_windows") * SHARE), F.lit(RUN - WINDOW + 1))
     return found.filter(F.col("matched") >= enough)
