@@ -15,10 +15,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 ROW = "__row"
+PORTION = 4 << 20
 
 __all__ = [
-    "ROW", "SPACE", "SPACE_CHARS", "map_batches", "materialise", "numbered", "shared_dir",
-    "table", "texts", "words",
+    "ROW", "SPACE", "SPACE_CHARS", "map_batches", "materialise", "numbered", "portions",
+    "rows_only", "shared_dir", "table", "texts", "words",
 ]
 
 
@@ -49,6 +50,21 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``PORTION`` bytes, so that a task's lists of texts stay small."""
+    step = max(1, batch.num_rows * PORTION // max(1, batch.nbytes))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
+def rows_only(narrow: DataFrame) -> DataFrame:
+    """Marks a table of row keys and little else as the hashed side of a join with whole texts.
+
+    Texts then stream past it and are not sorted; each partition holds its share of the keys.
+    """
+    return narrow.hint("shuffle_hash")
+
+
 def map_batches(
     df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict]], schema: str
 ) -> DataFrame:
@@ -59,7 +75,7 @@ def map_batches(
     target = to_arrow_schema(fields)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             for columns in make(batch):
                 yield pa.RecordBatch.from_arrays(
                     [

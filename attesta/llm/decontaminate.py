@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ROW, SPACE_CHARS, materialise, numbered, texts, words
+from .common import ROW, SPACE_CHARS, materialise, numbered, rows_only, texts, words
 
 WINDOW = 5
 LITERALS = 3
@@ -123,7 +123,7 @@ def _document_values(docs: DataFrame, met: DataFrame) -> DataFrame:
     wanted = met.filter(F.exists("slots", lambda v: v.isNotNull())).groupBy(ROW).agg(
         F.collect_set("p").alias("places")
     )
-    split = docs.join(wanted, ROW).select(ROW, "places", words(spaced(F.col("text"))).alias("raw"))
+    split = docs.join(rows_only(wanted), ROW).select(ROW, "places", words(spaced(F.col("text"))).alias("raw"))
     # ``raw`` stands here twice, so that it is computed once for the text and not for each place.
     cut = F.transform(
         "places",
@@ -181,4 +181,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``docs`` has to be a written table, as its rows are numbered by their places.
     """
     found = contaminated(docs, benchmark).select(ROW).distinct()
-    return numbered(docs).join(found, ROW, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return numbered(docs).join(rows_only(found), ROW, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import ROW, map_batches, materialise, numbered
+from .common import ROW, map_batches, materialise, numbered, portions, rows_only
 
 ROLL = 2
 DIVISOR = 2
@@ -124,7 +124,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = found.join(again, "digest", "left_semi").groupBy(ROW).agg(
         F.collect_set("line").alias("wanted")
     )
-    bodies = materialise(_bodies(rows.join(wanted, ROW)), "chunk-bodies")
+    bodies = materialise(_bodies(rows.join(rows_only(wanted), ROW)), "chunk-bodies")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW, "line")
     first = bodies.groupBy("body").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     later = bodies.join(first.filter("n > 1"), "body").filter(place > F.col("first"))
@@ -138,13 +138,14 @@ def drop_repeated_lines(
 
     ``docs`` has to be a written table, as its rows are numbered by their places.
     """
-    marked = numbered(docs).join(repeated_chunks(docs, id_col, text_col), ROW, "left")
+    lost = rows_only(repeated_chunks(docs, id_col, text_col))
+    marked = numbered(docs).join(lost, ROW, "left")
     added = [StructField("removed_chunks", IntegerType()), StructField("removed_lines", IntegerType())]
     schema = StructType([*docs.schema.fields, *(added if counts else [])])
     target, names = to_arrow_schema(schema), docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             lost = batch.column("__lines").to_pylist()
             texts = _utf8(batch.column(text_col))
             gone_chunks, gone_lines = [0] * len(lost), [0] * len(lost)

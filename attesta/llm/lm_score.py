@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, materialise, texts
+from .common import map_batches, materialise, portions, texts
 
 CLASS_SIZE = 32
 CLASSES = 32
@@ -144,12 +144,12 @@ def train(params: Params, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> t
 
 def _ids(batches, vocabulary: Vocabulary) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     lookup = vocabulary.__getitem__
-    for batch in batches:
+    for batch in (part for whole in batches for part in portions(whole)):
         found = [split(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield batch, [np.fromiter(map(lookup, w), np.int64, len(w)) for w in found]
 
 
-def _portions(docs: list[np.ndarray], size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _together(docs: list[np.ndarray], size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Neighbouring documents together until they hold ``size`` words, with the first one's index."""
     start, words = 0, 0
     for i, d in enumerate(docs):
@@ -166,7 +166,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             for t in batch.column("text").cast(pa.binary()).to_pylist():
                 counts.update(split(t))
                 if len(counts) > COUNTER_BOUND:
@@ -203,7 +203,7 @@ def average(docs: DataFrame, vocabulary: Vocabulary, start: Params) -> Params:
 
     def examples(batches):
         for _, found in _ids(batches, vocabulary):
-            for _, portion in _portions(found, 4 * BATCH):
+            for _, portion in _together(found, 4 * BATCH):
                 context, y, _ = windows(portion)
                 for k in range(0, len(y), BATCH):
                     yield context[:, k : k + BATCH], y[k : k + BATCH]
@@ -239,9 +239,9 @@ def score(docs: DataFrame, vocabulary: Vocabulary, params: Params) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) of every row."""
 
     def make(batch):
-        (_, found), = _ids([batch], vocabulary)
+        found = [d for _, docs_ in _ids([batch], vocabulary) for d in docs_]
         sums = np.zeros(len(found))
-        for start, portion in _portions(found, 4 * BATCH):
+        for start, portion in _together(found, 4 * BATCH):
             context, y, owner = windows(portion)
             for k in range(0, len(y), BATCH):
                 logp = forward(params, context[:, k : k + BATCH], y[k : k + BATCH])

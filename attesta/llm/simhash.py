@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ROW, map_batches, materialise, numbered, texts
+from .common import ROW, map_batches, materialise, numbered, rows_only, texts
 from .components import components
 
 SHINGLE = 3
@@ -226,6 +226,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
     folded = _fingerprinted(docs, id_col, text_col).groupBy("fp").agg(F.min(place).alias("p"))
     first = _by_root(folded).groupBy("root").agg(F.min("p").alias("p"))
-    return numbered(docs).join(first.select(f"p.{ROW}"), ROW, "left_semi").select(
+    return numbered(docs).join(rows_only(first.select(f"p.{ROW}")), ROW, "left_semi").select(
         *[f"`{c}`" for c in docs.columns]
     )

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, materialise, texts
+from .common import map_batches, materialise, portions, texts
 
 MAX_TRAIN = 8192
 TERMS_PER_CATEGORY = 64
@@ -280,7 +280,7 @@ def drop_toxic(
     chain = fit_chain(docs, labels, categories, max_train)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             found = batch.column("text").to_pylist()
             x = np.array([features(t or "", chain.words) for t in found])
             p = chain_probabilities(chain, x.reshape(batch.num_rows, len(chain.mean)))
