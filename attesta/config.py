@@ -26,6 +26,7 @@ class Tables:
     gold_facility_trust: str = "gold_facility_trust"
     verifications: str = "verifications"
     annotations: str = "annotations"
+    model_answers: str = "model_answers"
 
     def fq(self, table: str) -> str:
         return f"{self.catalog}.{self.schema}.{table}"

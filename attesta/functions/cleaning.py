@@ -11,6 +11,14 @@ LAT_RANGE = (6.0, 37.0)
 LNG_RANGE = (68.0, 98.0)
 
 
+# Besides decimal digits, the characters that count as digits, such as superscripts.
+DIGIT = (
+    r"[\p{Nd}\u00B2\u00B3\u00B9\u1369-\u1371\u19DA\u2070\u2074-\u2079\u2080-\u2089\u2460-\u2468"
+    r"\u2474-\u247C\u2488-\u2490\u24EA\u24F5-\u24FD\u24FF\u2776-\u277E\u2780-\u2788\u278A-\u2792"
+    r"\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]"
+)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -66,10 +74,15 @@ def percent(part: Column, total: Column) -> Column:
     return F.round(F.lit(100.0) * part / F.nullif(total, F.lit(0)), 1)
 
 
-def top_urls(urls: Column, n: int = 10) -> Column:
-    """First ``n`` distinct non-empty entries, order kept."""
-    kept = F.filter(urls, lambda u: u.isNotNull() & (u != ""))
-    return F.slice(F.array_distinct(kept), 1, n)
+def top_urls(urls: Column, n: int | None = 10) -> Column:
+    """First ``n`` distinct non-empty entries, order kept; None keeps all."""
+    kept = F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & (u != "")))
+    return kept if n is None else F.slice(kept, 1, n)
+
+
+def cut(c: Column, n: int | None) -> Column:
+    """The first ``n`` characters; None keeps all."""
+    return c if n is None else F.left(c, F.lit(n))
 
 
 def display_name(c: Column) -> Column:
@@ -85,7 +98,7 @@ def display_name(c: Column) -> Column:
             F.when(core.isin(*NAME_ACRONYMS), F.upper(core))
             .when((i > 0) & core.isin(*NAME_SMALL_WORDS), core)
             .when(F.contains(token, F.lit("&")), token)
-            .when(F.startswith(token, F.lit("'")) | token.rlike(r"(?U)\d"), token)
+            .when(F.startswith(token, F.lit("'")) | token.rlike(DIGIT), token)
             .otherwise(F.concat_ws("-", pieces))
         )
 

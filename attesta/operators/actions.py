@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.tables import append_table
 
@@ -12,12 +12,50 @@ NOTE_REQUIRED = ("facility_id", "planner_id", "note")
 UPDATED = ("status", "reason", "notes")
 
 
+def _broken(checks: dict[str, Column]) -> Column:
+    """The names of the constraints that a row breaks; an undecided check counts as broken."""
+    return F.array_compact(
+        F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
+    )
+
+
+def verdict_checks() -> dict[str, Column]:
+    present = {f"null_{c}": F.col(c).isNotNull() for c in (*VERDICT_KEY, "status")}
+    domain = F.col("status").isNull() | F.col("status").isin(*VERDICTS)
+    return {**present, "status_outside_domain": domain}
+
+
+def note_checks() -> dict[str, Column]:
+    present = {f"null_{c}": F.col(c).isNotNull() for c in NOTE_REQUIRED}
+    return {**present, "blank_note": F.col("note").isNull() | (F.trim("note") != "")}
+
+
+def checked(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """The rows with ``broken``, the constraints that each of them breaks; empty for a good row."""
+    return rows.withColumn("broken", _broken(checks))
+
+
+def accepted(checked_rows: DataFrame) -> DataFrame:
+    return checked_rows.filter(F.size("broken") == 0).drop("broken")
+
+
+def rejected(checked_rows: DataFrame) -> DataFrame:
+    """The rows that break a constraint, with the names of those they break."""
+    return checked_rows.filter(F.size("broken") > 0)
+
+
 def valid_verdicts(log: DataFrame) -> DataFrame:
     """Rows that meet the constraints: keys and status present, status in the domain."""
-    ok = F.col("status").isin(*VERDICTS)
-    for c in VERDICT_KEY:
-        ok = ok & F.col(c).isNotNull()
-    return log.filter(F.coalesce(ok, F.lit(False)))
+    return accepted(checked(log, verdict_checks()))
+
+
+def stamped(rows: DataFrame) -> DataFrame:
+    """The rows with the time of writing wherever they bring none."""
+    now = F.current_timestamp()
+    if "created_at" not in rows.columns:
+        return rows.withColumn("created_at", now)
+    kind = rows.schema["created_at"].dataType
+    return rows.withColumn("created_at", F.coalesce("created_at", now.cast(kind)))
 
 
 def latest_verdicts(log: DataFrame) -> DataFrame:
@@ -49,23 +87,51 @@ def validate_actions(log: DataFrame) -> DataFrame:
 
 
 def valid_notes(log: DataFrame) -> DataFrame:
-    ok = F.lit(True)
-    for c in NOTE_REQUIRED:
-        ok = ok & F.col(c).isNotNull()
-    return log.filter(ok & (F.trim("note") != ""))
+    return accepted(checked(log, note_checks()))
 
 
-def record_verdicts(verdicts: DataFrame, log_table: str) -> None:
-    """Append valid verdicts; the latest-wins view makes a repeated key an update."""
-    append_table(valid_verdicts(verdicts), log_table)
+def _record(rows: DataFrame, checks: dict[str, Column], log_table: str, reject_table: str | None) -> None:
+    """Append good rows, stamped, to the log and the others, with what they break, to the reject table.
 
+    Nothing is lost: a row is in one of the two.
+    """
+    judged = checked(rows, checks)
+    append_table(stamped(accepted(judged)), log_table)
+    append_table(
+        rejected(judged).withColumn("rejected_at", F.current_timestamp()),
+        reject_table or f"{log_table}_rejected",
+    )
 
-def add_notes(notes: DataFrame, log_table: str) -> None:
-    append_table(valid_notes(notes), log_table)
+
+def record_verdicts(verdicts: DataFrame, log_table: str, reject_table: str | None = None) -> None:
+    """Append verdicts; the latest-wins view makes a repeated key an update.
+
+    Rows that break a constraint go to ``reject_table``, by default ``<log_table>_rejected``.
+    """
+    _record(verdicts, verdict_checks(), log_table, reject_table)
+
+
+def add_notes(notes: DataFrame, log_table: str, reject_table: str | None = None) -> None:
+    _record(notes, note_checks(), log_table, reject_table)
 
 
 def planner_history(rows: DataFrame, planner_id: str) -> DataFrame:
-    """One reviewer's rows, newest first."""
+    """One reviewer's rows of one log, newest first."""
     return rows.filter(F.col("planner_id") == planner_id).orderBy(
         F.col("created_at").desc(), F.col("seq").desc()
     )
+
+
+def planner_work(verdicts: DataFrame, notes: DataFrame, planner_id: str) -> DataFrame:
+    """One reviewer's verdicts and notes together, newest first."""
+    none = F.lit(None).cast("string")
+    shared = ("planner_id", "facility_id")
+    told = verdicts.select(
+        F.lit("verdict").alias("kind"), *shared, "claim_id", "status", "reason",
+        F.col("notes").alias("note"), "created_at", "seq",
+    )
+    noted = notes.select(
+        F.lit("note").alias("kind"), *shared, none.alias("claim_id"), none.alias("status"),
+        none.alias("reason"), "note", "created_at", "seq",
+    )
+    return planner_history(told.unionByName(noted), planner_id)

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cleaning import cut
 from ..functions.matching import (
     any_of, first_window, padded, quote, regex, short_sha1, strip, window_regex,
 )
-from ..packs import RulePack
+from ..packs import RULE_BITS, RulePack
 from .elements import CLAIM_FIELDS, CLAIM_TYPE, TEXT_FIELDS, field_elements, non_empty
 
-# Confidence by field, span half-width and quote length.
+# Confidence by field, span half-width and quote length (None: uncut).
 CONFIDENCE = {"capabilities": 0.85, "specialties": 0.80, "procedures": 0.75, "equipment": 0.75}
 SPAN_HALF = 100
 QUOTE_LENGTH = 200
 
+# Fixed value: what made a claim, where no model did.
+RULES_MODEL = "rules-v1"
+
+BROADCAST_CODES = 100_000
+
 _CLAIMS = (
     "array<struct<field_ord:int,elem_ord:int,rule_ord:int,pat_ord:int,claim_value:string,"
-    "claim_id:string,claim_type:string,source_field:string,element:string,"
+    "claim_id:string,claim_type:string,source_field:string,element:string,span:string,"
     "extraction_confidence:double>>"
 )
 
@@ -25,7 +31,7 @@ _CLAIMS = (
 def emission_order(field_ord: Column, elem_ord: Column, rule_ord: Column) -> Column:
     """Place of a claim in the entity's emission order, as one comparable long."""
     element = F.shiftleft(field_ord.cast("long"), 31) + elem_ord
-    return F.shiftleft(element, 12) + rule_ord
+    return F.shiftleft(element, RULE_BITS) + rule_ord
 
 
 def _by_field(source_field: Column, values: dict) -> Column:
@@ -36,23 +42,46 @@ def terms(pack: RulePack) -> Column:
     return F.array(*[F.lit(t) for t in pack.taxonomy])
 
 
-def element_hits(text: Column, pack: RulePack) -> Column:
-    """Rules that fire on one element, in rule order, each with its first matching pattern."""
+def _span(text: Column, patterns: tuple[str, ...]) -> Column:
+    """The text around the first match of the first pattern that matches."""
+    source = padded(text, SPAN_HALF)
+    return F.coalesce(
+        *[
+            F.when(text.rlike(regex(p)), quote(first_window(source, F.lit(window_regex(p, SPAN_HALF)))))
+            for p in patterns
+        ]
+    )
+
+
+def element_hits(text: Column, pack: RulePack, spans: bool = False) -> Column:
+    """Rules that fire on one element, in rule order, each with its first matching pattern.
+
+    With ``spans`` each hit quotes its surroundings; the patterns are literals here, so they
+    are compiled once.
+    """
     fired = [text.rlike(any_of(r.patterns)) for r in pack.rules]
     slots = []
     for rule, fires in zip(pack.rules, fired):
         for winner in pack.winners_over(rule.capability):
             fires = fires & ~fired[pack.rules.index(winner)]
         each = F.array(*[text.rlike(regex(p)) for p in rule.patterns])
-        slots.append(F.when(fires, F.array_position(each, True).cast("int") - 1))
+        span = _span(text, rule.patterns) if spans else F.lit(None).cast("string")
+        slots.append(
+            F.when(
+                fires,
+                F.struct(
+                    (F.array_position(each, True).cast("int") - 1).alias("pat_ord"), span.alias("span")
+                ),
+            )
+        )
     hits = F.transform(
         F.array(*slots),
-        lambda pat, rule: F.struct(rule.alias("rule_ord"), pat.alias("pat_ord")),
+        lambda h, rule: F.struct(rule.alias("rule_ord"), h["pat_ord"].alias("pat_ord"), h["span"].alias("span")),
     )
     return F.filter(hits, lambda h: h["pat_ord"].isNotNull())
 
 
-def _text_claims(marked: Column, pack: RulePack) -> Column:
+def _text_claims(marked: Column, pack: RulePack, spans: bool) -> Column:
     names = terms(pack)
 
     def claim(e: Column, h: Column) -> Column:
@@ -67,13 +96,14 @@ def _text_claims(marked: Column, pack: RulePack) -> Column:
             kind.alias("claim_type"),
             e["source_field"].alias("source_field"),
             e["text"].alias("element"),
+            h["span"].alias("span"),
             _by_field(e["source_field"], CONFIDENCE).alias("extraction_confidence"),
         )
 
     return F.flatten(
         F.transform(
             marked,
-            lambda e: F.transform(element_hits(e["text"], pack), lambda h: claim(e, h)),
+            lambda e: F.transform(element_hits(e["text"], pack, spans), lambda h: claim(e, h)),
         )
     ).cast(_CLAIMS)
 
@@ -104,88 +134,77 @@ def _code_claims(pack: RulePack) -> Column:
             F.lit("specialty").alias("claim_type"),
             e["source_field"].alias("source_field"),
             e["text"].alias("element"),
+            e["text"].alias("span"),
             F.lit(CONFIDENCE["specialties"]).alias("extraction_confidence"),
         )
 
     return F.transform(F.filter(coded, lambda x: x["rule_ord"].isNotNull()), claim).cast(_CLAIMS)
 
 
-def with_claims(entities: DataFrame, pack: RulePack) -> DataFrame:
+def with_claims(entities: DataFrame, pack: RulePack, spans: bool = False) -> DataFrame:
     """Add ``marked`` (elements that hit any pattern) and ``claims`` to each entity row.
 
-    Both stay inside the row: the entity's text is read once and never shuffled.
+    Both stay inside the row: the entity's text is read once and never shuffled. Quotes are
+    cut only with ``spans``.
     """
     any_rx = any_of(pack.patterns)
     texts = F.concat(*[field_elements(f, CLAIM_FIELDS.index(f)) for f in TEXT_FIELDS])
     marked = F.filter(texts, lambda e: e["text"].rlike(any_rx))
     return entities.withColumn("marked", marked).withColumn(
-        "claims", F.array_sort(F.concat(_text_claims(F.col("marked"), pack), _code_claims(pack)))
+        "claims", F.array_sort(F.concat(_text_claims(F.col("marked"), pack, spans), _code_claims(pack)))
     )
 
 
-def claim_table(with_claims_: DataFrame, pack: RulePack) -> DataFrame:
-    """Claims as rows, first emitted row per claim id.
-
-    Keep-first is a minimum over the emission position, so equal ids are folded
-    before the shuffle however often an entity is repeated.
-    """
-    contexts = F.array(
-        *[
-            F.array(*[F.lit(window_regex(p, SPAN_HALF)) for p in r.patterns])
-            for r in pack.rules
-        ]
-    )
-    rows = (
-        with_claims_.select("facility_id", F.explode_outer("claims").alias("c"))
-        .filter(F.col("c").isNotNull())
-        .select("facility_id", "c.*")
+def claim_rows(claims: DataFrame, quote_length: int | None = QUOTE_LENGTH) -> DataFrame:
+    """Rows (facility_id, c) of found claims to the columns of the claim table, repeats included."""
+    c = F.col("c")
+    is_code = c["source_field"] == "specialties"
+    return claims.select(
+        "facility_id", c["claim_id"].alias("claim_id"), c["claim_type"].alias("claim_type"),
+        c["claim_value"].alias("claim_value"),
+        F.when(is_code, c["element"]).otherwise(cut(c["element"], quote_length)).alias("claim_raw"),
+        c["source_field"].alias("source_field"), c["span"].alias("source_text_span"),
+        c["extraction_confidence"].alias("extraction_confidence"),
+        F.lit("rules").alias("extraction_method"), F.lit(RULES_MODEL).alias("llm_model"),
+        emission_order(c["field_ord"], c["elem_ord"], c["rule_ord"]).alias("claim_ord"),
     )
-    context = F.get(F.get(contexts, F.col("rule_ord")), F.col("pat_ord"))
-    span = quote(first_window(padded(F.col("element"), SPAN_HALF), context))
-    is_code = F.col("source_field") == "specialties"
-    shaped = rows.select(
-        "facility_id",
-        "claim_id",
-        F.struct(
-            emission_order(F.col("field_ord"), F.col("elem_ord"), F.col("rule_ord")).alias("claim_ord"),
-            "claim_type",
-            "claim_value",
-            F.when(is_code, F.col("element"))
-            .otherwise(F.left("element", F.lit(QUOTE_LENGTH)))
-            .alias("claim_raw"),
-            "source_field",
-            F.when(is_code, F.col("element")).otherwise(span).alias("source_text_span"),
-            "extraction_confidence",
-            F.lit("rules").alias("extraction_method"),
-        ).alias("row"),
-    )
-    return keep_first_claim(shaped)
 
 
-def keep_first_claim(shaped: DataFrame) -> DataFrame:
-    """(facility_id, claim_id, row) to the claim table; the least ``row`` per id stays."""
-    return (
-        shaped.groupBy("facility_id", "claim_id")
-        .agg(F.min("row").alias("row"))
-        .select(
-            "facility_id", "claim_id", "row.claim_type", "row.claim_value", "row.claim_raw",
-            "row.source_field", "row.source_text_span", "row.extraction_confidence",
-            "row.extraction_method", "row.claim_ord",
-        )
+def claim_table(
+    with_claims_: DataFrame, quote_length: int | None = QUOTE_LENGTH
+) -> DataFrame:
+    """Claims as rows, first emitted row per claim id; ``with_claims_`` holds claims with spans."""
+    rows = with_claims_.select("facility_id", F.explode_outer("claims").alias("c"))
+    return keep_first_claim(claim_rows(rows.filter(F.col("c").isNotNull()), quote_length))
+
+
+def keep_first_claim(rows: DataFrame) -> DataFrame:
+    """The claim table from claim rows: one row per id, at its first place.
+
+    An id is made of the entity, the type, the term and the whole element, and these fix all
+    other columns but the place. So the fold is a hash aggregate with a minimum of one long;
+    it folds before the shuffle however often an entity is repeated, and sorts no text.
+    """
+    return rows.groupBy(*[c for c in rows.columns if c != "claim_ord"]).agg(
+        F.min("claim_ord").alias("claim_ord")
     )
 
 
-def classify(entities: DataFrame, pack: RulePack) -> DataFrame:
+def classify(
+    entities: DataFrame, pack: RulePack, quote_length: int | None = QUOTE_LENGTH
+) -> DataFrame:
     """Entities to the claim table."""
-    return claim_table(with_claims(entities, pack), pack)
+    return claim_table(with_claims(entities, pack, spans=True), quote_length)
 
 
 def classify_codes(entities: DataFrame, codes: DataFrame) -> DataFrame:
     """Code claims against a code table of any size (code, capability, rule_ord).
 
-    The join key is the stripped code; the claim id keeps the raw one. No broadcast is
-    forced: the planner takes one when the code table is measured small enough.
+    The join key is the stripped code; the claim id keeps the raw one. A table counted to hold
+    at most ``BROADCAST_CODES`` rows is broadcast, so a code in a third of all rows stays where it is.
     """
+    if codes.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES:
+        codes = F.broadcast(codes)
     coded = (
         entities.select(
             "facility_id", F.posexplode_outer("specialties").alias("elem_ord", "claim_raw")
@@ -198,18 +217,17 @@ def classify_codes(entities: DataFrame, codes: DataFrame) -> DataFrame:
         F.col("facility_id"), F.lit("specialty"), F.col("capability"), F.col("claim_raw")
     )
     return (
-        coded.withColumn("claim_id", claim_id)
-        .groupBy("facility_id", "claim_id")
-        .agg(F.min(F.struct("elem_ord", "rule_ord", "capability", "claim_raw")).alias("row"))
-        .select(
-            "facility_id", "claim_id",
+        coded.select(
+            "facility_id", claim_id.alias("claim_id"),
             F.lit("specialty").alias("claim_type"),
-            F.col("row.capability").alias("claim_value"),
-            "row.claim_raw",
+            F.col("capability").alias("claim_value"),
+            "claim_raw",
             F.lit("specialties").alias("source_field"),
-            F.col("row.claim_raw").alias("source_text_span"),
+            F.col("claim_raw").alias("source_text_span"),
             F.lit(CONFIDENCE["specialties"]).alias("extraction_confidence"),
         )
+        # The id fixes all other columns, so this keeps one row per id.
+        .distinct()
     )
 
 

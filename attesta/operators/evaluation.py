@@ -9,6 +9,11 @@ from ..functions.scoring import STATUSES
 PREDICTED = (*STATUSES, "absent")
 
 
+def labelled(entities: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entities that a label names, taken before any text of the others is looked at."""
+    return entities.join(labels.select("facility_id").distinct().hint("shuffle_hash"), "facility_id", "left_semi")
+
+
 def predictions(labels: DataFrame, trust: DataFrame, fixtures: DataFrame | None = None) -> DataFrame:
     """Every label with the status found for its pair, ``absent`` without a claim.
 

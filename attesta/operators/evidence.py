@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cleaning import cut
 from ..functions.matching import (
     match_windows, padded, quote, regex, short_sha1, text_after, text_before,
 )
@@ -11,14 +12,11 @@ from ..packs import RulePack
 from .claims import SPAN_HALF, primary_claims, terms, with_claims
 from .elements import field_elements
 
-# Cue windows in characters, and the part of a snippet that names it.
+# Cue windows in characters, and the part of a snippet that names it (None: all).
 CUE_BEFORE_WIDTH = 50
 CUE_AFTER_WIDTH = 80
 SNIPPET_KEY_LENGTH = 64
 
-# Scan order of the haystacks. It differs from the claim emission order.
-SCAN_FIELDS = ("description", "capabilities", "procedures", "equipment", "specialties")
-
 _HIT = "array<struct<rule_ord:int,claim_id:string,window:string>>"
 
 
@@ -93,8 +91,11 @@ def polarity(window: Column, pack: RulePack) -> Column:
     return F.when(denied, F.lit("contradicts")).otherwise(F.lit("supports"))
 
 
-def evidence_id(claim_id: Column, snippet_: Column) -> Column:
-    return short_sha1(claim_id, F.left(snippet_, F.lit(SNIPPET_KEY_LENGTH)))
+def evidence_id(
+    claim_id: Column, snippet_: Column, key_length: int | None = SNIPPET_KEY_LENGTH
+) -> Column:
+    """Hits of a claim whose snippets share their first ``key_length`` characters are one."""
+    return short_sha1(claim_id, cut(snippet_, key_length))
 
 
 def hit_order(hay_ord: Column, hit_ord: Column) -> Column:
@@ -128,10 +129,10 @@ def evidence_hits(claimed: DataFrame, pack: RulePack) -> DataFrame:
     )
 
 
-def keep_first_evidence(hits: DataFrame) -> DataFrame:
+def keep_first_evidence(hits: DataFrame, key_length: int | None = SNIPPET_KEY_LENGTH) -> DataFrame:
     """First scanned hit per (claim, snippet key); it fixes polarity and field."""
     return (
-        hits.withColumn("evidence_id", evidence_id(F.col("claim_id"), F.col("snippet")))
+        hits.withColumn("evidence_id", evidence_id(F.col("claim_id"), F.col("snippet"), key_length))
         .groupBy("facility_id", "claim_id", "evidence_id")
         .agg(F.min(F.struct("scan_ord", "snippet", "source_field", "polarity")).alias("row"))
         .select(
@@ -141,19 +142,25 @@ def keep_first_evidence(hits: DataFrame) -> DataFrame:
     )
 
 
-def find_evidence(entities: DataFrame, pack: RulePack) -> DataFrame:
+def find_evidence(
+    entities: DataFrame, pack: RulePack, key_length: int | None = SNIPPET_KEY_LENGTH
+) -> DataFrame:
     """Entities to the evidence table; claims are found on the way, inside the row."""
     claimed = with_claims(entities, pack).withColumn(
         "claimed", row_primary(F.col("claims"), pack)
     )
-    return keep_first_evidence(evidence_hits(claimed, pack))
+    return keep_first_evidence(evidence_hits(claimed, pack), key_length)
 
 
-def find_evidence_for(entities: DataFrame, claims: DataFrame, pack: RulePack) -> DataFrame:
+def find_evidence_for(
+    entities: DataFrame, claims: DataFrame, pack: RulePack,
+    key_length: int | None = SNIPPET_KEY_LENGTH,
+) -> DataFrame:
     """Evidence for a claim table that the rules alone did not make (model claims).
 
     Claims are folded to one small map per entity, at most one entry per term, before
-    they meet the text.
+    they meet the text. That side is hashed, so texts stream past it and are not sorted; where
+    it is measured small, it is broadcast and no text moves.
     """
     known = primary_claims(claims).filter(F.col("capability").isin(*pack.taxonomy))
     by_term = F.map_from_entries(F.collect_list(F.struct("capability", "claim_id")))
@@ -166,4 +173,5 @@ def find_evidence_for(entities: DataFrame, claims: DataFrame, pack: RulePack) ->
         )
     )
     marked = with_claims(entities, pack).drop("claims")
-    return keep_first_evidence(evidence_hits(marked.join(by_entity, "facility_id"), pack))
+    met = marked.join(by_entity.hint("shuffle_hash"), "facility_id")
+    return keep_first_evidence(evidence_hits(met, pack), key_length)

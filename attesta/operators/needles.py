@@ -27,35 +27,70 @@ def _window_pattern(needle: Column) -> Column:
     )
 
 
-def needle_evidence(texts: DataFrame) -> DataFrame:
-    """Rows (facility_id, claim_value, claim_raw, source_field, text) to snippets.
+# Fields whose text is searched; the elements of a list are lines of its text.
+NEEDLE_FIELDS = ("description", "capabilities", "procedures", "equipment", "specialties")
 
-    Both needles of a claim are searched, once if they are equal. Polarity looks at what
-    stands before the first occurrence inside the snippet.
+
+def entity_texts() -> Column:
+    """(source_field, text) of all fields of an entity row."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("source_field"),
+                (F.col(f) if f == "description" else F.array_join(f, "\n")).alias("text"),
+            )
+            for f in NEEDLE_FIELDS
+        ]
+    )
+
+
+def needle_evidence(claimed: DataFrame) -> DataFrame:
+    """Rows (facility_id, claims, texts) to snippets around literal needles.
+
+    ``claims`` holds (claim_value, claim_raw) and ``texts`` (source_field, text). A claim's needles are its
+    term and its whole wording. Each distinct needle of an entity is searched once in each text,
+    and its hits are then listed for every claim that has it. Polarity looks at what stands before
+    the first occurrence inside the snippet.
     """
-    raw, value = F.lower("claim_raw"), F.lower("claim_value")
-    needles = texts.filter(F.col("text").isNotNull() & (F.col("text") != "")).select(
-        "*", F.explode(F.array_distinct(F.array(value, raw))).alias("needle")
+    needles_of = lambda c: F.array(F.lower(c["claim_value"]), F.lower(c["claim_raw"]))
+    needles = F.array_distinct(F.flatten(F.transform("claims", needles_of)))
+    asked = F.transform(
+        needles,
+        lambda n: F.struct(
+            n.alias("needle"),
+            F.filter("claims", lambda c: (F.lower(c["claim_value"]) == n) | (F.lower(c["claim_raw"]) == n))
+            .alias("own"),
+        ),
+    )
+    # Outer generators: the plain ones make the optimizer test arrays below, by working them out twice.
+    per_text = claimed.select("facility_id", "claims", F.explode_outer("texts").alias("t")).filter(
+        F.col("t.text").isNotNull() & (F.col("t.text") != "")
+    )
+    per_needle = per_text.select("facility_id", "t.*", F.explode_outer(asked).alias("a")).select(
+        "facility_id", "source_field", "text", "a.needle", "a.own"
     ).filter((F.col("needle") != "") & F.contains(F.lower("text"), F.col("needle")))
     windows = F.call_function(
         "regexp_extract_all", padded(F.col("text"), NEEDLE_HALF),
         _window_pattern(F.col("needle")), F.lit(1),
     )
-    hits = needles.select(
-        "facility_id", "claim_value", "claim_raw", "source_field", "needle",
-        F.posexplode(windows).alias("hit_ord", "window"),
-    )
+    hits = per_needle.select(
+        "facility_id", "source_field", "needle", "own", F.posexplode_outer(windows).alias("hit_ord", "window")
+    ).filter(F.col("window").isNotNull())
     lowered = F.btrim(F.lower("window"), F.lit(PAD))
     at = F.instr(lowered, F.col("needle"))
     before = F.substring(lowered, F.greatest(F.lit(1), at - CUE_REACH), F.least(F.lit(CUE_REACH), at - 1))
     denied = F.lit(False)
     for cue in NEEDLE_CUES:
         denied = denied | F.contains(before, F.lit(cue))
-    return hits.select(
-        "facility_id", "claim_value", "claim_raw", "source_field", "hit_ord",
+    judged = hits.select(
+        "facility_id", "source_field", "needle", "hit_ord",
         quote(F.col("window")).alias("snippet"),
         F.when(at == 0, F.lit("neutral")).when(denied, F.lit("contradicts"))
         .otherwise(F.lit("supports")).alias("polarity"),
-        F.when(F.col("needle") == raw, F.lit(RAW_SCORE)).otherwise(F.lit(VALUE_SCORE))
+        F.explode("own").alias("c"),
+    )
+    return judged.select(
+        "facility_id", "c.claim_value", "c.claim_raw", "source_field", "hit_ord", "snippet", "polarity",
+        F.when(F.col("needle") == F.lower("c.claim_raw"), F.lit(RAW_SCORE)).otherwise(F.lit(VALUE_SCORE))
         .alias("retrieval_score"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.cleaning import in_bbox, prefix_match
+from ..functions.cleaning import cut, in_bbox, prefix_match
 from ..functions.scoring import STATUSES, rollup_status, status_rank
 
 PLACE_COLUMNS = ("state", "city")
@@ -41,16 +41,24 @@ TRIAGE_COLUMNS = (
 
 def triage(
     trust: DataFrame, entities: DataFrame, capability: str, place: str | None = None,
-    min_trust: float = 0.0, limit: int = 200,
+    min_trust: float = 0.0, limit: int = 200, wide: DataFrame | None = None,
 ) -> DataFrame:
-    """Entities that claim a capability, best status and trust first; ties by id."""
-    columns = [c for c in TRIAGE_COLUMNS if c in entities.columns or c in trust.columns]
-    return (
-        _triaged(trust, entities, capability, place, min_trust)
-        .orderBy(status_rank(F.col("status")), F.col("trust_score").desc(), "facility_id")
-        .limit(limit)
-        .select(*columns)
+    """Entities that claim a capability, best status and trust first; ties by id.
+
+    Ids and scores are joined, ranked and cut first; texts and lists are then fetched for the
+    survivors, from ``wide`` if given, as when ``entities`` is a filter that is dear to work out twice.
+    """
+    wide = entities if wide is None else wide
+    columns = [c for c in TRIAGE_COLUMNS if c in wide.columns or c in trust.columns]
+    ranked = (status_rank(F.col("status")), F.col("trust_score").desc(), F.col("facility_id"))
+    scores = [c for c in trust.columns if c in columns]
+    narrow = entities.select("facility_id", *PLACE_COLUMNS)
+    top = (
+        _triaged(trust, narrow, capability, place, min_trust)
+        .select(*scores).distinct().orderBy(*ranked).limit(limit)
     )
+    # At most ``limit`` rows of ids and numbers.
+    return wide.join(F.broadcast(top), "facility_id").orderBy(*ranked).limit(limit).select(*columns)
 
 
 def triage_counts(
@@ -121,30 +129,42 @@ def _of(df: DataFrame, facility_id: str | None) -> DataFrame:
 def claims_with_evidence(
     claims: DataFrame, trust: DataFrame, facility_id: str | None = None
 ) -> DataFrame:
-    """Claims with the score of their pair, best trust first; all entities by default."""
+    """Claims with the score of their pair; those of one entity come best trust first.
+
+    All entities together, the default, stay unordered, as a total sort would move every row.
+    """
     t = _of(trust, facility_id).select(
         "facility_id", F.col("capability").alias("claim_value"), "trust_score", "status",
         "supporting_evidence_count", "contradicting_evidence_count",
     )
-    return (
+    joined = (
         _of(claims, facility_id)
         .join(t, ["facility_id", "claim_value"], "left")
         .select(
             "facility_id", "claim_id", "claim_type", "claim_value", "claim_raw", "source_field",
-            "source_text_span", "extraction_confidence", "trust_score", "status",
+            "source_text_span", "extraction_confidence", "llm_model", "trust_score", "status",
             "supporting_evidence_count", "contradicting_evidence_count", "claim_ord",
         )
-        .orderBy(F.col("trust_score").desc_nulls_last(), "facility_id", "claim_ord")
     )
+    if facility_id is None:
+        return joined
+    return joined.orderBy(F.col("trust_score").desc_nulls_last(), "claim_ord")
+
 
+# Fixed value: how much of a claim's wording its group lists (None: all).
+LISTED_LENGTH = 160
 
-def claim_groups(joined: DataFrame) -> DataFrame:
-    """Header per (entity, capability): status, counts and the claim that actions refer to."""
+
+def claim_groups(joined: DataFrame, listed_length: int | None = LISTED_LENGTH) -> DataFrame:
+    """Header per (entity, capability): status, counts, the claim that actions refer to, and
+    where the capability is claimed, in the order of the claims."""
+    place = F.struct("claim_ord", "source_field", cut(F.col("claim_raw"), listed_length).alias("claim_raw"))
     return (
         joined.groupBy("facility_id", F.col("claim_value").alias("capability"))
         .agg(
             F.min(F.struct("claim_ord", "claim_id", "claim_raw")).alias("first"),
             F.count("*").alias("claims"),
+            F.sort_array(F.collect_list(place)).alias("places"),
             F.max("trust_score").alias("trust_score"),
             F.max("status").alias("status"),
             F.max("supporting_evidence_count").alias("supporting_evidence_count"),
@@ -153,6 +173,9 @@ def claim_groups(joined: DataFrame) -> DataFrame:
         .select(
             "facility_id", "capability", F.col("first.claim_id").alias("claim_id"),
             F.col("first.claim_raw").alias("claim_raw"), "claims",
+            F.transform(
+                "places", lambda p: F.struct(p["source_field"].alias("source_field"), p["claim_raw"].alias("claim_raw"))
+            ).alias("claimed_in"),
             F.coalesce("trust_score", F.lit(0.0)).alias("trust_score"),
             F.coalesce("status", F.lit("unclear")).alias("status"),
             F.coalesce("supporting_evidence_count", F.lit(0)).alias("supporting_evidence_count"),
@@ -169,13 +192,15 @@ EVIDENCE_COLUMNS = (
 def entity_evidence(
     evidence: DataFrame, claims: DataFrame, facility_id: str | None = None
 ) -> DataFrame:
-    """Evidence of an entity's claims, supports first."""
-    return (
+    """Evidence of claims, supports first for one entity; unordered for all entities together."""
+    joined = (
         _of(evidence, facility_id)
         .join(_of(claims, facility_id).select("facility_id", "claim_id"), ["facility_id", "claim_id"])
         .select(*EVIDENCE_COLUMNS)
-        .orderBy(F.col("polarity").desc(), F.col("retrieval_score").desc(), "facility_id", "evidence_id")
     )
+    if facility_id is None:
+        return joined
+    return joined.orderBy(F.col("polarity").desc(), F.col("retrieval_score").desc(), "evidence_id")
 
 
 def evidence_for_capability(evidence: DataFrame, claims: DataFrame, capability: str) -> DataFrame:

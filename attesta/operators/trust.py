@@ -9,7 +9,7 @@ from ..functions.matching import quote
 from ..packs import RulePack
 from .claims import terms, with_claims
 from .evidence import (
-    evidence_id, haystacks, hit_order, polarity, row_primary, scan,
+    SNIPPET_KEY_LENGTH, evidence_id, haystacks, hit_order, polarity, row_primary, scan,
 )
 
 _FACT = (
@@ -66,7 +66,9 @@ def _evidence_facts(pack: RulePack) -> Column:
     ).cast(_FACT)
 
 
-def trust_facts(entities: DataFrame, pack: RulePack) -> DataFrame:
+def trust_facts(
+    entities: DataFrame, pack: RulePack, key_length: int | None = SNIPPET_KEY_LENGTH
+) -> DataFrame:
     """One row per claim and per evidence hit, from a single pass over the text.
 
     A row that carries the entity's claims rides along with its texts, so claims and
@@ -109,7 +111,7 @@ def trust_facts(entities: DataFrame, pack: RulePack) -> DataFrame:
     return per_fact.select(
         "facility_id", F.get(terms(pack), F.col("rule_ord")).alias("capability"),
         "claim_id", "confidence",
-        F.when(is_hit, evidence_id(F.col("claim_id"), quote(F.col("window")))).alias("evidence_id"),
+        F.when(is_hit, evidence_id(F.col("claim_id"), quote(F.col("window")), key_length)).alias("evidence_id"),
         # scan position with the polarity in the lowest bit: the least value is the first hit
         F.when(
             is_hit, F.shiftleft(hit_order(F.col("hay_ord"), F.col("hit_ord")), 1) + denied.cast("int")
@@ -117,7 +119,9 @@ def trust_facts(entities: DataFrame, pack: RulePack) -> DataFrame:
     )
 
 
-def gold_trust(entities: DataFrame, pack: RulePack) -> DataFrame:
+def gold_trust(
+    entities: DataFrame, pack: RulePack, key_length: int | None = SNIPPET_KEY_LENGTH
+) -> DataFrame:
     """Entities to the trust table in one lazy plan.
 
     The first aggregate removes repeated claim and evidence ids, the second counts
@@ -125,7 +129,7 @@ def gold_trust(entities: DataFrame, pack: RulePack) -> DataFrame:
     entity, so one entity holding a large share of the rows is spread out.
     """
     distinct_facts = (
-        trust_facts(entities, pack)
+        trust_facts(entities, pack, key_length)
         .groupBy("facility_id", "capability", "claim_id", "evidence_id")
         .agg(F.max("confidence").alias("confidence"), F.min("first_hit").alias("first_hit"))
     )

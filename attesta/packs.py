@@ -11,6 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 
+# A claim's place in the order of claims keeps so many bits for its rule.
+RULE_BITS = 12
+MAX_RULES = 1 << RULE_BITS
+
+
 @dataclass(frozen=True)
 class Rule:
     capability: str
@@ -31,6 +36,8 @@ class RulePack:
         terms = self.taxonomy
         if len(set(terms)) != len(terms):
             raise ValueError("a term may have one rule only")
+        if len(terms) > MAX_RULES:
+            raise ValueError(f"a pack may have {MAX_RULES} rules")
 
     @property
     def taxonomy(self) -> tuple[str, ...]:
@@ -46,16 +53,6 @@ class RulePack:
     def winners_over(self, capability: str) -> tuple[Rule, ...]:
         return tuple(self.rule(w) for w, loser in self.suppress if loser == capability)
 
-    def pattern_rows(self, spark: SparkSession) -> DataFrame:
-        rows = [
-            (r.capability, i, j, p)
-            for i, r in enumerate(self.rules)
-            for j, p in enumerate(r.patterns)
-        ]
-        return spark.createDataFrame(
-            rows, "capability string, rule_ord int, pat_ord int, pattern string"
-        )
-
     def code_rows(self, spark: SparkSession) -> DataFrame:
         """One row per code; a code listed by two rules belongs to the first."""
         owner: dict[str, tuple[str, int]] = {}

@@ -9,11 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.tables import read_parquet, spread
+from ..sources.tables import read_parquet
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
+# How many partitions to deal the documents over; unset, they stay as their files are split.
+PARTITIONS_SETTING = "attesta.documents.partitions"
+
+
+def table(
+    spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None
+) -> DataFrame:
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", partitions)
 
 
 def _lines(part: int) -> Column:
@@ -23,7 +29,9 @@ def _lines(part: int) -> Column:
 
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as cleaned facilities: prose plus three text arrays and a code array."""
-    docs = spread(table(spark, sf_dir, "documents")).withColumn("lines", F.split("text", "\n"))
+    asked = spark.conf.get(PARTITIONS_SETTING, None)
+    raw = table(spark, sf_dir, "documents", int(asked) if asked else None)
+    docs = raw.withColumn("lines", F.split("text", "\n"))
     return docs.select(
         F.col("doc_id").cast("string").alias("facility_id"),
         F.concat_ws(" ", F.lit("Document"), F.col("doc_id")).alias("name"),
@@ -110,9 +118,10 @@ def postcode_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations of three regions as the canonical list."""
-    return table(spark, sf_dir, "nation").filter("n_regionkey <= 2").select(
-        F.initcap(F.regexp_replace("n_name", "_", " ")).alias("state")
+    """All nations as the canonical list; those of two regions are known by another spelling only."""
+    name = F.initcap(F.regexp_replace("n_name", "_", " "))
+    return table(spark, sf_dir, "nation").select(
+        F.when(F.col("n_regionkey") <= 2, name).otherwise(F.concat(F.lit("Greater "), name)).alias("state")
     )
 
 
@@ -128,7 +137,7 @@ def district_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     share = lambda part: F.round(100.0 * F.sum(part) / F.sum("n"), 4)
     return (
-        c.join(o, "c_custkey").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+        c.join(o, "c_custkey", "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .groupBy(
             F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit("  area ")).alias("district_name"),
             F.regexp_replace("n_name", "_", "  ").alias("state_ut"),
@@ -137,7 +146,8 @@ def district_source(spark: SparkSession, sf_dir: str) -> DataFrame:
             share("f").alias("women_age_15_49_who_are_literate_pct"),
             share("u").alias("hh_member_covered_health_insurance_pct"),
             share("l").alias("institutional_birth_5y_pct"),
-            F.round(F.sum("n") / F.count("*"), 4).alias("births_delivered_by_csection_5y_pct"),
+            F.round(F.coalesce(F.sum("n"), F.lit(0)) / F.count("*"), 4)
+            .alias("births_delivered_by_csection_5y_pct"),
         )
     )
 
@@ -174,12 +184,29 @@ def note_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as reviewer notes."""
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("facility_id"),
-        F.col("role").alias("planner_id"),
+        F.when(F.col("role").isNotNull(), F.concat(F.lit("planner "), F.col("conv_id"))).alias("planner_id"),
         F.col("text").alias("note"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("turn").cast("int")))
+        .alias("created_at"),
         F.col("turn").alias("seq"),
     )
 
 
+def model_answers(elements: DataFrame) -> DataFrame:
+    """(prompt_key, response): what a model said to each prompt, spelled out of the prompt's hash.
+
+    Every eighth prompt has no answer, and the others name terms, also some outside any taxonomy.
+    """
+    digit = F.conv(F.substring("prompt_key", 1, 2), 16, 10).cast("int")
+    term = F.get(F.array(*map(F.lit, ("common", "Contact ", "spa", "other", "card"))), digit % 5)
+    body = F.concat(
+        F.lit('{"claim_value": "'), term, F.lit('", "confidence": '), (digit / 256.0).cast("string"), F.lit("}")
+    )
+    return elements.select("prompt_key").distinct().select(
+        "prompt_key", F.when(digit % 8 > 0, F.concat(F.lit("So: "), body)).alias("response")
+    )
+
+
 def scenario_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and toxicity labels as hand-made expectations for one term."""
     return table(spark, sf_dir, "labels").select(

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Tables
-from ..operators.claims import classify
 from ..operators.entity import build_facility
-from ..operators.evidence import find_evidence, find_evidence_for
+from ..operators.evidence import find_evidence_for
+from ..operators.facts import claims_of, evidence_of, write_facts
 from ..operators.inference import classify_with_model
 from ..operators.reference import build_district_health, build_pincode
 from ..operators.trust import trust_from_tables
@@ -43,16 +43,27 @@ def run_trust(
     names: Tables,
     pack: RulePack = CARE_PACK,
     model: Callable[[list[str]], list[str | None]] | None = None,
+    model_name: str = "model",
 ) -> DataFrame:
-    """Claims and evidence are written, and trust is counted from the written tables."""
+    """Claims and evidence are written, and trust is counted from the written tables.
+
+    Without a model one pass over the text finds claims and evidence. With one, claims come first,
+    as a model's claims decide what evidence is looked for; its answers are kept in the cache table,
+    so a second run asks only for what is new or failed.
+    """
     entities = spark.table(names.fq(names.silver_facility))
-    found = classify(entities, pack) if model is None else classify_with_model(entities, pack, model)
+    facts = write_facts(entities, pack) if model is None else None
+    found = (
+        classify_with_model(
+            entities, pack, model, cache_table=names.fq(names.model_answers), model_name=model_name
+        )
+        if facts is None
+        else claims_of(facts)
+    )
     claims = overwrite_table(
         found.withColumn("extracted_at", F.current_timestamp()), names.fq(names.silver_claim)
     )
-    snippets = (
-        find_evidence(entities, pack) if model is None else find_evidence_for(entities, claims, pack)
-    )
+    snippets = find_evidence_for(entities, claims, pack) if facts is None else evidence_of(facts)
     evidence = overwrite_table(snippets, names.fq(names.silver_evidence))
     return overwrite_table(
         trust_from_tables(claims, evidence).withColumn("last_computed_at", F.current_timestamp()),

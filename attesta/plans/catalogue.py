@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import cleaning as clean
 from ..functions.scoring import status_label, trust_score
 from ..operators import (
-    actions, claims, elements, entity, evaluation, evidence, indicators, inference, needles,
+    actions, claims, elements, entity, evaluation, evidence, facts, indicators, inference, needles,
     quality, reference, serving, trust,
 )
 from ..packs import CARE_PACK, NOTICE_INDICATORS, NOTICE_PACK
@@ -79,7 +80,9 @@ _ALL_TABLES = (
 
 @query
 def describe_sources(spark, d):
-    return src.describe_sources({t: b.table(spark, d, t) for t in _ALL_TABLES})
+    tables = {t: b.table(spark, d, t) for t in _ALL_TABLES}
+    listed = src.describe_sources(spark, tables).drop("data_type")
+    return src.profile_sources(tables).join(listed, ["table_name", "column_name"])
 
 
 @query
@@ -100,7 +103,7 @@ def parameterised_sql(spark, d):
 
 @query
 def bronze_copy(spark, d):
-    return src.materialise(b.table(spark, d, "customer"), "bronze_copy")
+    return src.bronze_copy(spark, b.table(spark, d, "customer"), f"bronze_customer_{uuid.uuid4().hex}")
 
 
 # --- cleaning ---------------------------------------------------------------
@@ -264,8 +267,9 @@ def gold_trust(spark, d):
 
 @query
 def gold_trust_tables(spark, d):
-    c = src.materialise(_claims(spark, d), "claims")
-    e = src.materialise(_evidence(spark, d), "evidence")
+    found = facts.write_facts(_docs(spark, d), NOTICE_PACK)
+    c = src.materialise(facts.claims_of(found), "claims")
+    e = src.materialise(facts.evidence_of(found), "evidence")
     return _rounded(trust.trust_from_tables(c, e), "trust_score")
 
 
@@ -300,17 +304,13 @@ def status_label_query(spark, d):
 
 @query
 def needle_evidence(spark, d):
-    texts = (
-        claims.with_claims(_docs(spark, d), NOTICE_PACK)
-        .select("facility_id", F.col("description").alias("text"), F.explode_outer("claims").alias("c"))
-        .filter(F.col("c").isNotNull())
-        .select(
-            "facility_id", F.col("c.claim_value").alias("claim_value"),
-            F.left("c.element", F.lit(claims.QUOTE_LENGTH)).alias("claim_raw"),
-            F.lit("description").alias("source_field"), "text",
-        )
+    worded = F.transform(
+        "claims", lambda c: F.struct(c["claim_value"].alias("claim_value"), c["element"].alias("claim_raw"))
     )
-    return needles.needle_evidence(texts)
+    claimed = claims.with_claims(_docs(spark, d), NOTICE_PACK).select(
+        "facility_id", worded.alias("claims"), needles.entity_texts().alias("texts")
+    )
+    return needles.needle_evidence(claimed)
 
 
 @named("indicators")
@@ -362,16 +362,46 @@ def _answers(spark, d):
         F.lit('{"claim_value": "'), F.upper("event_type"), F.lit(' ", "confidence": '),
         (F.col("value") / 64.0).cast("string"), F.lit("}"),
     )
-    kind = F.col("event_type")
+    shape = F.col("event_id") % 9
+    given = lambda text: F.regexp_replace(body, "[^ ]*}$", text + "}")
     return e.select(
         "event_id",
-        F.when(kind == "click", F.concat(F.lit("Sure: "), body, F.lit(" as asked")))
-        .when(kind == "error", F.lit("[1]"))
-        .when(kind == "signup", F.regexp_replace(body, "[^ ]*}$", '"high"}'))
+        F.when(shape == 1, F.concat(F.lit("Sure: "), body, F.lit(" as asked")))
+        .when(shape == 2, F.lit("[1]"))
+        .when(shape == 3, given('"high"'))
+        .when(shape == 4, F.replace(body, F.lit('"'), F.lit("'")))
+        .when(shape == 5, F.concat(F.lit('{"claim_value": "spa", "confidence": 0.125, '), F.substring(body, 2, 200)))
+        .when(shape == 6, given('"0.6f"'))
+        .when(shape == 7, F.concat(body, F.lit(" and } more")))
+        .when(shape == 8, given(' "0.25"'))
         .otherwise(body).alias("response"),
     )
 
 
+def _asked(spark, d):
+    return inference.with_prompt_key(
+        inference.unmatched_elements(_docs(spark, d), NOTICE_PACK), NOTICE_PACK
+    ).drop("prompt")
+
+
+def _model_claims(spark, d):
+    asked = src.materialise(_asked(spark, d), "asked")
+    return inference.model_claims(asked, b.model_answers(asked), NOTICE_PACK, "stub")
+
+
+@query
+def model_claims(spark, d):
+    return _model_claims(spark, d)
+
+
+@query
+def model_trust(spark, d):
+    """Rule and model claims, the evidence for both, and trust from the written tables."""
+    c = src.materialise(_claims(spark, d).unionByName(_model_claims(spark, d)), "claims")
+    e = src.materialise(evidence.find_evidence_for(_docs(spark, d), c, NOTICE_PACK), "evidence")
+    return _rounded(trust.trust_from_tables(c, e), "trust_score")
+
+
 @query
 def parse_response(spark, d):
     parsed = inference.parse_response(F.col("response"), ("click", "view", "signup"))
@@ -419,7 +449,9 @@ def _reachable(spark, d):
 
 @query
 def triage_filtered(spark, d):
-    rows = serving.triage(_trust(spark, d), _reachable(spark, d), "common", limit=50)
+    rows = serving.triage(
+        _trust(spark, d), _reachable(spark, d), "common", limit=50, wide=_docs(spark, d)
+    )
     return _rounded(rows.select("facility_id", "name", "trust_score", "status"), "trust_score")
 
 
@@ -454,10 +486,17 @@ def claims_with_evidence(spark, d):
     return _rounded(rows, "trust_score")
 
 
+@query
+def claims_of_entity(spark, d):
+    rows = serving.claims_with_evidence(_claims(spark, d), _trust(spark, d), "125")
+    return _rounded(rows, "trust_score")
+
+
 @query
 def claim_groups(spark, d):
     rows = serving.claim_groups(serving.claims_with_evidence(_claims(spark, d), _trust(spark, d)))
-    return _rounded(rows, "trust_score")
+    listed = F.transform("claimed_in", lambda p: F.concat_ws(": ", p["source_field"], p["claim_raw"]))
+    return _rounded(rows.withColumn("claimed_in", F.array_join(listed, " | ")), "trust_score")
 
 
 @query
@@ -465,6 +504,11 @@ def entity_evidence(spark, d):
     return serving.entity_evidence(_evidence(spark, d), _claims(spark, d))
 
 
+@query
+def evidence_of_entity(spark, d):
+    return serving.entity_evidence(_evidence(spark, d), _claims(spark, d), "125")
+
+
 @query
 def evidence_for_capability(spark, d):
     return serving.evidence_for_capability(_evidence(spark, d), _claims(spark, d), "contact")
@@ -536,7 +580,9 @@ def correction_examples(spark, d):
 
 
 def _predictions(spark, d):
-    return evaluation.predictions(b.scenario_labels(spark, d), _trust(spark, d))
+    labels = b.scenario_labels(spark, d)
+    scored = trust.gold_trust(evaluation.labelled(_docs(spark, d), labels), NOTICE_PACK)
+    return evaluation.predictions(labels, scored)
 
 
 @query
@@ -579,7 +625,30 @@ def annotations_log(spark, d):
 
 @query
 def planner_history(spark, d):
-    return actions.planner_history(actions.latest_verdicts(b.verdict_log(spark, d)), "planner 7")
+    return actions.planner_work(
+        actions.latest_verdicts(b.verdict_log(spark, d)), actions.valid_notes(b.note_log(spark, d)), "planner 7"
+    )
+
+
+def _recorded(spark, rows, record):
+    """The log and the reject table that an append leaves, side by side."""
+    log = src.scratch_table(spark, rows, "log")
+    refused = rows.withColumn("broken", F.array(F.lit(""))).withColumn("rejected_at", F.current_timestamp())
+    rejects = src.scratch_table(spark, refused, "rejects")
+    record(rows, log, rejects)
+    kept = spark.table(log).withColumn("broken", F.lit(""))
+    lost = spark.table(rejects).drop("rejected_at")
+    return kept.unionByName(lost.withColumn("broken", F.array_join("broken", ",")))
+
+
+@query
+def recorded_verdicts(spark, d):
+    return _recorded(spark, b.verdict_log(spark, d), actions.record_verdicts)
+
+
+@query
+def recorded_notes(spark, d):
+    return _recorded(spark, b.note_log(spark, d), actions.add_notes)
 
 
 @query

@@ -35,7 +35,7 @@ PINCODE = _struct(
 
 CLAIM = _struct(
     facility_id=_S, claim_id=_S, claim_type=_S, claim_value=_S, claim_raw=_S, source_field=_S,
-    source_text_span=_S, extraction_confidence=_D, extraction_method=_S, claim_ord=_L,
+    source_text_span=_S, extraction_confidence=_D, extraction_method=_S, llm_model=_S, claim_ord=_L,
 )
 
 EVIDENCE = _struct(
@@ -65,4 +65,8 @@ VERIFICATION = _struct(
 
 ANNOTATION = _struct(facility_id=_S, planner_id=_S, note=_S, created_at=T.TimestampType(), seq=_L)
 
-MODEL_RESPONSE = _struct(prompt_key=_S, response=_S)
+MODEL_RESPONSE = _struct(prompt_key=_S, response=_S, error=_S)
+
+MODEL_CACHE = _struct(prompt_key=_S, response=_S)
+
+MODEL_FAILURE = _struct(prompt_key=_S, error=_S, asked_at=T.TimestampType())

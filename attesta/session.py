@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # What the operators rely on: one time zone, runtime re-planning and skew splitting.
@@ -32,15 +30,9 @@ def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for written intermediates.
+    """The folder for written intermediates: ``spark.checkpoint.dir``.
 
-    A folder of this machine is taken only in local mode with the setting unset.
+    Where that is unset, a folder beside the tables of the warehouse, which is shared as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="attesta-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediates"

@@ -12,21 +12,28 @@ from ..schemas import FIXTURE, SCENARIO
 from ..session import shared_dir
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A table as its files are split, or dealt over a number of partitions that the caller names.
 
+    Dealing moves all columns once; it suits a small table in one file with costly work behind it.
+    """
+    df = spark.read.parquet(path)
+    return df if partitions is None else df.repartition(partitions)
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table with splits for less than half of the cores to all cores.
 
-    Text work costs far more than moving a small table once. A table with more splits,
-    as any large one has, is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(2 * cores)
+def describe_sources(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, ordinal, data_type, nullable) from the schemas alone; reads no data."""
+    rows = [
+        (name, f.name, i, f.dataType.simpleString(), f.nullable)
+        for name, df in tables.items()
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return spark.createDataFrame(
+        rows, "table_name string, column_name string, ordinal int, data_type string, nullable boolean"
+    )
 
 
-def describe_sources(tables: dict[str, DataFrame]) -> DataFrame:
+def profile_sources(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, data_type, row_count, filled_count) for every column.
 
     One aggregate pass per table; the widest intermediate is one row.
@@ -61,9 +68,17 @@ def sample_rows(df: DataFrame, key: str, n: int = 1) -> DataFrame:
 
 
 def overwrite_table(df: DataFrame, name: str) -> DataFrame:
-    """Idempotent full rewrite that may change the schema, read back from storage."""
+    """Idempotent full rewrite that may change the schema, read back from storage.
+
+    The rows are written aside and take the name when they are complete, so a failed job leaves
+    the old table, and a table may be rewritten from itself.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(name)
+    aside = f"{name}__next"
+    spark.sql(f"DROP TABLE IF EXISTS {aside}")
+    df.write.saveAsTable(aside)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {aside} RENAME TO {'.'.join(name.split('.')[-2:])}")
     return spark.table(name)
 
 
@@ -74,7 +89,8 @@ def append_table(df: DataFrame, name: str) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate under the shared folder and read it back.
 
-    The written copy outlives lost executors, so what follows never recomputes it.
+    The written copy outlives lost executors, so what follows never recomputes it. It is
+    deleted when the session ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
@@ -83,8 +99,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other run uses; it goes when the session ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def scratch_table(spark: SparkSession, like: DataFrame, name: str) -> str:
+    """An empty table with the columns of ``like`` in a folder that goes when the session ends."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    like.limit(0).write.option("path", fresh_path(spark, name)).saveAsTable(table)
+    return table
 
 
 def create_namespace(spark: SparkSession, names: Tables) -> None:

@@ -5,31 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.actions import latest_verdicts, valid_verdicts
+from ..operators.actions import accepted, checked, latest_verdicts, rejected, stamped, verdict_checks
 from ..sources.tables import fresh_path
 
 
-def append_valid(stream: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Append each valid verdict to the log exactly once; stops when the input is read."""
+def _append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (
-        valid_verdicts(stream)
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .outputMode("append")
-        .option("path", log_path)
+        .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def append_valid(stream: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
+    """Append each valid verdict to the log exactly once, stamped; stops when the input is read.
+
+    The same log and checkpoint given again, it goes on where it stopped.
+    """
+    return _append(stamped(accepted(checked(stream, verdict_checks()))), log_path, checkpoint)
+
+
+def append_rejected(stream: DataFrame, reject_path: str, checkpoint: str) -> StreamingQuery:
+    """Append each verdict that breaks a constraint, with what it breaks, exactly once."""
+    return _append(rejected(checked(stream, verdict_checks())), reject_path, checkpoint)
+
+
 def current(spark: SparkSession, log_path: str, like: DataFrame) -> DataFrame:
     """Latest verdicts of the log written so far."""
     return latest_verdicts(spark.read.schema(like.schema).parquet(log_path))
 
 
-def latest_from_stream(stream: DataFrame) -> DataFrame:
-    """Drain a stream into a fresh log and return its latest verdicts."""
+def latest_from_stream(
+    stream: DataFrame, log_path: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    """Drain a stream into a log and return its latest verdicts.
+
+    With a log and a checkpoint of earlier calls only what is new is read; without, both are made anew.
+    """
     spark = stream.sparkSession
-    log, checkpoint = fresh_path(spark, "verdict-log"), fresh_path(spark, "verdict-checkpoint")
-    append_valid(stream, log, checkpoint).awaitTermination()
-    return current(spark, log, stream)
+    log_path = log_path or fresh_path(spark, "verdict-log")
+    checkpoint = checkpoint or fresh_path(spark, "verdict-checkpoint")
+    append_valid(stream, log_path, checkpoint).awaitTermination()
+    return current(spark, log_path, stream)

@@ -7,11 +7,29 @@ replaced by an underscore, which is a word character too and keeps all positions
 
 from __future__ import annotations
 
-from attesta.functions.matching import ungrouped
-from attesta.operators.claims import CONFIDENCE
-from attesta.operators.elements import CLAIM_TYPE
+import re
+
 from attesta.packs import IndicatorPack, RulePack
 
+CONFIDENCE = {"capabilities": 0.85, "specialties": 0.8, "procedures": 0.75, "equipment": 0.75}
+CLAIM_TYPE = {
+    "capabilities": "capability", "specialties": "specialty", "procedures": "procedure", "equipment": "equipment",
+}
+
+
+def ungrouped(pattern: str) -> str:
+    """The pattern with capturing groups opened as plain ones; escapes and classes stay."""
+    out, i, in_class = "", 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out, i = out + pattern[i : i + 2], i + 2
+            continue
+        in_class = c == "[" or (in_class and c != "]")
+        plain_group = c == "(" and not in_class and not re.match(r"\(\?", pattern[i:])
+        out, i = out + ("(?:" if plain_group else c), i + 1
+    return out
+
 SPACE = (
     r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
@@ -134,7 +152,7 @@ def claim(pack: RulePack) -> str:
             f"emitted AS (SELECT *, {cid} AS claim_id FROM emitted1)",
             "claim AS (SELECT facility_id, claim_id, claim_type, cap AS claim_value, claim_raw, "
             "source_field, source_text_span, extraction_confidence, 'rules' AS extraction_method, "
-            "claim_ord FROM emitted QUALIFY row_number() OVER "
+            "'rules-v1' AS llm_model, claim_ord FROM emitted QUALIFY row_number() OVER "
             "(PARTITION BY facility_id, claim_id ORDER BY claim_ord) = 1)",
             "prim AS (SELECT facility_id, claim_value AS capability, claim_id, extraction_confidence "
             "FROM claim QUALIFY row_number() OVER (PARTITION BY facility_id, claim_value "
@@ -319,7 +337,8 @@ pincode AS (
 """
 
 FACILITY = SOURCE.strip() + ",\n" + PINCODE.strip() + f""",
-canonical AS (SELECT {initcap("replace(n_name, '_', ' ')")} AS state FROM nation WHERE n_regionkey <= 2),
+canonical AS (SELECT CASE WHEN n_regionkey <= 2 THEN '' ELSE 'Greater ' END || {initcap("replace(n_name, '_', ' ')")} AS state
+  FROM nation),
 cleaned AS (
   SELECT unique_id AS facility_id, trim(name) AS name, lower(nullif(trim(organization_type), '')) AS organization_type,
     lower(nullif(trim(facilityTypeId), '')) AS facility_type,
@@ -358,8 +377,8 @@ district_source AS (
     round(100.0e0 * sum(f) / sum(n), 4) AS women_age_15_49_who_are_literate_pct,
     round(100.0e0 * sum(u) / sum(n), 4) AS hh_member_covered_health_insurance_pct,
     round(100.0e0 * sum(l) / sum(n), 4) AS institutional_birth_5y_pct,
-    round(CAST(sum(n) AS DOUBLE) / count(*), 4) AS births_delivered_by_csection_5y_pct
-  FROM customer JOIN per_customer USING (c_custkey) JOIN nation ON c_nationkey = n_nationkey
+    round(CAST(coalesce(sum(n), 0) AS DOUBLE) / count(*), 4) AS births_delivered_by_csection_5y_pct
+  FROM customer LEFT JOIN per_customer USING (c_custkey) LEFT JOIN nation ON c_nationkey = n_nationkey
   GROUP BY 1, 2),
 district AS (
   SELECT {normalized('district_name')} AS district, {normalized('state_ut')} AS state, *

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from attesta.functions.scoring import STATUSES
-from attesta.operators.evaluation import PREDICTED
 from attesta.operators.entity import SILVER_COLUMNS
 from attesta.operators.inference import CLASSIFY_PROMPT, EXTRACT_PROMPT
 from attesta.operators.serving import DISTRICT_INDICATORS
@@ -16,6 +14,9 @@ from .fragments import ctes, q
 
 ORACLE_SQL: dict[str, str] = {}
 
+STATUSES = ("verified", "unclear", "contradicted")
+PREDICTED = ("verified", "unclear", "contradicted", "absent")
+
 S, C = "supporting_evidence_count", "contradicting_evidence_count"
 CLAIM = f.claim(NOTICE_PACK)
 EVIDENCE = f.evidence(NOTICE_PACK)
@@ -52,8 +53,8 @@ _TYPES = {
 
 add("describe_sources", "\nUNION ALL ".join(
     f"SELECT {q(t)} AS table_name, count(*) AS row_count, {q(c.split()[0])} AS column_name, "
-    f"{q(c.split()[1])} AS data_type, count({c.split()[0]}) AS filled_count FROM {t}"
-    for t, cols in _TYPES.items() for c in cols.split(", ")
+    f"{q(c.split()[1])} AS data_type, count({c.split()[0]}) AS filled_count, {i} AS ordinal, true AS nullable FROM {t}"
+    for t, cols in _TYPES.items() for i, c in enumerate(cols.split(", "))
 ))
 add("sample_rows", "SELECT * FROM customer ORDER BY c_custkey LIMIT 3")
 add("parameterised_sql", """
@@ -86,6 +87,7 @@ add("text_bool", ctes(f.SOURCE) + """
 SELECT unique_id, lower(staff) = 'true' AS has_affiliated_staff, lower(logo) = 'true' AS has_custom_logo
 FROM facility_source""")
 
+_DIGIT = r"[\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{24EA}]"
 _core = "regexp_replace(lower(t), '^[.,():;''\"]+|[.,():;''\"]+$', '', 'g')"
 _in = lambda words: ", ".join(q(w) for w in words)
 add("display_name", f"""
@@ -96,7 +98,7 @@ SELECT conv_id, turn, coalesce(array_to_string(list_transform(ts, lambda t, i: C
     WHEN {_core} IN ({_in(NAME_ACRONYMS)}) THEN upper({_core})
     WHEN i > 1 AND {_core} IN ({_in(NAME_SMALL_WORDS)}) THEN {_core}
     WHEN contains(t, '&') THEN t
-    WHEN starts_with(t, '''') OR regexp_matches(t, '[0-9]') THEN t
+    WHEN starts_with(t, '''') OR regexp_matches(t, '{_DIGIT}') THEN t
     ELSE array_to_string(list_transform(string_split(t, '-'),
       lambda p: replace(upper(left(p, 1)), 'ẞ', 'SS') || lower(substring(p, 2))), '-') END), ' '), '') AS display_name
 FROM tokens""")
@@ -149,10 +151,16 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {f.label('conf', 's', 'c'
 _before = "substring(lw, greatest(1, idx - 40), least(40, idx - 1))"
 _cues = " OR ".join(f"contains({_before}, {q(c)})" for c in NEEDLE_CUES)
 add("needle_evidence", ctes(CLAIM) + f""",
+field AS (
+  SELECT facility_id, 'description' AS source_field, description AS text FROM doc
+  UNION ALL SELECT facility_id, ['capabilities', 'procedures', 'equipment'][k + 1],
+    (SELECT string_agg(ls[i + 1], chr(10) ORDER BY i) FROM (SELECT unnest(range(k, len(ls), 3)) AS i))
+  FROM (SELECT facility_id, string_split(description, chr(10)) AS ls, unnest([0, 1, 2]) AS k FROM doc)
+  UNION ALL SELECT facility_id, 'specialties', source || chr(10) || lang FROM doc),
 asked AS (
-  SELECT e.facility_id, e.cap AS claim_value, e.claim_raw, d.description AS text,
-    unnest(list_distinct([lower(e.cap), lower(e.claim_raw)])) AS needle
-  FROM emitted e JOIN doc d ON d.facility_id = e.facility_id),
+  SELECT e.facility_id, e.cap AS claim_value, e.element AS claim_raw, d.text, d.source_field,
+    unnest(list_distinct([lower(e.cap), lower(e.element)])) AS needle
+  FROM emitted e JOIN field d ON d.facility_id = e.facility_id),
 pieces AS (
   SELECT *, string_split(lower(text), needle) AS pc FROM asked
   WHERE needle <> '' AND contains(lower(text), needle)),
@@ -164,7 +172,7 @@ cut AS (
   SELECT *, lower(substring(text, greatest(st - 80, 0) + 1,
     least(length(text), st + ln + 80) - greatest(st - 80, 0))) AS lw FROM placed),
 found AS (SELECT *, instr(lw, needle) AS idx FROM cut)
-SELECT facility_id, claim_value, claim_raw, 'description' AS source_field, CAST(i - 1 AS INTEGER) AS hit_ord,
+SELECT facility_id, claim_value, claim_raw, source_field, CAST(i - 1 AS INTEGER) AS hit_ord,
   {f.window('text', 'st', 'st + ln', 80)} AS snippet,
   CASE WHEN idx = 0 THEN 'neutral' WHEN {_cues} THEN 'contradicts' ELSE 'supports' END AS polarity,
   CASE WHEN needle = lower(claim_raw) THEN 1.0e0 ELSE 0.7e0 END AS retrieval_score FROM found""")
@@ -202,14 +210,60 @@ FROM conversations""")
 _none = " AND ".join(f"NOT regexp_matches({f.mask('element')}, {f.rx(p)})" for p in NOTICE_PACK.patterns)
 add("unmatched_elements", ctes(f.DOC, f.ELEM) + f"""
 SELECT * FROM elem WHERE source_field <> 'specialties' AND {_none}""")
-add("parse_response", """
-WITH a AS (
-  SELECT event_id, event_type, lower(trim(upper(event_type) || ' ')) AS term, value / 64.0e0 AS conf FROM events)
+_OBJECT = "json_valid(t) AND starts_with(trim(t), '{')"
+_NUMBER = r"^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$".replace("\\\\", "\\")
+add("parse_response", f"""
+WITH body AS (
+  SELECT event_id, event_id % 9 AS shape, '{{"claim_value": "' || upper(event_type) || ' ", "confidence": ' AS head,
+    CAST(value / 64.0e0 AS VARCHAR) AS num FROM events),
+answer AS (
+  SELECT event_id, CASE shape WHEN 1 THEN 'Sure: ' || head || num || '}} as asked' WHEN 2 THEN '[1]'
+    WHEN 3 THEN head || '"high"}}' WHEN 4 THEN replace(head || num || '}}', '"', chr(39))
+    WHEN 5 THEN '{{"claim_value": "spa", "confidence": 0.125, ' || substring(head || num || '}}', 2)
+    WHEN 6 THEN head || '"0.6f"}}' WHEN 7 THEN head || num || '}} and }} more'
+    WHEN 8 THEN head || ' "0.25"}}' ELSE head || num || '}}' END AS response
+  FROM body),
+tried AS (
+  SELECT event_id, list_filter(list_concat([response], regexp_extract_all(response, '\\{{[^{{}}]*\\}}')),
+    lambda t: {_OBJECT}) AS found
+  FROM answer),
+named AS (
+  SELECT event_id, list_filter(list_transform(found, lambda t: [
+      lower(trim(regexp_extract_all(t, '"claim_value"\\s*:\\s*"([^"]*)"', 1)[-1])),
+      trim(regexp_extract_all(t, '"confidence"\\s*:\\s*"?([^",}}]*)', 1)[-1])]),
+    lambda x: x[1] <> '')[1] AS x
+  FROM tried)
 SELECT event_id,
-  CASE WHEN event_type = 'error' THEN NULL WHEN term IN ('click', 'view', 'signup') THEN term ELSE 'other' END AS claim_value,
-  CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' THEN 0.5e0
-       ELSE greatest(0.0e0, least(0.75e0, conf)) END AS confidence
-FROM a""")
+  CASE WHEN x IS NULL THEN NULL WHEN x[1] IN ('click', 'view', 'signup') THEN x[1] ELSE 'other' END AS claim_value,
+  CASE WHEN x IS NULL THEN NULL ELSE greatest(0.0e0, least(0.75e0, coalesce(
+    CASE WHEN regexp_matches(x[2], '{_NUMBER}') THEN TRY_CAST(x[2] AS DOUBLE) END, 0.5e0))) END AS confidence
+FROM named""".replace("\\\\", "\\"))
+
+_digit = "CAST(strpos('0123456789abcdef', prompt_key[1]) * 16 + strpos('0123456789abcdef', prompt_key[2]) - 17 AS INTEGER)"
+_terms = ", ".join(q(t) for t in NOTICE_PACK.taxonomy)
+MODEL = f""",
+asked AS (
+  SELECT *, sha1({_prompt(CLASSIFY_PROMPT, taxonomy=_tax, source_field='source_field', text='left(element, 500)')})
+    AS prompt_key FROM elem WHERE source_field <> 'specialties' AND {_none}),
+digits AS (SELECT *, {_digit} AS digit FROM asked),
+told AS (
+  SELECT *, lower(trim(['common', 'Contact ', 'spa', 'other', 'card'][digit % 5 + 1])) AS term
+  FROM digits WHERE digit % 8 > 0),
+mraw AS (
+  SELECT *, CASE source_field WHEN 'capabilities' THEN 'capability' WHEN 'procedures' THEN 'procedure'
+    ELSE 'equipment' END AS claim_type, (CAST(field_ord AS BIGINT) * 2147483648 + elem_ord) * 4096 AS claim_ord
+  FROM told WHERE term IN ({_terms})),
+mclaim AS (
+  SELECT facility_id, substring(sha1(facility_id || '|' || claim_type || '|' || term || '|' || element), 1, 16) AS claim_id,
+    claim_type, term AS claim_value, left(element, 200) AS claim_raw, source_field,
+    left(element, 200) AS source_text_span, least(0.75e0, digit / 256.0e0) AS extraction_confidence,
+    'llm' AS extraction_method, 'stub' AS llm_model, claim_ord
+  FROM mraw QUALIFY row_number() OVER (PARTITION BY facility_id, claim_id ORDER BY claim_ord) = 1)"""
+add("model_claims", ctes(f.DOC, f.ELEM) + MODEL + " SELECT * FROM mclaim")
+_both = f.trust(NOTICE_PACK).replace(
+    "prim AS (", MODEL.strip().lstrip(",").strip() + ",\nallclaim AS (SELECT * FROM claim UNION ALL SELECT * FROM mclaim),\nprim AS ("
+).replace("FROM claim QUALIFY", "FROM allclaim QUALIFY").replace("FROM claim LEFT JOIN", "FROM allclaim LEFT JOIN")
+add("model_trust", ctes(_both) + f"SELECT {TRUST_COLUMNS} FROM trust")
 
 _REACHABLE = f.indicators(NOTICE_INDICATORS).split("elem AS (", 1)[1]
 _reach = f""",
@@ -266,19 +320,22 @@ WHERE facility_id = '125'""")
 _with = ctes(TRUST) + f""",
 cwe AS (
   SELECT c.facility_id, c.claim_id, c.claim_type, c.claim_value, c.claim_raw, c.source_field,
-    c.source_text_span, c.extraction_confidence, round(t.trust_score, 6) AS trust_score, t.status, t.{S}, t.{C},
+    c.source_text_span, c.extraction_confidence, c.llm_model, round(t.trust_score, 6) AS trust_score, t.status, t.{S}, t.{C},
     c.claim_ord
   FROM claim c LEFT JOIN trust t ON t.facility_id = c.facility_id AND t.capability = c.claim_value)"""
 add("claims_with_evidence", _with + " SELECT * FROM cwe")
+add("claims_of_entity", _with + " SELECT * FROM cwe WHERE facility_id = '125'")
 add("claim_groups", _with + f"""
 SELECT facility_id, claim_value AS capability, arg_min(claim_id, claim_ord) AS claim_id,
   arg_min(claim_raw, claim_ord) AS claim_raw, count(*) AS claims, coalesce(max(trust_score), 0.0e0) AS trust_score,
-  coalesce(max(status), 'unclear') AS status, coalesce(max({S}), 0) AS {S}, coalesce(max({C}), 0) AS {C}
+  coalesce(max(status), 'unclear') AS status, coalesce(max({S}), 0) AS {S}, coalesce(max({C}), 0) AS {C},
+  string_agg(source_field || ': ' || left(claim_raw, 160), ' | ' ORDER BY claim_ord) AS claimed_in
 FROM cwe GROUP BY facility_id, claim_value""")
 _EV = "facility_id, claim_id, evidence_id, snippet, source_field, polarity, retrieval_score"
 add("entity_evidence", ctes(EVIDENCE) + f"""
 SELECT e.facility_id, e.claim_id, evidence_id, snippet, e.source_field, polarity, retrieval_score
 FROM evidence e JOIN claim c ON c.facility_id = e.facility_id AND c.claim_id = e.claim_id""")
+add("evidence_of_entity", ORACLE_SQL["entity_evidence"] + " WHERE e.facility_id = '125'")
 add("evidence_for_capability", ctes(EVIDENCE) + f"""
 SELECT {_EV} FROM evidence WHERE claim_id IN (SELECT claim_id FROM claim WHERE claim_value = 'contact')""")
 _IND = ", ".join(DISTRICT_INDICATORS)
@@ -345,10 +402,28 @@ add("eval_misses", PREDICTIONS + "SELECT * FROM predicted WHERE predicted_status
 _VERDICT = "facility_id, claim_id, planner_id, status, reason, notes, created_at, seq"
 add("verifications_latest", ctes(f.VERDICT) + f"SELECT {_VERDICT} FROM latest")
 add("verifications_stream", ORACLE_SQL["verifications_latest"])
-add("annotations_log", """
-SELECT CAST(conv_id AS VARCHAR) AS facility_id, role AS planner_id, text AS note, turn AS seq
-FROM conversations WHERE role IS NOT NULL AND trim(text) <> ''""")
-add("planner_history", ctes(f.VERDICT) + f"SELECT {_VERDICT} FROM latest WHERE planner_id = 'planner 7'")
+_NOTE = """
+note AS (
+  SELECT CAST(conv_id AS VARCHAR) AS facility_id, CASE WHEN role IS NOT NULL THEN 'planner ' || conv_id END AS planner_id,
+    text AS note, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(turn) AS created_at, turn AS seq FROM conversations)
+"""
+add("annotations_log", ctes(_NOTE) + "SELECT * FROM note WHERE planner_id IS NOT NULL AND trim(note) <> ''")
+add("planner_history", ctes(f.VERDICT, _NOTE) + """
+SELECT 'verdict' AS kind, planner_id, facility_id, claim_id, status, reason, notes AS note, created_at, seq
+FROM latest WHERE planner_id = 'planner 7'
+UNION ALL SELECT 'note', planner_id, facility_id, NULL, NULL, NULL, note, created_at, seq
+FROM note WHERE planner_id = 'planner 7' AND trim(note) <> ''""")
+add("recorded_verdicts", ctes(f.VERDICT) + f"""
+SELECT {_VERDICT}, concat_ws(',', CASE WHEN facility_id IS NULL THEN 'null_facility_id' END,
+  CASE WHEN claim_id IS NULL THEN 'null_claim_id' END, CASE WHEN planner_id IS NULL THEN 'null_planner_id' END,
+  CASE WHEN status IS NULL THEN 'null_status' END,
+  CASE WHEN status NOT IN ('verified', 'rejected', 'needs_info') THEN 'status_outside_domain' END) AS broken
+FROM verdict""")
+add("recorded_notes", ctes(_NOTE) + """
+SELECT *, concat_ws(',', CASE WHEN facility_id IS NULL THEN 'null_facility_id' END,
+  CASE WHEN planner_id IS NULL THEN 'null_planner_id' END, CASE WHEN note IS NULL THEN 'null_note' END,
+  CASE WHEN trim(note) = '' THEN 'blank_note' END) AS broken
+FROM note""")
 add("validate_actions", ctes(f.VERDICT) + "\nUNION ALL ".join(
     [f"SELECT 'null_{c}' AS \"check\", count(*) FILTER (WHERE {c} IS NULL) AS violations FROM verdict"
      for c in ("facility_id", "claim_id", "planner_id", "status")]

@@ -3,10 +3,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from attesta.operators.actions import (
-    add_notes, latest_verdicts, planner_history, record_verdicts, valid_notes, validate_actions,
+    add_notes, latest_verdicts, planner_history, planner_work, record_verdicts, valid_notes, validate_actions,
 )
 from attesta.schemas import ANNOTATION, VERIFICATION
-from attesta.streaming.verdicts import append_valid, current
+from attesta.streaming.verdicts import append_rejected, append_valid, current
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -56,10 +56,22 @@ def test_log_tables_upsert_by_appending(spark):
         record_verdicts(spark.createDataFrame([row], VERIFICATION), "log_test.verifications")
     log = spark.table("log_test.verifications")
     assert log.count() == 5 and _latest(log) == WANT
+    refused = spark.table("log_test.verifications_rejected")
+    assert sorted((r.seq, r.broken) for r in refused.collect()) == [
+        (6, ["status_outside_domain"]), (7, ["null_facility_id"]), (8, ["null_status"])
+    ]
+    unstamped = spark.createDataFrame([ROWS[0]], VERIFICATION).drop("created_at")
+    record_verdicts(unstamped.withColumn("created_at", F.lit(None).cast("timestamp")), "log_test.stamped")
+    assert spark.table("log_test.stamped").first().created_at is not None
     notes = [("f", "p", "old", T0, 1), ("f", "p", " ", T0, 2), ("g", "p", "new", T0 + dt.timedelta(1), 3)]
     add_notes(spark.createDataFrame(notes, ANNOTATION), "log_test.annotations")
     history = planner_history(spark.table("log_test.annotations"), "p")
     assert [r.note for r in history.collect()] == ["new", "old"]
+    assert [r.broken for r in spark.table("log_test.annotations_rejected").collect()] == [["blank_note"]]
+    work = planner_work(latest_verdicts(log), spark.table("log_test.annotations"), "p").collect()
+    assert [(r.kind, r.note or r.status) for r in work] == [
+        ("note", "new"), ("verdict", "rejected"), ("verdict", "x"), ("note", "old")
+    ]
 
 
 def test_stream_equals_batch_and_appends_once(spark, tmp_path):
@@ -69,5 +81,8 @@ def test_stream_equals_batch_and_appends_once(spark, tmp_path):
         stream = spark.readStream.schema(VERIFICATION).parquet(inbox)
         append_valid(stream, log, checkpoint).awaitTermination()
     assert spark.read.parquet(log).count() == 5
+    rejects = append_rejected(spark.readStream.schema(VERIFICATION).parquet(inbox), f"{log}-no", f"{checkpoint}-no")
+    rejects.awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(f"{log}-no").collect()) == [6, 7, 8]
     got = current(spark, log, spark.read.schema(VERIFICATION).parquet(inbox))
     assert {(r.facility_id, r.claim_id, r.planner_id): (r.status, r.notes) for r in got.collect()} == WANT

@@ -4,19 +4,25 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.config import Tables
+from attesta.operators.claims import classify
+from attesta.operators.evidence import find_evidence
+from attesta.operators.facts import claims_of, evidence_of, found_facts, write_facts
 from attesta.operators.trust import gold_trust, trust_from_tables
-from attesta.packs import CARE_PACK
+from attesta.packs import CARE_PACK, NOTICE_PACK, Rule, RulePack
 from attesta.plans.bindings import (
     district_source, document_entities, facility_source, postcode_source,
 )
 from attesta.plans.build import run_all
 from attesta.plans.catalogue import QUERIES
-from attesta.sources.tables import overwrite_table
+from attesta.sources.tables import overwrite_table, read_parquet
 
 SF = "/root/testdata/sf0.001"
 
 # Queries that only look at a plan would still write tables or run a stream.
-WRITES = {"bronze_copy", "gold_trust_tables", "verifications_stream"}
+WRITES = {
+    "bronze_copy", "gold_trust_tables", "model_claims", "model_trust", "recorded_notes", "recorded_verdicts",
+    "verifications_stream",
+}
 
 
 def _plan(df):
@@ -33,12 +39,59 @@ def test_no_pairing_of_all_rows_and_no_python(spark, name):
 def test_flagship_shuffles_only_ids(spark):
     plan = _plan(QUERIES["gold_trust"](spark, SF))
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
-    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "RoundRobin" not in plan
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
     assert all("text" not in e and "description" not in e for e in exchanges)
     assert plan.count("HashAggregate") == 4 and "SortAggregate" not in plan
     assert "html" not in plan
 
 
+@pytest.mark.parametrize("name", ["classify_claims", "classify_codes", "gold_trust", "indicator_filter"])
+def test_no_sort_and_the_same_plan_at_any_core_count(spark, name):
+    plan = _plan(QUERIES[name](spark, SF))
+    assert "SortAggregate" not in plan and "RoundRobin" not in plan and "rangepartitioning" not in plan
+
+
+def test_triage_ranks_before_it_fetches_texts(spark):
+    plan = QUERIES["triage"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    ranked = plan.split("GlobalLimit 200")[2].splitlines()
+    folded = next(line for line in ranked if "Aggregate [" in line)
+    assert "trust_score" in folded and "description" not in folded and "capabilities" not in folded
+    assert "rightHint=(strategy=broadcast)" in plan
+
+
+def test_one_scan_finds_claims_and_evidence(spark):
+    found = found_facts(document_entities(spark, SF), NOTICE_PACK)
+    plan = _plan(found)
+    assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan
+    facts = write_facts(document_entities(spark, SF), NOTICE_PACK)
+    assert {tuple(r) for r in claims_of(facts).collect()} == {
+        tuple(r) for r in classify(document_entities(spark, SF), NOTICE_PACK).collect()
+    }
+    assert {tuple(r) for r in evidence_of(facts).collect()} == {
+        tuple(r) for r in find_evidence(document_entities(spark, SF), NOTICE_PACK).collect()
+    }
+
+
+def test_labels_come_before_the_scoring(spark):
+    plan = QUERIES["eval_predictions"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") > plan.index("Generate")
+
+
+def test_readers_deal_only_when_told(spark, tmp_path):
+    assert read_parquet(spark, f"{SF}/documents.parquet").rdd.getNumPartitions() == 1
+    assert read_parquet(spark, f"{SF}/documents.parquet", 6).rdd.getNumPartitions() == 6
+
+
+def test_a_rewrite_that_fails_leaves_the_table(spark):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS src")
+    overwrite_table(spark.range(4), "src.kept")
+    with pytest.raises(Exception, match="wrong|raise"):
+        overwrite_table(spark.range(2).select(F.raise_error(F.lit("wrong")).alias("id")), "src.kept")
+    assert spark.table("src.kept").count() == 4
+    assert overwrite_table(spark.table("src.kept").filter("id > 1"), "src.kept").count() == 2
+
+
 def test_scans_are_pruned_and_filtered(spark):
     plan = _plan(QUERIES["parameterised_sql"](spark, SF))
     assert "EqualTo(lang,en)" in plan and "ReadSchema: struct<lang:string,source:string,n_chars:bigint>" in plan
@@ -79,6 +132,12 @@ def test_build_writes_every_table(spark):
     assert {tuple(r) for r in trust_from_tables(claims, evidence).collect()} == expect
 
 
+def test_packs_are_bounded():
+    rules = tuple(Rule(f"r{i}", ("x",)) for i in range(4097))
+    with pytest.raises(ValueError, match="4096"):
+        RulePack(rules, "a", "b")
+
+
 def test_overwrite_may_change_the_schema(spark):
     spark.sql("CREATE SCHEMA IF NOT EXISTS src")
     assert overwrite_table(spark.range(5), "src.evolving").columns == ["id"]
