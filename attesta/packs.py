@@ -160,6 +160,7 @@ CARE_PACK = RulePack(
     suppress=(("nicu", "icu"),),
 )
 
+# Keys, labels and patterns of the indicators.
 CARE_INDICATORS = IndicatorPack(
     rules=(
         IndicatorRule("temporarily_closed", "Temporarily closed", "operational",

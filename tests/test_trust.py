@@ -15,12 +15,11 @@ from . import brute
 SF = "/root/testdata/sf0.001"
 
 ONE_ELEMENT = [
-    ("capabilities", "NICU facility not available", {"nicu": (0, 1, 0.35, "contradicted")}),
-    ("capabilities", "A multi-specialty trauma center is under construction",
+    ("capabilities", "Level III NICU not available", {"nicu": (0, 1, 0.35, "contradicted")}),
+    ("capabilities", "Second trauma centre block, under construction",
      {"trauma": (0, 1, 0.35, "contradicted")}),
-    ("capabilities", "22-bed Level II Intensive Care Unit (ICU) with 11 ventilator beds",
-     {"icu": (1, 0, 0.73, "unclear")}),
-    ("capabilities", "Ultrasound (sonography) center not available",
+    ("capabilities", "Intensive Care Unit (ICU), 14 beds", {"icu": (1, 0, 0.73, "unclear")}),
+    ("capabilities", "Ultrasound and sonography not available",
      {"radiology": (0, 1, 0.35, "contradicted")}),
     ("capabilities", "neonatal ICU", {"nicu": (1, 0, 0.73, "unclear")}),
     ("specialties", "criticalCareMedicine", {"icu": (0, 0, 0.60, "unclear")}),
