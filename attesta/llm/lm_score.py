@@ -52,10 +52,16 @@ def split(text: bytes) -> list[bytes]:
 
 
 class Vocabulary(dict):
-    """Ids of words; a word without its own goes to a hash bucket of the last class."""
+    """Ids of words; a word without its own goes to a hash bucket of the last class.
+
+    A task remembers the buckets of the words that it met, as long as they are few.
+    """
 
     def __missing__(self, word: bytes) -> int:
-        return VOCABULARY + xxhash.xxh32_intdigest(word) % CLASS_SIZE
+        bucket = VOCABULARY + xxhash.xxh32_intdigest(word) % CLASS_SIZE
+        if len(self) < COUNTER_BOUND:
+            self[word] = bucket
+        return bucket
 
 
 def fresh_params(counts: np.ndarray) -> Params:
