@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import shared_dir
-from ..sources.tables import materialise
+from ..sources import tables
 
 # The white space between words, and the same as characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,7 +18,7 @@ PORTION = 4 << 20
 
 __all__ = [
     "ROW", "SPACE", "SPACE_CHARS", "map_batches", "materialise", "numbered", "portions",
-    "rows_only", "shared_dir", "table", "texts", "words",
+    "rows_only", "table", "texts", "words",
 ]
 
 
@@ -27,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a narrow intermediate under the shared folder and read it back.
+
+    The rows are first gathered into files of the advisory size, as many tasks with a few rows each would
+    leave as many small files.
+    """
+    return tables.materialise(df.hint("rebalance"), name)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; NULL and blank texts give an empty one."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

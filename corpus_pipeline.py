@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm.common import materialise, table
+from attesta.llm.common import table
 from attesta.llm.decontaminate import drop_contaminated
 from attesta.llm.line_dedup import drop_repeated_lines
 from attesta.llm.packing import pack_documents
 from attesta.llm.simhash import keep_one
 from attesta.llm.toxicity import drop_toxic
+from attesta.sources.tables import materialise
 
 CATEGORIES = ("low_quality", "toxic")
 
