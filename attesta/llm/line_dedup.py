@@ -120,14 +120,18 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(f"`{id_col}`").alias("doc_id"), ROW, F.col(f"`{text_col}`").cast("string").alias("text")
     )
     found = materialise(_digests(rows), "chunk-digests")
-    again = found.groupBy("digest").count().filter("count > 1").select("digest")
+    # Written, as the planner splits a crowded key only between two plain exchanges.
+    again = materialise(
+        found.groupBy("digest").count().filter("count > 1").select("digest"), "chunk-repeats"
+    )
     wanted = found.join(again, "digest", "left_semi").groupBy(ROW).agg(
         F.collect_set("line").alias("wanted")
     )
     bodies = materialise(_bodies(rows.join(rows_only(wanted), ROW)), "chunk-bodies")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW, "line")
     first = bodies.groupBy("body").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    later = bodies.join(first.filter("n > 1"), "body").filter(place > F.col("first"))
+    first = materialise(first.filter("n > 1").drop("n"), "chunk-firsts")
+    later = bodies.join(first, "body").filter(place > F.col("first"))
     return later.groupBy(ROW).agg(F.collect_set("line").alias("__lines"))
 
 
