@@ -94,8 +94,9 @@ def resolve_with_provenance(
     if canonical is None:
         known = F.col("state_raw").isin(*CANONICAL_STATES)
     else:
-        names = canonical.select(F.col("state").alias("known_state")).distinct()
-        looked_up = looked_up.join(names, F.col("state_raw") == F.col("known_state"), "left")
+        names = canonical.select(F.col("state").alias("state_raw")).distinct()
+        known_names = names.withColumn("known_state", F.col("state_raw"))
+        looked_up = with_lookup(looked_up, known_names, "state_raw", "facility_id")
         known = F.col("known_state").isNotNull()
     return (
         looked_up.withColumn("district_raw", F.col("pincode_district"))
