@@ -30,7 +30,7 @@ WINDOW = 5
 LITERALS = 3
 SHARE = 0.8
 RUN = 13
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS = 200_000
 
 # Placeholders and the units that become one behind a number.
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"

@@ -64,3 +64,14 @@ def test_stages_equal_brute_force(spark, stages):
 def test_run_equals_the_stages(spark, stages):
     key = lambda rows: sorted(map(str, rows))
     assert key(pipeline.run(spark, SF).collect()) == key(stages["packing"].collect())
+
+
+def test_edges_pass_through_all_stages(spark, edges, no_docs, tmp_path):
+    for name, docs in (("edges", edges.select(*no_docs.columns)), ("none", no_docs)):
+        for stage_name, stage in pipeline.STAGES:
+            path = str(tmp_path / f"{name}-{stage_name}")
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if stage_name != "packing":
+                assert docs.columns == no_docs.columns
+        assert (docs.count() > 0) == (name == "edges")
