@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources import tables
 
@@ -13,7 +15,8 @@ from ..sources import tables
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-ROW = "__row"
+ROW, PATH, PLACE = "__row", "__path", "__place"
+FILE_SHIFT = 40
 PORTION = 4 << 20
 
 __all__ = [
@@ -41,9 +44,10 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """(doc_id, text) alone, so that no further column can clash; a NULL text is empty."""
     return docs.select(
+        *more,
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
@@ -52,10 +56,20 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows with a key of their own in ``__row``, whatever their ids are.
 
-    The key is the position in the scan, so the input has to be a table that was written:
-    its splits, and so the keys, are the same each time they are read, also on a new executor.
+    The key is the file's place among the sorted files and the row's place in its file. It does not
+    depend on how files are split or how many executors there are, so each scan gives the same keys. A table
+    that does not come from Parquet files is written first; call this once and use what it returns.
+    The list of files, one short row each, is broadcast.
     """
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    place = [F.col("_metadata.file_path").alias(PATH), F.col("_metadata.row_index").alias(PLACE)]
+    try:
+        placed = docs.select("*", *place)
+    except AnalysisException:
+        placed = tables.materialise(docs, "rows").select("*", *place)
+    files = sorted(r[0] for r in placed.select(PATH).distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{ROW} long, {PATH} string")
+    key = F.shiftleft(F.col(ROW), FILE_SHIFT) + F.col(PLACE)
+    return placed.join(F.broadcast(numbers), PATH).select(*[f"`{c}`" for c in docs.columns], key.alias(ROW))
 
 
 def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -78,8 +92,6 @@ def map_batches(
 ) -> DataFrame:
     """Apply ``make`` to each Arrow batch; it yields columns by name, in the schema's types."""
     fields = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     target = to_arrow_schema(fields)
 
     def run(batches):

@@ -134,12 +134,12 @@ def _document_values(docs: DataFrame, met: DataFrame) -> DataFrame:
     return split.select(ROW, cut.alias("cut")).select(ROW, F.inline_outer("cut"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, __row, item_id, matched, item_windows, changed_slots): what documents leak."""
+def contaminated(marked: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, __row, item_id, matched, item_windows, changed_slots): what numbered documents leak."""
     bench = benchmark_windows(benchmark)
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
-    rows = numbered(texts(docs))
+    rows = texts(marked, "doc_id", "text", ROW)
     # The outer form, as the plain one would make the optimizer test the arrays below, where every
     # element would compute its text again. The join drops the empty rows.
     seen = _window_hashes(rows, ["doc_id", ROW]).select(
@@ -172,13 +172,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, item_windows, changed_slots) of every leaked item."""
-    return contaminated(docs, benchmark).drop(ROW)
+    return contaminated(numbered(docs), benchmark).drop(ROW)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that leak no item, with all their columns.
-
-    ``docs`` has to be a written table, as its rows are numbered by their places.
-    """
-    found = contaminated(docs, benchmark).select(ROW).distinct()
-    return numbered(docs).join(rows_only(found), ROW, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The rows that leak no item, with all their columns."""
+    rows = numbered(docs)
+    found = contaminated(rows, benchmark).select(ROW).distinct()
+    return rows.join(rows_only(found), ROW, "left_anti").select(*[f"`{c}`" for c in docs.columns])

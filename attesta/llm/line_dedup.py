@@ -114,9 +114,9 @@ def _bodies(rows: DataFrame) -> DataFrame:
     )
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__row, __lines): the first lines of the chunks that go, for every row that loses one."""
-    rows = numbered(docs).select(
+def repeated_chunks(marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__row, __lines): the first lines of the chunks that go, for every numbered row that loses one."""
+    rows = marked.select(
         F.col(f"`{id_col}`").alias("doc_id"), ROW, F.col(f"`{text_col}`").cast("string").alias("text")
     )
     found = materialise(_digests(rows), "chunk-digests")
@@ -138,12 +138,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False
 ) -> DataFrame:
-    """The rows with repeated chunks removed; ``counts`` adds removed_chunks and removed_lines.
-
-    ``docs`` has to be a written table, as its rows are numbered by their places.
-    """
-    lost = rows_only(repeated_chunks(docs, id_col, text_col))
-    marked = numbered(docs).join(lost, ROW, "left")
+    """The rows with repeated chunks removed; ``counts`` adds removed_chunks and removed_lines."""
+    rows = numbered(docs)
+    marked = rows.join(rows_only(repeated_chunks(rows, id_col, text_col)), ROW, "left")
     added = [StructField("removed_chunks", IntegerType()), StructField("removed_lines", IntegerType())]
     schema = StructType([*docs.schema.fields, *(added if counts else [])])
     target, names = to_arrow_schema(schema), docs.columns

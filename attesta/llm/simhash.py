@@ -64,18 +64,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
-    """(doc_id, __row, fp): the fingerprint as a signed long."""
+    """The columns beside the text, and ``fp``, the fingerprint as a signed long."""
+    keep = [c for c in rows.columns if c != "text"]
 
     def make(batch):
         found = [fingerprint(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield {
-            "doc_id": batch.column("doc_id"),
-            ROW: batch.column(ROW),
-            "fp": pa.array(np.array(found, "<u8").view("<i8")),
-        }
+        yield {c: batch.column(c) for c in keep} | {"fp": pa.array(np.array(found, "<u8").view("<i8"))}
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return map_batches(rows.select("doc_id", ROW, "text"), make, f"doc_id {kind}, {ROW} long, fp long")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep)
+    return map_batches(rows.select("text", *keep), make, f"{schema}, fp long")
 
 
 def _block(fp: Column, i: int, bits: int) -> Column:
@@ -191,8 +189,8 @@ def links(fps: DataFrame, radius: int = RADIUS, bound: int = SHARD_BOUND) -> Dat
     return sorted_shards.mapInArrow(run, "a long, b long")
 
 
-def _fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return materialise(fingerprints(numbered(texts(docs, id_col, text_col))), "fingerprints")
+def _fingerprinted(rows: DataFrame) -> DataFrame:
+    return materialise(fingerprints(rows), "fingerprints")
 
 
 def _by_root(folded: DataFrame) -> DataFrame:
@@ -208,7 +206,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``copies`` counts the rows of the component. Components are folded over distinct fingerprints,
     and only the last join meets the rows again.
     """
-    kept = _fingerprinted(docs, id_col, text_col)
+    kept = _fingerprinted(texts(docs, id_col, text_col))
     folded = kept.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     found = _by_root(folded)
     per_root = found.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("copies"))
@@ -219,13 +217,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: that with the smallest id, of equal ids the first in the table.
-
-    ``docs`` has to be a written table, as its rows are numbered by their places.
-    """
+    """One row of each component: that with the smallest id, of equal ids the first in the table."""
+    rows = numbered(docs)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    folded = _fingerprinted(docs, id_col, text_col).groupBy("fp").agg(F.min(place).alias("p"))
+    own = texts(rows, id_col, text_col, ROW)
+    folded = _fingerprinted(own).groupBy("fp").agg(F.min(place).alias("p"))
     first = _by_root(folded).groupBy("root").agg(F.min("p").alias("p"))
-    return numbered(docs).join(rows_only(first.select(f"p.{ROW}")), ROW, "left_semi").select(
+    return rows.join(rows_only(first.select(f"p.{ROW}")), ROW, "left_semi").select(
         *[f"`{c}`" for c in docs.columns]
     )
