@@ -48,7 +48,9 @@ def test_sample_is_bounded_and_its_words_tell(docs_of, labels):
     docs = t.texts(docs_of([r[:2] for r in rows()]))
     sample = t._sample(docs, labels, ("mild", "harsh"), 100)
     assert sample.count() == 100
-    assert set(BAD) <= set(t._telling_terms(t._sample(docs, labels, ("mild", "harsh"), 1000), 2))
+    # A term may be the word or a beginning of it, as one of those that share a stem is taken.
+    terms = t._telling_terms(t._sample(docs, labels, ("mild", "harsh"), 1000), 2)
+    assert all(any(w.startswith(term.rstrip("*")) for term in terms) for w in BAD)
 
 
 def test_later_models_are_fitted_on_out_of_fold_predictions(monkeypatch):
