@@ -6,7 +6,9 @@ the class) gives the probability of the masked word. A document's score is the s
 probabilities of all its words.
 
 Vocabulary. All words of the corpus are counted. The most frequent ones have outputs of their own, in
-classes of equal size by frequency; the others share one class of hash buckets.
+classes of equal size by frequency; the others share one class of hash buckets. The probability of such a
+word is that of its bucket times its share of the words in the bucket, from the counts of all words, which
+are joined to the words of the documents. A word without a count gets the share of ``UNSEEN`` occurrences.
 
 Training covers the whole corpus. Every task goes once over all windows of its documents, in
 mini-batches with Adagrad steps from a common start, whose output biases are the corpus frequencies.
@@ -29,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, materialise, portions, texts
+from .common import ROW, map_batches, materialise, numbered, portions, texts
 
 CLASS_SIZE = 32
 CLASSES = 32
@@ -39,6 +41,7 @@ BATCH = 16384
 RATE = 0.1
 COUNTER_BOUND = 300_000
 BLOCK = 512
+UNSEEN = 0.5
 
 VOCABULARY = CLASS_SIZE * (CLASSES - 1)
 OUTPUTS = CLASS_SIZE * CLASSES
@@ -185,17 +188,43 @@ def count_words(docs: DataFrame) -> DataFrame:
     )
 
 
+def bucket_totals(counted: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """How many words of the corpus each hash bucket has."""
+
+    def run(batches):
+        totals = np.zeros(CLASS_SIZE, np.int64)
+        for batch in batches:
+            ids = np.fromiter(map(vocabulary.__getitem__, batch.column("word").to_pylist()), np.int64)
+            rare = ids >= VOCABULARY
+            np.add.at(totals, ids[rare] - VOCABULARY, batch.column("n").to_numpy()[rare])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(CLASS_SIZE), pa.int32()), pa.array(totals)], ["bucket", "n"]
+        )
+
+    summed = counted.select("word", "n").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(
+        F.sum("n").alias("n")
+    )
+    totals = np.zeros(CLASS_SIZE)
+    for r in summed.collect():
+        totals[r["bucket"]] = r["n"]
+    return totals
+
+
 def fit(docs: DataFrame) -> tuple[Vocabulary, Params]:
     """The vocabulary and the averaged network of all documents."""
+    return fit_counted(docs)[:2]
+
+
+def fit_counted(docs: DataFrame) -> tuple[Vocabulary, Params, DataFrame, np.ndarray]:
+    """The vocabulary, the averaged network, the counts of all words, and the words in each bucket."""
     counted = materialise(count_words(docs), "word-counts")
-    # Results of fixed size: the most frequent words, and how many words all texts have.
+    # Results of fixed size: the most frequent words, and how many words each bucket has.
     top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    total = counted.agg(F.sum("n")).first()[0] or 0
     vocabulary = Vocabulary({bytes(r["word"]): i for i, r in enumerate(top)})
     counts = np.zeros(OUTPUTS)
     counts[: len(top)] = [r["n"] for r in top]
-    counts[VOCABULARY:] = (total - counts.sum()) / CLASS_SIZE
-    return vocabulary, average(docs, vocabulary, fresh_params(counts))
+    counts[VOCABULARY:] = totals = bucket_totals(counted, vocabulary)
+    return vocabulary, average(docs, vocabulary, fresh_params(counts)), counted, totals
 
 
 def average(docs: DataFrame, vocabulary: Vocabulary, start: Params) -> Params:
@@ -235,8 +264,8 @@ def average(docs: DataFrame, vocabulary: Vocabulary, start: Params) -> Params:
     return out
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, params: Params) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, mean_log_prob) of every row."""
+def _sums(docs: DataFrame, vocabulary: Vocabulary, params: Params, less: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_prob) of every row, with ``less`` taken off for each word by its output."""
 
     def make(batch):
         found = [d for _, docs_ in _ids([batch], vocabulary) for d in docs_]
@@ -245,22 +274,63 @@ def score(docs: DataFrame, vocabulary: Vocabulary, params: Params) -> DataFrame:
             context, y, owner = windows(portion)
             for k in range(0, len(y), BATCH):
                 logp = forward(params, context[:, k : k + BATCH], y[k : k + BATCH])
+                if less is not None:
+                    logp = logp - less[y[k : k + BATCH]]
                 sums[start : start + len(portion)] += np.bincount(
                     owner[k : k + BATCH], logp, len(portion)
                 )
         n = np.array([len(d) for d in found], np.int64)
-        mean = [round(float(s / c), 4) if c else None for s, c in zip(sums, n, strict=True)]
-        yield {
-            "doc_id": batch.column("doc_id"), "n_tokens": n, "log_prob": np.round(sums, 2),
-            "mean_log_prob": mean,
-        }
+        yield {"doc_id": batch.column("doc_id"), "n_tokens": n, "log_prob": sums}
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double"
-    return map_batches(docs, make, schema)
+    return map_batches(docs, make, f"doc_id {kind}, n_tokens long, log_prob double")
+
+
+def _rounded(sums: DataFrame) -> DataFrame:
+    n, total = F.col("n_tokens"), F.col("log_prob")
+    mean = F.when(n > 0, F.round(total / n, 4))
+    return sums.select("doc_id", "n_tokens", F.round(total, 2).alias("log_prob"), mean.alias("mean_log_prob"))
+
+
+def score(docs: DataFrame, vocabulary: Vocabulary, params: Params) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, mean_log_prob) of every row, by outputs: a bucket counts as one word."""
+    return _rounded(_sums(docs, vocabulary, params))
+
+
+def _rare_words(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(__row, word, times): the words of each row without outputs of their own."""
+    own = frozenset(vocabulary)
+
+    def make(batch):
+        at, word, times = [], [], []
+        for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            counts = Counter(w for w in split(text) if w not in own)
+            at += [i] * len(counts)
+            word += counts
+            times += counts.values()
+        yield {ROW: batch.column(ROW).take(pa.array(at, pa.int32())), "word": word, "times": times}
+
+    return map_batches(rows.select(ROW, "text"), make, f"{ROW} long, word binary, times int")
+
+
+def score_words(
+    rows: DataFrame, vocabulary: Vocabulary, params: Params, counted: DataFrame, totals: np.ndarray
+) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, mean_log_prob) of every numbered row, by words."""
+    less = np.zeros(OUTPUTS)
+    less[VOCABULARY:] = np.log(totals + UNSEEN)
+    keyed = rows.select(F.struct("doc_id", ROW).alias("doc_id"), "text")
+    sums = _sums(keyed, vocabulary, params, less).select("doc_id.*", "n_tokens", "log_prob")
+    met = _rare_words(rows, vocabulary).join(counted, "word", "left")
+    shares = met.groupBy(ROW).agg(
+        F.sum(F.col("times") * F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))).alias("more")
+    )
+    return _rounded(sums.join(shares, ROW, "left").select(
+        "doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob")
+    ))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on all texts, then score them all."""
-    rows = texts(docs, id_col, text_col)
-    return score(rows, *fit(rows))
+    rows = texts(numbered(docs), id_col, text_col, ROW)
+    return score_words(rows, *fit_counted(rows))

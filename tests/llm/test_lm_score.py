@@ -112,3 +112,26 @@ def test_counts_and_edges(edges, no_docs):
     counted = {bytes(r["word"]): r["n"] for r in lm.count_words(lm.texts(edges)).collect()}
     assert sum(counted.values()) == sum(len((t or "").encode().split()) for _, t in edge_texts())
     assert lm.pseudo_likelihood(no_docs).count() == 0
+
+
+def one_word_rows():
+    """One word a row: 1,000 common words and 1,500 rare ones, some of them more often than others."""
+    words = [f"common{i}" for i in range(1000) for _ in range(8)]
+    return list(enumerate(words + [f"rare{i}" for i in range(1500) for _ in range(1 + 3 * (i % 2))]))
+
+
+def test_words_in_a_bucket_share_its_probability(docs_of):
+    found = {r["doc_id"]: r["log_prob"] for r in lm.pseudo_likelihood(docs_of(one_word_rows())).collect()}
+    got = {w: found[i] for i, w in one_word_rows()}
+    assert sum(math.exp(p) for p in got.values()) < 1.05
+    bucket = {w: lm.Vocabulary()[w.encode()] for w in got if w.startswith("rare")}
+    often, once = (next(w for w in bucket if bucket[w] == lm.VOCABULARY and int(w[4:]) % 2 == odd) for odd in (1, 0))
+    assert math.isclose(got[often] - got[once], math.log(4), abs_tol=0.02)
+
+
+def test_unseen_words_score_below_seen_ones(docs_of):
+    model = lm.fit_counted(lm.texts(docs_of(one_word_rows())))
+    test = docs_of([(i, f"rare{i}") for i in range(200)] + [(1000 + i, f"unseen{i}") for i in range(200)])
+    rows = lm.texts(lm.numbered(test), "doc_id", "text", lm.ROW)
+    got = {r["doc_id"]: r["log_prob"] for r in lm.score_words(rows, *model).collect()}
+    assert min(got[i] for i in range(200)) > max(got[1000 + i] for i in range(200))
