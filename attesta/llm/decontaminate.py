@@ -41,6 +41,9 @@ UNITS = (
     "months", "years", "dollars", "euros", "cents", "degrees", "percent", "usd", "eur", "gbp",
 )
 
+# Fixed value: punctuation that is no part of a value.
+AROUND = ".,;:!?()[]\"'"
+
 _UNIT = "|".join(u.replace("/", "\\/") for u in sorted(UNITS, key=len, reverse=True))
 _VALUE = r"[$€£]?[+-]?\d+(?:[.,:/]\d+)*"
 _EDGE = r"(?=[.,;:!?)\]\"']*(?:[\x20\x09-\x0D]|$))"
@@ -64,6 +67,11 @@ def template(spaced_text: Column) -> Column:
     return F.lower(F.regexp_replace(names, r"(?<=[\p{L}\p{N}>])[.,;:!?]+(?=[\x20\x09-\x0D]|$)", ""))
 
 
+def value(word: Column) -> Column:
+    """A word as the value of a slot: without the punctuation around it."""
+    return F.btrim(word, F.lit(AROUND))
+
+
 def _is_slot(word: Column) -> Column:
     return F.contains(word, F.lit(NUMBER)) | F.contains(word, F.lit(UNIT)) | F.contains(word, F.lit(NAME))
 
@@ -104,7 +112,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         "item_id", "windows", words(F.col("spaced")).alias("raw"), words(F.col("template")).alias("words")
     )
     values = F.transform(
-        "words", lambda w, i: F.when(_is_slot(w), F.get(F.col("raw"), i))
+        "words", lambda w, i: F.when(_is_slot(w), value(F.get(F.col("raw"), i)))
     )
     valued = split.select("item_id", "windows", F.size("words").alias("n"), values.alias("values"))
     window = F.transform(
@@ -128,7 +136,7 @@ def _document_values(docs: DataFrame, met: DataFrame) -> DataFrame:
     cut = F.transform(
         "places",
         lambda p: F.struct(
-            p.alias("p"), F.when(F.size("raw") > p, F.slice("raw", p + 1, WINDOW)).alias("raw")
+            p.alias("p"), F.when(F.size("raw") > p, F.transform(F.slice("raw", p + 1, WINDOW), value)).alias("raw")
         ),
     )
     return split.select(ROW, cut.alias("cut")).select(ROW, F.inline_outer("cut"))

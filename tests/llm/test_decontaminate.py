@@ -53,3 +53,8 @@ def test_drop_native_and_empty(spark, docs_of, no_docs):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
     assert leaks(no_docs, bench(spark)).count() == 0
     assert leaks(docs, bench(spark).limit(0)).count() == 0
+
+
+def test_punctuation_is_no_part_of_a_value(spark, docs_of):
+    texts = [(1, ITEMS[1][1].replace("does Mary still", "does Mary, still"))]
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs_of(texts), bench(spark)).collect()} == {(1, 2), (1, 7)}
