@@ -2,20 +2,23 @@
 
 Numbers, units behind numbers and names (capitalised words inside a sentence) become typed
 placeholders, so a question asked again with other figures or other names has the same template. Windows
-of ``WINDOW`` template words are hashed and joined with those of the benchmark. A window counts when
-it holds at least ``LITERALS`` words that are no placeholders.
+of ``WINDOW`` template words are hashed and joined with those of the benchmark. A window with less than
+``LITERALS`` words that are no placeholders says too little as a template: it is hashed with its values in
+place of the placeholders, so it meets only windows with the same values.
 
 Matches of a document and an item are grouped by their diagonal, the distance of the two places, so each
 occurrence stands alone. In it every value of the item has to stand for one value of the
 document throughout: an occurrence with inconsistent slots is dropped. A document is contaminated by an
-item when consistent occurrences cover ``SHARE`` of the item's windows, or a passage of ``RUN`` words.
+item when consistent occurrences cover ``SHARE`` of the item's windows, or a passage of ``RUN`` words. The
+windows that are templates are counted first; where they do not suffice, all windows are. ``matched`` and
+``item_windows`` are of the count that sufficed.
 
 Benchmark windows are broadcast when counted to be few; above ``BROADCAST_WINDOWS`` the join shuffles.
 Only hashes and places are compared; the texts behind matches are read once more where an item has values
 to check. Nothing is collected by document but the places and slots that matched.
 
 Defined cases: NULL texts are empty on both sides; items shorter than a window are one window of all their
-words; items without enough literal words match nothing. A document that repeats an item is listed once.
+words, which only texts of these words alone hold. A document that repeats an item is listed once.
 Repeated rows are listed each; of equal items each is listed. NULL ids stay NULL. Empty tables give no
 rows. Other columns are not read.
 """
@@ -90,21 +93,31 @@ def _templated(rows: DataFrame, ids: list[str]) -> DataFrame:
 
 def _window_hashes(rows: DataFrame, ids: list[str]) -> DataFrame:
     """ids, windows: the hashes of the template windows of a text, in their order."""
-    coded = _templated(rows, ids).select(
-        *ids, F.transform(words(F.col("template")), lambda w: F.xxhash64(w)).alias("h")
+    split = _templated(rows, ids).select(
+        *ids, words(F.col("template")).alias("words"), words(F.col("spaced")).alias("raw")
     )
-    h = F.col("h")
-    starts = F.slice(h, 1, F.greatest(F.size(h) - (WINDOW - 1), F.least(F.size(h), F.lit(1))))
-    return coded.select(
-        *ids,
+    coded = split.select(
+        *ids, F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
+        F.transform("words", lambda w: F.when(_is_slot(w), 1).otherwise(0)).alias("s"),
         F.transform(
-            starts, lambda first, i: F.xxhash64(first, *[F.get(h, i + k) for k in range(1, WINDOW)])
-        ).alias("windows"),
+            "words", lambda w, i: F.when(_is_slot(w), F.xxhash64(w, value(F.get(F.col("raw"), i))))
+        ).alias("v"),
     )
+    h, s, v = F.col("h"), F.col("s"), F.col("v")
+    starts = F.slice(h, 1, F.greatest(F.size(h) - (WINDOW - 1), F.least(F.size(h), F.lit(1))))
+
+    def window(first, i):
+        slots = sum((F.coalesce(F.get(s, i + k), F.lit(1)) for k in range(WINDOW)), F.lit(0))
+        exact = [F.coalesce(F.get(v, i + k), F.get(h, i + k)) for k in range(WINDOW)]
+        return F.when(
+            slots <= WINDOW - LITERALS, F.xxhash64(first, *[F.get(h, i + k) for k in range(1, WINDOW)])
+        ).otherwise(F.xxhash64(F.lit("values"), *exact))
+
+    return coded.select(*ids, F.transform(starts, window).alias("windows"))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, hash, q, slots, item_windows): the windows that count, ``slots`` with their values."""
+    """(item_id, hash, q, slots, item_windows, all_windows): ``slots`` with the values of templates, else NULL."""
     rows = texts(benchmark, "item_id").select(F.col("doc_id").alias("item_id"), "text")
     hashed = _window_hashes(rows.withColumn("item", F.struct("item_id", "text")), ["item"])
     bodies = _templated(hashed.select("item.item_id", "item.text", "windows"), ["item_id", "windows"])
@@ -120,9 +133,12 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         lambda w, i: F.struct(w.alias("hash"), i.alias("q"), F.slice("values", i + 1, WINDOW).alias("slots")),
     )
     found = valued.select("item_id", "n", F.inline(window))
+    # A short item has fewer words than a window, so absent ones are no literals.
     literals = F.size(F.filter("slots", lambda v: v.isNull()))
-    return found.filter((F.col("n") >= LITERALS) & (literals >= LITERALS)).select(
-        "item_id", "hash", "q", "slots", F.count("*").over(Window.partitionBy("item_id")).alias("item_windows"),
+    item = Window.partitionBy("item_id")
+    return found.withColumn("slots", F.when(literals >= LITERALS, F.col("slots"))).select(
+        "item_id", "hash", "q", "slots", F.count("slots").over(item).alias("item_windows"),
+        F.count("*").over(item).alias("all_windows"),
     )
 
 
@@ -162,20 +178,29 @@ def contaminated(marked: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     no_pairs = F.array().cast("array<struct<item:string,doc:string>>")
     occurrences = valued.groupBy(
-        "doc_id", ROW, "item_id", "item_windows", (F.col("p") - F.col("q")).alias("diagonal")
+        "doc_id", ROW, "item_id", "item_windows", "all_windows", (F.col("p") - F.col("q")).alias("diagonal")
     ).agg(
-        F.collect_set("q").alias("places"),
+        F.collect_set(F.when(F.col("slots").isNotNull(), F.col("q"))).alias("places"),
+        F.collect_set("q").alias("all_places"),
         F.array_distinct(F.flatten(F.collect_set(F.coalesce(pairs, no_pairs)))).alias("slots"),
     )
     values = F.array_distinct(F.transform("slots", lambda s: s["item"]))
     consistent = occurrences.filter(F.size(values) == F.size("slots"))
     changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
-    found = consistent.groupBy("doc_id", ROW, "item_id", "item_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"),
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    found = consistent.groupBy("doc_id", ROW, "item_id", "item_windows", "all_windows").agg(
+        distinct("places").alias("matched"),
+        distinct("all_places").alias("all_matched"),
         F.max(changed).alias("changed_slots"),
     )
-    enough = F.least(F.ceil(F.col("item_windows") * SHARE), F.lit(RUN - WINDOW + 1))
-    return found.filter(F.col("matched") >= enough)
+    enough = lambda n: F.least(F.ceil(F.col(n) * SHARE), F.lit(RUN - WINDOW + 1))
+    by_templates = (F.col("item_windows") > 0) & (F.col("matched") >= enough("item_windows"))
+    return found.filter(by_templates | (F.col("all_matched") >= enough("all_windows"))).select(
+        "doc_id", ROW, "item_id",
+        F.when(by_templates, F.col("matched")).otherwise(F.col("all_matched")).alias("matched"),
+        F.when(by_templates, F.col("item_windows")).otherwise(F.col("all_windows")).alias("item_windows"),
+        "changed_slots",
+    )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -58,3 +58,13 @@ def test_drop_native_and_empty(spark, docs_of, no_docs):
 def test_punctuation_is_no_part_of_a_value(spark, docs_of):
     texts = [(1, ITEMS[1][1].replace("does Mary still", "does Mary, still"))]
     assert {(r["doc_id"], r["item_id"]) for r in leaks(docs_of(texts), bench(spark)).collect()} == {(1, 2), (1, 7)}
+
+
+def test_items_rich_in_values_are_found_word_for_word(spark, docs_of):
+    numbers = "12 34 56 78 90 11 22 33 44 55"
+    items = [(1, numbers), (2, "capital of France?"), (3, "of Paris Berlin London Madrid Rome Vienna Prague"), (4, "yes")]
+    around = "some words before {} and some words behind".format
+    texts = [(1, around(numbers)), (2, "capital of France?"), (3, around(items[2][1])), (4, around(numbers[::-1])),
+             (5, "capital of Spain?"), (6, around("of Paris Oslo London Lisbon Rome Athens Prague")), (7, "yes"), (8, "12 34")]
+    found = leaks(docs_of(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 2), (3, 3), (7, 4)}
