@@ -13,7 +13,9 @@ numbers each) reach the driver, where numpy fits ridge-penalised logistic regres
 document in full.
 
 A document is rejected when the last category's probability reaches its threshold: the lowest one, at
-least ``LEAST_THRESHOLD``, above which out-of-fold predictions are right in ``PRECISION`` of the cases.
+least ``LEAST_THRESHOLD``, above which out-of-fold predictions are right in ``PRECISION`` of the cases. Where
+no threshold is that precise, as with noisy labels, the one with the best out-of-fold F score counts, and none
+if no prediction above ``LEAST_THRESHOLD`` is right.
 
 Defined cases: NULL text is empty and scored as such. Labels that are NULL, and labelled ids without a
 document, are not used; of several labels of one id the largest counts; of several documents of one id
@@ -128,12 +130,20 @@ def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
-    """The lowest cut from which on the predictions are right often enough; above 1 if there is none."""
+    """The lowest cut from which on the predictions are right often enough.
+
+    Where no cut is, the one with the best F score counts; above 1 only where none has a right prediction.
+    """
     order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
+    hits = np.cumsum(y[order])
+    right = hits / np.arange(1, len(p) + 1)
     last = np.append(p[order][1:] < p[order][:-1], True) if len(p) else np.zeros(0, bool)
     good = last & (right >= precision) & (p[order] >= LEAST_THRESHOLD)
-    return float(p[order][good].min()) if good.any() else 2.0
+    if good.any():
+        return float(p[order][good].min())
+    allowed = last & (p[order] >= LEAST_THRESHOLD) & (hits > 0)
+    score = np.where(allowed, 2 * hits / (np.arange(1, len(p) + 1) + y.sum()), 0.0)
+    return float(p[order][int(np.argmax(score))]) if allowed.any() else 2.0
 
 
 def fit_models(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> tuple:

@@ -92,3 +92,9 @@ def test_edges(spark, edges, no_docs, labels):
     assert t.toxicity(no_docs, labels, ("mild", "harsh")).count() == 0
     one = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (14, 1, 0)], "doc_id long, mild int, harsh int")
     assert t.toxicity(edges, one, ("mild", "harsh")).count() == len(edge_texts())
+
+
+def test_threshold_with_noisy_labels_is_the_best_by_f_score():
+    p = np.array([0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.1])
+    y = np.array([0, 1, 1, 1, 0, 0, 1])
+    assert t.threshold(p, y, 0.95) == 0.7
