@@ -12,7 +12,7 @@ lengths are shuffled, never texts. Bitmaps are exact: bits are numbered inside t
 
 Defined cases: a NULL text has no tokens; a document without tokens gets one row without a bin. NULL
 sources and NULL clusters conflict with nothing. Repeated rows are packed apart, as they share source and
-cluster. Ties in length go by id, source and cluster. A NULL id is packed as any other. An empty table
+cluster. Ties in length go by id, source and cluster. A NULL id is packed as any other. With a row key, repeated rows are dealt over all shards. An empty table
 gives an empty table. Other columns are not read.
 """
 
@@ -25,7 +25,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, SPACE_CHARS
+from .common import ROW, SPACE, SPACE_CHARS, numbered
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -97,14 +97,18 @@ def pack_shard(rows: list[tuple], capacity: int, name: str) -> list[tuple]:
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Placements of a table (doc_id, source, cluster, n_tokens): bin, offset and token range."""
+    """Placements of a table (doc_id, source, cluster, n_tokens): bin, offset and token range.
+
+    A key in ``__row``, where there is one, takes part in the dealing.
+    """
     if capacity < 1 or shard_rows < 1:
         raise ValueError("capacity and shard_rows have to be positive")
-    rows = rows.select("doc_id", "source", "cluster", "n_tokens")
+    own = [ROW] if ROW in rows.columns else []
+    rows = rows.select("doc_id", "source", "cluster", "n_tokens", *own)
     shards = max(1, math.ceil(rows.count() / shard_rows))
     dealt = rows.withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens"), F.lit(shards)).cast("int")
-    )
+        "shard", F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens", *own), F.lit(shards)).cast("int")
+    ).drop(ROW)
     names = [c.split()[0] for c in PLACED.split(", ")]
 
     def run(key, pdf):
@@ -119,15 +123,22 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     return dealt.groupBy("shard").applyInPandas(run, PLACED.format(id=kind))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Placements of a table of documents, by words, with exact copies as clusters."""
+def pack_documents(
+    docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster: Column | None = None
+) -> DataFrame:
+    """Placements of a table of documents, by words, with exact copies as clusters or those given.
+
+    ``cluster`` is a column over ``docs``, such as the class of a near-duplicate search.
+    """
     text = F.col("text").cast("string")
     return pack(
-        docs.select(
+        numbered(docs).select(
+            ROW,
             "doc_id",
             F.col("source").cast("string").alias("source"),
-            copy_cluster(text).alias("cluster"),
+            (copy_cluster(text) if cluster is None else cluster).alias("cluster"),
             word_count(text).alias("n_tokens"),
         ),
         capacity,
+        shard_rows,
     )

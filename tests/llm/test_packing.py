@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from attesta.llm.packing import pack, pack_documents, pack_shard
 
 from . import brute
@@ -53,3 +55,17 @@ def test_documents_and_empty(edges, no_docs):
     long = sorted((p["piece"], p["start"]) for p in placed if p["doc_id"] == 7)
     assert long == [(k, 500 * k) for k in range(len(long))] and len(long) == 96
     assert pack_documents(no_docs).count() == 0
+
+
+def test_repeated_rows_are_dealt_over_shards(docs_of):
+    docs = docs_of([(None if i % 2 else 7, "the same four words") for i in range(400)])
+    bins = [r["bin_id"] for r in pack_documents(docs, shard_rows=20).collect()]
+    assert len(bins) == 400 and len({b.split("-")[0] for b in bins}) > 15
+
+
+def test_clusters_may_be_given(docs_of):
+    docs = docs_of([(0, "a text"), (4, "another text"), (8, "third text here")]).drop("source").selectExpr(
+        "*", "CAST(NULL AS string) AS source"
+    )
+    apart = pack_documents(docs, cluster=F.lit(1)).collect()
+    assert len({r["bin_id"] for r in apart}) == 3 and len({r["bin_id"] for r in pack_documents(docs).collect()}) == 1
