@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .alignment import align_tokenizers
 from .chat import digests, events_of_turns, format_chats
 from .common import table
 from .decontaminate import leaks
+from .html_extract import main_text
 from .line_dedup import drop_repeated_lines
 from .lm_score import pseudo_likelihood
 from .packing import pack_documents
 from .passages import repeated_passages
+from .prefix_trie import prefix_trie
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets, span_digests
 from .simhash import simhash_components
@@ -84,6 +87,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of both tokenizers in every document, scored by corpus-wide pair counts."""
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text(table(spark, sf_dir, "pages")).drop("n_lines")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations, with their rolled-up totals."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -95,4 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_html_extract": op12_html_extract,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -77,4 +77,82 @@ SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(trained) AS loss
 FROM joined
 """
 
-ORACLE_SQL = {"op3_quality_rules": QUALITY, "op8_chat_format": CHATS}
+# The pages of the test tables have one article element each; its blocks are paragraphs and headings.
+PAGES = r"""
+WITH cut AS (
+  SELECT page_id, url, string_split_regex(
+    regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS pieces
+  FROM pages
+), plain AS (
+  SELECT page_id, url, list_filter(list_transform(pieces, lambda b: trim(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(b, '<br>|</?b>', ' ', 'g'), '&quot;?', '"', 'g'),
+      '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda b: b <> '') AS blocks
+  FROM cut
+)
+SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text,
+  CAST(length(array_to_string(blocks, chr(10) || chr(10))) AS BIGINT) AS n_chars,
+  CAST(len(blocks) AS BIGINT) AS n_blocks
+FROM plain
+"""
+
+# The rest of a CRC-32 by its bits: 3988292384 is its polynomial, reversed.
+TRIE = r"""
+WITH placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id
+      ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), counted AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
+    list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+      lambda i: CAST(ord(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT)) AS bytes
+  FROM placed GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, n, base, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, list_reduce(
+    [0, 1, 2, 3, 4, 5, 6, 7], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c & 255, b))),
+    CAST(4294967295 AS BIGINT)), 4294967295) % 4 AS h
+  FROM counted
+), plan AS (
+  SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken,
+    least(c.h, coalesce(b.n, 0)) + greatest(c.n - c.h, 0) AS length
+  FROM hashed c LEFT JOIN hashed b ON b.conv_id = c.base
+), turns AS (
+  SELECT conv_id, p - h + taken AS d, role, text, length FROM placed JOIN plan USING (conv_id) WHERE p > h
+  UNION ALL
+  SELECT c.conv_id, t.p, t.role, t.text, c.length
+  FROM plan c JOIN placed t ON t.conv_id = c.base AND t.p <= c.taken
+), path AS (
+  SELECT conv_id, d, length, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+      OVER (PARTITION BY conv_id ORDER BY d) AS k
+  FROM turns
+  UNION ALL
+  SELECT conv_id, 0, length, 0, '' FROM plan
+), above AS (
+  SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS up FROM path
+), node AS (
+  SELECT k, d AS depth, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = length) AS ends
+  FROM above GROUP BY k, d
+), child AS (
+  SELECT up AS k, depth - 1 AS depth, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL
+), own AS (
+  SELECT node.*, coalesce(child.n, 0) AS n_children, CAST(child.n IS NULL AS BIGINT) AS leaf,
+    (n_convs - 1) * words AS saved
+  FROM node LEFT JOIN child USING (k, depth)
+), total AS (
+  SELECT path.k, path.d AS depth, sum(leaf) AS n_leaves, sum(saved) AS saved
+  FROM own JOIN path ON path.conv_id = own.conv_id AND path.d <= own.depth GROUP BY ALL
+)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children,
+  CAST(total.n_leaves AS BIGINT) AS n_leaves, CAST(total.saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(own.ends, '')) AS ends_sha256
+FROM own JOIN total USING (k, depth) LEFT JOIN node up ON up.k = own.up AND up.depth = own.depth - 1
+"""
+
+ORACLE_SQL = {
+    "op3_quality_rules": QUALITY,
+    "op8_chat_format": CHATS,
+    "op12_html_extract": PAGES,
+    "op13_prefix_trie": TRIE,
+}
