@@ -307,12 +307,13 @@ def _small_totals(rows: DataFrame) -> DataFrame:
 def subtree_totals(nodes: DataFrame, path: DataFrame, small: int = SMALL) -> DataFrame:
     """(key, n_leaves, saved_tokens): the sums of both measures over the subtree of every node.
 
-    ``nodes`` has key, parent, conv_id, depth, weight and w_ columns with each node's own measures.
+    ``nodes`` has key, parent, conv_id, depth, weight, comp (the key of the top) and w_ columns with each node's
+    own measures.
     """
     active = nodes.select(
-        "key", "parent", "conv_id", "depth", F.lit(None).cast("binary").alias("comp"), "weight",
-        *[f"w_{t}" for t in TOTALS], *[F.lit(0).cast("long").alias(f"s_{t}") for t in TOTALS],
-    ).withColumn("comp", _root())
+        "key", "parent", "conv_id", "depth", "comp", "weight", *[f"w_{t}" for t in TOTALS],
+        *[F.lit(0).cast("long").alias(f"s_{t}") for t in TOTALS],
+    )
     ready, finished = [], []
     for _ in range(MAX_ROUNDS):
         big = active.groupBy("comp").agg(F.max("weight").alias("total")).filter(F.col("total") > small)
@@ -426,6 +427,7 @@ def prefix_trie(
         {
             "w_n_leaves": (F.col("n_children") == 0).cast("long"),
             "w_saved_tokens": (F.col("n_convs") - 1) * F.col("words"),
+            "comp": _root(),
         }
     )
     nodes = materialise(nodes.drop("words"), "trie")
