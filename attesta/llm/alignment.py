@@ -124,17 +124,26 @@ class Chunks:
         self.pairs = array("q")
         self.starts = array("q")
 
-    def ids(self, text: str) -> list[int]:
-        """The pieces of a text, new ones encoded; long ones are encoded each time they come."""
-        pieces = CHUNK.findall(" " + text)
-        found = list(map(self.index.get, pieces))
-        if None in found:
-            new = list(dict.fromkeys(p for p, i in zip(pieces, found, strict=True) if i is None))
+    def ids(self, block: list[str | None]) -> list[np.ndarray]:
+        """The pieces of each text, none where a tokenizer changes it; new ones are encoded together.
+
+        Long pieces are encoded for each block that has them.
+        """
+        pieces = [CHUNK.findall(" " + t) if t else [] for t in block]
+        found = [list(map(self.index.get, own)) for own in pieces]
+        new = dict.fromkeys(p for own, ids in zip(pieces, found, strict=True) if None in ids
+                            for p, i in zip(own, ids, strict=True) if i is None)
+        if new:
             at = dict(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
-            self._add(new)
+            self._add(list(new))
             self.index.update((p, i) for p, i in at.items() if len(p) <= KEPT_LENGTH)
-            found = [at[p] if i is None else i for p, i in zip(pieces, found, strict=True)]
-        return found
+            found = [
+                [at[p] if i is None else i for p, i in zip(own, ids, strict=True)] if None in ids else ids
+                for own, ids in zip(pieces, found, strict=True)
+            ]
+        out = [np.array(ids, np.int64) for ids in found]
+        same = np.frombuffer(self.same, np.uint8)
+        return [ids if same[ids].all() else ids[:0] for ids in out]
 
     def _add(self, new: list[str]) -> None:
         coded = list(self.pair.encode(new))
@@ -219,11 +228,14 @@ def places(bits: pa.Array, dense: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(bits)), np.diff(ends) // 2), values.astype(np.int64)
 
 
-def postings_of(ids: list[list[int]], chunks: Chunks) -> Iterator[dict]:
+def flattened(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, piece) for all pieces of a block."""
+    return np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate([np.zeros(0, np.int64), *ids])
+
+
+def postings_of(ids: list[np.ndarray], chunks: Chunks) -> Iterator[dict]:
     """The bitmaps and planes of the linked pairs of a block of documents, given as lists of pieces."""
-    lengths = [len(x) for x in ids]
-    flat = np.fromiter((i for x in ids for i in x), np.int64, sum(lengths))
-    pos = np.repeat(np.arange(len(ids)), lengths)
+    pos, flat = flattened(ids)
     key, times = np.unique(pos * max(1, len(chunks.groups)) + flat, return_counts=True)
     parts = -(-times // MOST_TIMES)
     key, last = np.repeat(key, parts), times - (parts - 1) * MOST_TIMES
@@ -248,15 +260,13 @@ def postings_of(ids: list[list[int]], chunks: Chunks) -> Iterator[dict]:
             yield {"plane": plane, **part}
 
 
-def documents_of(ids: list[list[int]], doc_ids: list, chunks: Chunks) -> dict:
+def documents_of(ids: list[np.ndarray], doc_ids: list, chunks: Chunks) -> dict:
     """The figures and group hash of a block of documents; without tokens these are zeros and ''."""
     out = {"pos": range(len(ids)), "doc_id": doc_ids, "groups_sha256": []}
     for x in ids:
-        spelled = ";".join([chunks.groups[i] for i in x])
-        out["groups_sha256"].append(hashlib.sha256(spelled.encode()).hexdigest() if x else "")
-    lengths = [len(x) for x in ids]
-    flat = np.fromiter((i for x in ids for i in x), np.int64, sum(lengths))
-    pos = np.repeat(np.arange(len(ids)), lengths)
+        spelled = ";".join(map(chunks.groups.__getitem__, x.tolist()))
+        out["groups_sha256"].append(hashlib.sha256(spelled.encode()).hexdigest() if len(x) else "")
+    pos, flat = flattened(ids)
     for name in ("n_a", "n_b", "n_groups", "n_links"):
         sums = np.bincount(pos, weights=chunks.figures(name)[flat], minlength=len(ids))
         out[name] = sums.astype(np.int64)
@@ -314,8 +324,7 @@ def index(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE)
             return pa.RecordBatch.from_arrays(full, schema=schema)
 
         for doc_ids, block in blocks(batches):
-            ids = [chunks.ids(t) if t else [] for t in block]
-            ids = [x if all(map(chunks.same.__getitem__, x)) else [] for x in ids]
+            ids = chunks.ids(block)
             yield rows(documents_of(ids, doc_ids, chunks))
             for part in postings_of(ids, chunks):
                 yield rows(part)

@@ -79,8 +79,8 @@ def test_pieces_give_what_whole_texts_give(pair):
     chunks = alignment.Chunks(pair)
     for _ in range(2000):
         text = "".join(rng.choices(ODD, k=rng.randint(1, 40)))
-        spans, ids = whole(pair, text), chunks.ids(text)
-        assert all(chunks.same[i] for i in ids) == (spans is not None)
+        spans, ids = whole(pair, text), chunks.ids([text])[0]
+        assert (len(ids) > 0) == (spans is not None)
         if spans:
             groups = [g.split("|") for i in ids for g in chunks.groups[i].split(";")]
             for k in (0, 1):
