@@ -246,6 +246,19 @@ NOTICE_PACK = RulePack(
     suppress=(("permissive", "common"), ("contact", "common")),
 )
 
+# The same pack a revision later: fewer cards, other words for contact, one more term, stricter cues.
+REVISED_NOTICE_PACK = RulePack(
+    rules=(
+        *(r for r in NOTICE_PACK.rules if r.capability not in ("contact", "card")),
+        Rule("contact", (r"\b[a-z0-9.]+@[a-z0-9]+\.example\.(com|net|org)\b",), ("src7",)),
+        Rule("card", (r"\b4\d{12,18}\b",)),
+        Rule("article", (r"\bthis\b",)),
+    ),
+    cue_before=NOTICE_CUE_BEFORE,
+    cue_after=NOTICE_CUE_AFTER,
+    suppress=NOTICE_PACK.suppress,
+)
+
 NOTICE_INDICATORS = IndicatorPack(
     rules=(
         IndicatorRule("restricted", "Use is restricted", "operational",

@@ -217,3 +217,46 @@ def scenario_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("unclear")).alias("expected_status"),
         F.concat(F.lit("quality "), F.col("quality"), F.lit(" toxic "), F.col("toxic")).alias("rationale"),
     )
+
+
+def district_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as districts: overlapping stars with a hole, corners on the longitudes of the customers."""
+    x, y = 4.0 * F.col("n_nationkey"), 20.0 + 10.0 * (F.col("n_nationkey") % 5)
+    ring = lambda corners: F.array(*[
+        F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in corners])
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("district_id"),
+        F.array(ring(STAR), ring(HOLE)).alias("rings"),
+    )
+
+
+# Corners of the test districts around their centre, outer ring and hole.
+STAR = ((-6, -20), (0, -10), (6, -20), (4, 0), (6, 20), (0, 10), (-6, 20), (-4, 0))
+HOLE = ((-1, -3), (1, -3), (1, 3), (-1, 3))
+
+
+def state_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations under their names, and under their first word with a title."""
+    name = F.initcap(F.regexp_replace("n_name", "_", " "))
+    nations = table(spark, sf_dir, "nation").select(name.alias("state"))
+    return nations.select("state", F.explode(F.array("state", F.concat(F.lit("Republic of "), "state"))).alias("alias"))
+
+
+def misspelt_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with the name of their nation, misspelt in ways that their number decides."""
+    way, at = F.col("c_custkey") % 7, (3 + F.col("c_custkey") % 5).cast("int")
+    name = F.regexp_replace("n_name", "_", " ")
+    cut = lambda s, i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s)))
+    spelled = (
+        F.when(way == 0, F.concat(F.lit("  "), F.lower(name), F.lit("!")))
+        .when(way == 1, cut(name, at))
+        .when(way == 2, cut(cut(name, at), F.lit(2)))
+        .when(way == 3, F.concat(name.substr(F.lit(1), at), F.lit("q"), name.substr(at + 1, F.length(name))))
+        .when(way == 4, F.concat(F.lit("Republic of"), cut(name, at)))
+        .when(way == 5, F.when(F.col("c_custkey") % 2 == 0, F.lit(" ")))
+        .otherwise(F.initcap(name))
+    )
+    joined = table(spark, sf_dir, "customer").join(
+        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
+    )
+    return joined.select(F.col("c_custkey").cast("string").alias("facility_id"), spelled.alias("state_raw"))

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import cleaning as clean
 from ..functions.scoring import status_label, trust_score
 from ..operators import (
-    actions, claims, elements, entity, evaluation, evidence, facts, indicators, inference, needles,
-    quality, reference, serving, trust,
+    actions, aliases, claims, elements, entity, evaluation, evidence, facts, indicators, inference, needles,
+    polygons, quality, reference, serving, similar, snapshots, trust,
 )
-from ..packs import CARE_PACK, NOTICE_INDICATORS, NOTICE_PACK
+from ..packs import CARE_PACK, NOTICE_INDICATORS, NOTICE_PACK, REVISED_NOTICE_PACK
 from ..sources import tables as src
 from ..streaming import verdicts
 from . import bindings as b
@@ -654,3 +654,81 @@ def recorded_notes(spark, d):
 @query
 def validate_actions(spark, d):
     return actions.validate_actions(b.verdict_log(spark, d))
+
+
+# --- similar claims, districts by polygon, state aliases ------------------------
+
+
+@query
+def similar_claims(spark, d):
+    """The probed neighbours; how many of the exact ones they are is ``similar_claims_recall``."""
+    return similar.similar_claims(b.table(spark, d, "embeddings"))
+
+
+@query
+def similar_claims_exact(spark, d):
+    return similar.similar_claims(b.table(spark, d, "embeddings"), exact=True)
+
+
+@query
+def similar_claims_recall(spark, d):
+    return similar.recall_report(b.table(spark, d, "embeddings"))
+
+
+@query
+def polygon_districts(spark, d):
+    """Every district that holds a facility; planning runs the jobs that cover the districts with cells."""
+    return polygons.point_districts(b.facility_source(spark, d), b.district_polygons(spark, d), "unique_id")
+
+
+@query
+def polygon_attach(spark, d):
+    return polygons.attach_polygon_district(
+        b.facility_source(spark, d), b.district_polygons(spark, d), point_id="unique_id"
+    )
+
+
+@query
+def alias_resolution(spark, d):
+    return aliases.resolve_aliases(b.misspelt_states(spark, d), b.state_aliases(spark, d))
+
+
+# --- snapshots ------------------------------------------------------------------
+
+# When the test snapshots are taken; a rejected verdict is no row of them.
+SNAPSHOT_TIMES = ("2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00")
+
+
+def _verdict_snapshot(spark, d, at):
+    log = b.verdict_log(spark, d).filter(F.col("created_at") <= F.lit(at).cast("timestamp_ntz"))
+    return actions.latest_verdicts(log).filter("status != 'rejected'")
+
+
+def _snapshot_log(spark, d):
+    """Three snapshots, the second loaded twice, in a table of their changes."""
+    key, values = actions.VERDICT_KEY, ("status", "reason")
+    table = f"verdict_changes_{uuid.uuid4().hex}"
+    for at in (*SNAPSHOT_TIMES[:2], *SNAPSHOT_TIMES[1:]):
+        snapshots.load_snapshot(spark, table, _verdict_snapshot(spark, d, at), at, key, values)
+    return spark.table(table), key, values
+
+
+@query
+def snapshot_intervals(spark, d):
+    """When each version of a verdict held, over three loaded snapshots; planning loads them."""
+    rows = snapshots.intervals(*_snapshot_log(spark, d))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("valid_from", "valid_to")})
+
+
+@query
+def snapshot_as_of(spark, d):
+    """The second of three loaded snapshots, read back as of a day later."""
+    log, key, values = _snapshot_log(spark, d)
+    return snapshots.as_of(log, F.lit("2024-01-16 00:00:00").cast("timestamp"), key, values)
+
+
+@query
+def trust_flips(spark, d):
+    """Alerts between the trust under one rule pack and under its revision."""
+    before, after = (trust.gold_trust(_docs(spark, d), pack) for pack in (NOTICE_PACK, REVISED_NOTICE_PACK))
+    return _rounded(snapshots.flips(before, after), "old_score", "new_score")

@@ -7,8 +7,12 @@ from attesta.operators.inference import CLASSIFY_PROMPT, EXTRACT_PROMPT
 from attesta.operators.serving import DISTRICT_INDICATORS
 from attesta.packs import (
     CARE_PACK, NAME_ACRONYMS, NAME_SMALL_WORDS, NEEDLE_CUES, NOTICE_INDICATORS, NOTICE_PACK,
+    REVISED_NOTICE_PACK,
 )
 
+from attesta.plans.bindings import HOLE, STAR
+from attesta.plans.catalogue import SNAPSHOT_TIMES
+
 from . import fragments as f
 from .fragments import ctes, q
 
@@ -431,3 +435,124 @@ add("validate_actions", ctes(f.VERDICT) + "\nUNION ALL ".join(
        "('verified', 'rejected', 'needs_info')) FROM verdict",
        "SELECT 'repeated_key', count(*) FILTER (WHERE n > 1) FROM "
        "(SELECT count(*) AS n FROM valid GROUP BY facility_id, claim_id, planner_id)"]))
+
+
+# --- similar claims, districts by polygon, state aliases ------------------------
+
+add("similar_claims_exact", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+met AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS claim_id, round(list_cosine_similarity(a.e, b.e), 9) AS s
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, claim_id) AS rank, claim_id,
+  round(s, 6) AS similarity
+FROM met QUALIFY rank <= 10""")
+add("similar_claims_recall", """
+SELECT count(*) AS n_queries, CAST(sum(least(10, (SELECT count(*) FROM embeddings) - 1)) AS BIGINT) AS n_exact,
+  true AS reached
+FROM embeddings WHERE vec_id % 100 = 0""")
+
+_POINT = """
+point AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS point_id, c_nationkey * 4.0e0 AS x,
+    CASE WHEN c_mktsegment <> 'AUTOMOBILE' THEN c_acctbal / 100.0e0 END AS y
+  FROM customer)
+"""
+
+
+def _ring(corners) -> str:
+    ends = [*corners[1:], corners[0]]
+    return ", ".join(f"({x1}e0, {y1}e0, {x2}e0, {y2}e0)" for (x1, y1), (x2, y2) in zip(corners, ends))
+
+
+_INSIDE = ctes(_POINT, f"""
+edge AS (
+  SELECT n_nationkey AS district_id, 4.0e0 * n_nationkey + dx1 AS x1, 20.0e0 + 10.0e0 * (n_nationkey % 5) + dy1 AS y1,
+    4.0e0 * n_nationkey + dx2 AS x2, 20.0e0 + 10.0e0 * (n_nationkey % 5) + dy2 AS y2
+  FROM nation, (VALUES {_ring(STAR)}, {_ring(HOLE)}) AS r(dx1, dy1, dx2, dy2))""", """
+judged AS (
+  SELECT point_id, district_id,
+    count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) AS crossed,
+    count(*) FILTER (WHERE (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) = 0 AND x BETWEEN least(x1, x2)
+      AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) AS held
+  FROM point, edge WHERE y IS NOT NULL GROUP BY ALL)""", """
+inside AS (SELECT point_id, district_id FROM judged WHERE crossed % 2 = 1 OR held > 0)""")
+add("polygon_districts", _INSIDE + "SELECT * FROM inside")
+add("polygon_attach", _INSIDE + """
+SELECT point_id, min(district_id) AS district_id, count(district_id) AS n_districts,
+  CASE WHEN count(district_id) = 0 THEN 'unresolved' ELSE 'polygon' END AS district_source
+FROM point LEFT JOIN inside USING (point_id) GROUP BY point_id""")
+
+
+def _cut(s: str, i: str) -> str:
+    return f"(substr({s}, 1, {i} - 1) || substr({s}, {i} + 1))"
+
+
+def _normal(c: str) -> str:
+    return rf"trim(regexp_replace(replace(lower({c}), '&', ' and '), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
+
+
+_CUT = _cut("s", "i")
+add("alias_resolution", ctes(f"""
+written AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS row_id, c_custkey % 7 AS way, c_custkey, 3 + c_custkey % 5 AS i,
+    replace(n_name, '_', ' ') AS s
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)""", f"""
+raw AS (
+  SELECT row_id, CASE way WHEN 0 THEN '  ' || lower(s) || '!' WHEN 1 THEN {_CUT} WHEN 2 THEN {_cut(_CUT, "2")}
+    WHEN 3 THEN substr(s, 1, i) || 'q' || substr(s, i + 1) WHEN 4 THEN 'Republic of' || {_CUT}
+    WHEN 5 THEN CASE WHEN c_custkey % 2 = 0 THEN ' ' END ELSE {f.initcap("s")} END AS name_raw
+  FROM written)""", f"""
+canon AS (SELECT {f.initcap("replace(n_name, '_', ' ')")} AS state FROM nation)""", f"""
+told AS (
+  SELECT spelled, {_normal("spelled")} AS alias, state
+  FROM (SELECT state AS spelled, state FROM canon UNION ALL SELECT 'Republic of ' || state, state FROM canon))""", f"""
+named AS (SELECT row_id, name_raw, coalesce({_normal("name_raw")}, '') AS name FROM raw)""", """
+near AS (
+  SELECT DISTINCT name, state, levenshtein(name, alias) AS distance FROM (SELECT DISTINCT name FROM named), told
+  WHERE levenshtein(name, alias) <= CASE WHEN length(name) >= 8 THEN 2 WHEN length(name) >= 4 THEN 1 ELSE 0 END)""", """
+best AS (
+  SELECT name, min(distance) AS distance, min(state) AS state, count(DISTINCT state) AS n
+  FROM (SELECT * FROM near QUALIFY distance = min(distance) OVER (PARTITION BY name)) GROUP BY name)""") + """
+SELECT row_id, name_raw, CASE WHEN n = 1 THEN state END AS state, CAST(distance AS INT) AS distance,
+  CASE WHEN name = '' THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN name_raw IN (SELECT spelled FROM told) THEN 'exact'
+    WHEN distance = 0 THEN 'spelling' WHEN distance > 0 THEN 'edits' ELSE 'unknown' END AS reason
+FROM named LEFT JOIN best USING (name)""")
+
+# --- snapshots ------------------------------------------------------------------
+
+_AT = [f"TIMESTAMP '{t}'" for t in SNAPSHOT_TIMES]
+_SNAPSHOTS = ctes(f.VERDICT, f"""
+taken AS (
+  SELECT n, t, lead(t) OVER (ORDER BY n) AS following
+  FROM (VALUES {", ".join(f"({i}, {t})" for i, t in enumerate(_AT))}) AS v(n, t))""", """
+snapshot AS (
+  SELECT n, t, facility_id, claim_id, planner_id, status, reason FROM valid JOIN taken ON created_at <= t
+  QUALIFY row_number() OVER (PARTITION BY n, facility_id, claim_id, planner_id ORDER BY created_at DESC, seq DESC) = 1)""", """
+held AS (SELECT * FROM snapshot WHERE status <> 'rejected')""")
+add("snapshot_intervals", _SNAPSHOTS + """
+, version AS (
+  SELECT *, coalesce(lag(n) OVER w = n - 1 AND lag(status) OVER w = status
+    AND lag(reason) OVER w IS NOT DISTINCT FROM reason, false) AS same
+  FROM held WINDOW w AS (PARTITION BY facility_id, claim_id, planner_id ORDER BY n)
+), island AS (
+  SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END)
+    OVER (PARTITION BY facility_id, claim_id, planner_id ORDER BY n) AS i FROM version
+), span AS (
+  SELECT facility_id, claim_id, planner_id, status, reason, i, min(t) AS valid_from, max(n) AS last
+  FROM island GROUP BY ALL
+)
+SELECT facility_id, claim_id, planner_id, status, reason, valid_from, following AS valid_to
+FROM span JOIN taken ON taken.n = span.last""")
+add("snapshot_as_of", _SNAPSHOTS + "SELECT facility_id, claim_id, planner_id, status, reason FROM held WHERE n = 1")
+_GOLD = "(" + ctes("{parts}") + "SELECT facility_id, capability, status, trust_score FROM trust)"
+_FLIP_RANK = "CASE {c} WHEN 'verified' THEN 1 WHEN 'unclear' THEN 2 ELSE 3 END"
+add("trust_flips", f"""
+SELECT facility_id, capability, o.status AS old_status, n.status AS new_status, round(o.trust_score, 6) AS old_score,
+  round(n.trust_score, 6) AS new_score,
+  CASE WHEN o.status IS NULL THEN 'appeared' WHEN n.status IS NULL THEN 'vanished' ELSE 'changed' END AS change,
+  CASE WHEN o.status IS NULL THEN 'new' WHEN n.status IS NULL THEN 'gone'
+    WHEN {_FLIP_RANK.format(c="n.status")} > {_FLIP_RANK.format(c="o.status")} THEN 'worse' ELSE 'better' END AS alert
+FROM {_GOLD.replace("{parts}", TRUST)} o FULL JOIN {_GOLD.replace("{parts}", f.trust(REVISED_NOTICE_PACK))} n
+  USING (facility_id, capability)
+WHERE o.status IS DISTINCT FROM n.status""")

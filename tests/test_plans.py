@@ -21,7 +21,8 @@ SF = "/root/testdata/sf0.001"
 # Queries that only look at a plan would still write tables or run a stream.
 WRITES = {
     "bronze_copy", "gold_trust_tables", "model_claims", "model_trust", "recorded_notes", "recorded_verdicts",
-    "verifications_stream",
+    "verifications_stream", "snapshot_intervals", "snapshot_as_of", "similar_claims", "similar_claims_exact",
+    "similar_claims_recall",
 }
 
 

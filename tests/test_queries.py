@@ -10,6 +10,9 @@ from .compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
 
+# Queries whose rows depend on a fitted index; tests/test_similar.py measures their recall.
+WITHOUT_SQL = {"similar_claims"}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -17,12 +20,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) == set(ORACLE_SQL) | WITHOUT_SQL
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, con, name):
     assert differences(QUERIES[name](spark, SF), con, ORACLE_SQL[name]) == []
 
