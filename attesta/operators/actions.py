@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.tables import append_table
+from ..sources.tables import append_table, materialise
 
 VERDICTS = ("verified", "rejected", "needs_info")
 VERDICT_KEY = ("facility_id", "claim_id", "planner_id")
@@ -93,9 +93,10 @@ def valid_notes(log: DataFrame) -> DataFrame:
 def _record(rows: DataFrame, checks: dict[str, Column], log_table: str, reject_table: str | None) -> None:
     """Append good rows, stamped, to the log and the others, with what they break, to the reject table.
 
-    Nothing is lost: a row is in one of the two.
+    Nothing is lost: the judged rows are written once, and both appends read what was written, so a row is in one of the
+    two even if the input changes meanwhile.
     """
-    judged = checked(rows, checks)
+    judged = materialise(checked(rows, checks), "judged")
     append_table(stamped(accepted(judged)), log_table)
     append_table(
         rejected(judged).withColumn("rejected_at", F.current_timestamp()),

@@ -8,6 +8,7 @@ from ..functions.cleaning import cut, in_bbox, prefix_match
 from ..functions.scoring import STATUSES, rollup_status, status_rank
 
 PLACE_COLUMNS = ("state", "city")
+BROADCAST_ROWS = 10_000
 
 
 def in_place(entities: DataFrame, place: str | None) -> DataFrame:
@@ -57,8 +58,9 @@ def triage(
         _triaged(trust, narrow, capability, place, min_trust)
         .select(*scores).distinct().orderBy(*ranked).limit(limit)
     )
-    # At most ``limit`` rows of ids and numbers.
-    return wide.join(F.broadcast(top), "facility_id").orderBy(*ranked).limit(limit).select(*columns)
+    # At most ``limit`` rows of ids and numbers; beyond the bound the planner decides by what it measures.
+    few = F.broadcast(top) if limit <= BROADCAST_ROWS else top
+    return wide.join(few, "facility_id").orderBy(*ranked).limit(limit).select(*columns)
 
 
 def triage_counts(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.domains import page_links
 from ..sources.tables import read_parquet
 
 
@@ -260,3 +261,39 @@ def misspelt_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     )
     return joined.select(F.col("c_custkey").cast("string").alias("facility_id"), spelled.alias("state_raw"))
+
+
+def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as saved searches, with conditions that their numbers decide."""
+    k = F.col("s_suppkey")
+    terms = F.array(*map(F.lit, ("permissive", "copyleft", "noncommercial", "contact", "network", "card", "common")))
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("search "), k).alias("search_id"),
+        F.get(terms, (k % 8).cast("int")).alias("capability"),
+        F.when(k % 5 == 1, F.lit("verified")).when(k % 5 == 2, F.lit("contradicted")).alias("status"),
+        F.when(k % 3 == 0, F.concat(F.lit("SRC"), F.col("s_nationkey"))).when(k % 3 == 1, F.lit("f")).alias("place"),
+        F.when(k % 4 > 0, (k % 10) / F.lit(10.0)).alias("min_trust"),
+        F.when(k % 2 == 0, F.array(F.lit("licensed"))).when(k % 7 == 0, F.array(F.lit("english"), F.lit("reachable")))
+        .alias("required"),
+    )
+
+
+# The suffixes under which the hosts of the test pages are registered.
+HOST_SUFFIXES = ("com", "net", "org", "example.com", "example.net", "example.org")
+
+
+def host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in HOST_SUFFIXES], "suffix string")
+
+
+def cross_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The menu links of all pages, each led on to the page that its own page's number and its length name.
+
+    The links of the test pages stay on their hosts, which would leave a graph without edges.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    n = pages.count()
+    led = page_links(pages.filter("page_id % 9 != 4"), keep=("page_id",))
+    chars = F.length(F.regexp_replace("target", "^.*/", "")).cast("long")
+    led = led.select("source", ((F.col("page_id") * 31 + chars * chars * 17) % n).alias("page_id"))
+    return led.join(pages.select("page_id", F.col("url").alias("target")), "page_id").select("source", "target")

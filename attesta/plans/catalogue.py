@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import cleaning as clean
 from ..functions.scoring import status_label, trust_score
 from ..operators import (
-    actions, aliases, claims, elements, entity, evaluation, evidence, facts, indicators, inference, needles,
-    polygons, quality, reference, serving, similar, snapshots, trust,
+    actions, aliases, claims, domains, elements, entity, evaluation, evidence, facts, indicators, inference, needles,
+    polygons, quality, reference, searches, serving, similar, snapshots, trust,
 )
 from ..packs import CARE_PACK, NOTICE_INDICATORS, NOTICE_PACK, REVISED_NOTICE_PACK
 from ..sources import tables as src
@@ -605,6 +605,14 @@ def eval_misses(spark, d):
     return evaluation.misses(_predictions(spark, d))
 
 
+@query
+def label_lines(spark, d):
+    """Expectations written as JSON lines and read back in splits."""
+    path = src.fresh_path(spark, "label-lines")
+    b.scenario_labels(spark, d).write.json(path)
+    return src.read_label_lines(spark, path).select("facility_id", "claim_value", "expected_status", "rationale")
+
+
 # --- reviewer state -----------------------------------------------------------
 
 
@@ -618,6 +626,24 @@ def verifications_stream(spark, d):
     return verdicts.latest_from_stream(b.verdict_stream(spark, d))
 
 
+@query
+def verdict_stream_log(spark, d):
+    """The verdict log and its rejects as one stream has written them."""
+    path, checkpoint = (src.fresh_path(spark, n) for n in ("judged-log", "judged-checkpoint"))
+    stream = b.verdict_stream(spark, d)
+    verdicts.append_judged(stream, path, checkpoint).awaitTermination()
+    judged = verdicts.judged_log(spark, path, stream)
+    return judged.drop("refused").withColumn("broken", F.array_join("broken", ","))
+
+
+@query
+def verifications_state(spark, d):
+    """Latest verdicts as streaming state has kept them."""
+    path, checkpoint = (src.fresh_path(spark, n) for n in ("verdict-state", "state-checkpoint"))
+    verdicts.keep_latest(b.verdict_stream(spark, d), path, checkpoint).awaitTermination()
+    return verdicts.kept_latest(spark, path)
+
+
 @query
 def annotations_log(spark, d):
     return actions.valid_notes(b.note_log(spark, d))
@@ -732,3 +758,31 @@ def trust_flips(spark, d):
     """Alerts between the trust under one rule pack and under its revision."""
     before, after = (trust.gold_trust(_docs(spark, d), pack) for pack in (NOTICE_PACK, REVISED_NOTICE_PACK))
     return _rounded(snapshots.flips(before, after), "old_score", "new_score")
+
+
+# --- saved searches, source quality -----------------------------------------------
+
+
+def _searchable(spark, d):
+    statuses = indicators.indicator_status_map(NOTICE_INDICATORS)
+    available = F.map_keys(F.map_filter(statuses, lambda _, s: s == "available"))
+    return searches.searchable(_trust(spark, d), _docs(spark, d), available)
+
+
+@query
+def saved_search_matches(spark, d):
+    """Every scored pair with every saved search that it satisfies; planning writes the scored pairs."""
+    return _rounded(searches.match_searches(b.saved_searches(spark, d), _searchable(spark, d)), "trust_score")
+
+
+@query
+def shortlist_status(spark, d):
+    """Documents of one language and source as a shortlist, with their trust."""
+    lists = _docs(spark, d).groupBy(F.col("pincode").alias("shortlist_id"))
+    return searches.shortlist_status(lists.agg(F.collect_list("facility_id").alias("facility_ids")), _trust(spark, d))
+
+
+@query
+def source_quality(spark, d):
+    """Registered domains of all pages by their rank in the graph of menu links; planning runs the rounds."""
+    return domains.source_quality(b.table(spark, d, "pages"), b.cross_links(spark, d), b.host_suffixes(spark, d))

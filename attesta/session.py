@@ -32,7 +32,12 @@ def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediates: ``spark.checkpoint.dir``.
 
-    Where that is unset, a folder beside the tables of the warehouse, which is shared as well.
+    Where that is unset, a local session uses a folder beside the tables of the warehouse; on a cluster that could be a
+    folder of one machine, so there it has to be set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediates"
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediates"

@@ -67,18 +67,39 @@ def sample_rows(df: DataFrame, key: str, n: int = 1) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
+def recover_table(spark: SparkSession, name: str) -> None:
+    """Finish or undo a rewrite that a failure has cut off; nothing to do otherwise.
+
+    The old table is set aside only when the new one is complete, so where the name is missing and the old table stands
+    aside, the new one takes the name, or the old one again if there is no new one.
+    """
+    after, before = f"{name}__next", f"{name}__old"
+    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(before):
+        _rename(spark, after if spark.catalog.tableExists(after) else before, name)
+    if spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE IF EXISTS {before}")
+    spark.sql(f"DROP TABLE IF EXISTS {after}")
+
+
+def _rename(spark: SparkSession, name: str, to: str) -> None:
+    spark.sql(f"ALTER TABLE {name} RENAME TO {'.'.join(to.split('.')[-2:])}")
+
+
 def overwrite_table(df: DataFrame, name: str) -> DataFrame:
     """Idempotent full rewrite that may change the schema, read back from storage.
 
-    The rows are written aside and take the name when they are complete, so a failed job leaves
-    the old table, and a table may be rewritten from itself.
+    The rows are written aside; when they are complete the old table steps aside, the new one takes the name, and the
+    old one goes. A table may be rewritten from itself. A failure at any step loses nothing: the next
+    rewrite, or ``recover_table``, first brings the name back.
     """
     spark = df.sparkSession
-    aside = f"{name}__next"
-    spark.sql(f"DROP TABLE IF EXISTS {aside}")
-    df.write.saveAsTable(aside)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {aside} RENAME TO {'.'.join(name.split('.')[-2:])}")
+    after, before = f"{name}__next", f"{name}__old"
+    recover_table(spark, name)
+    df.write.saveAsTable(after)
+    if spark.catalog.tableExists(name):
+        _rename(spark, name, before)
+    _rename(spark, after, name)
+    spark.sql(f"DROP TABLE IF EXISTS {before}")
     return spark.table(name)
 
 
@@ -141,6 +162,14 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     return _json_array(spark, path, SCENARIO, "scenarios")
 
 
+def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Hand labels, one JSON object a line: files are read in splits, however many labels they hold.
+
+    Fields that a line lacks are NULL; a line that is no object gives a row of NULLs.
+    """
+    return spark.read.schema(SCENARIO).json(path)
+
+
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
     """Labelled facilities: a JSON object from facility id to its texts."""
     fields = [f for f in FIXTURE.fields if f.name != "facility_id"]

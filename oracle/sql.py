@@ -556,3 +556,61 @@ SELECT facility_id, capability, o.status AS old_status, n.status AS new_status,
 FROM {_GOLD.replace("{parts}", TRUST)} o FULL JOIN {_GOLD.replace("{parts}", f.trust(REVISED_NOTICE_PACK))} n
   USING (facility_id, capability)
 WHERE o.status IS DISTINCT FROM n.status""")
+
+
+# --- saved searches, source quality -----------------------------------------------
+
+_TERMS = "['permissive', 'copyleft', 'noncommercial', 'contact', 'network', 'card', 'common']"
+add("saved_search_matches", f"""
+WITH search AS (
+  SELECT 'search ' || s_suppkey AS search_id, ({_TERMS})[s_suppkey % 8 + 1] AS capability,
+    CASE s_suppkey % 5 WHEN 1 THEN 'verified' WHEN 2 THEN 'contradicted' END AS status,
+    CASE s_suppkey % 3 WHEN 0 THEN 'src' || s_nationkey WHEN 1 THEN 'f' END AS place,
+    CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 10) / 10.0e0 END AS min_trust,
+    CASE WHEN s_suppkey % 2 = 0 THEN ['licensed'] WHEN s_suppkey % 7 = 0 THEN ['english', 'reachable'] ELSE [] END AS required
+  FROM supplier),
+gold AS ({ctes(TRUST)} SELECT * FROM trust),
+has AS (
+  SELECT facility_id, list(key) AS available
+  FROM ({ctes(INDICATORS)} SELECT facility_id, key FROM best JOIN meta USING (rule_ord) WHERE status = 'available')
+  GROUP BY facility_id)
+SELECT search_id, g.facility_id, g.capability, g.status, round(g.trust_score, 6) AS trust_score
+FROM gold g JOIN documents d ON g.facility_id = CAST(d.doc_id AS VARCHAR) LEFT JOIN has USING (facility_id)
+JOIN search s ON (s.capability IS NULL OR s.capability = g.capability) AND (s.status IS NULL OR s.status = g.status)
+  AND (s.place IS NULL OR starts_with(lower(d.lang), s.place) OR starts_with(lower(d.source), s.place))
+  AND (s.min_trust IS NULL OR g.trust_score >= s.min_trust) AND list_has_all(coalesce(available, []), s.required)""")
+add("shortlist_status", f"""
+WITH gold AS ({ctes(TRUST)} SELECT * FROM trust)
+SELECT lang || '-' || source AS shortlist_id, count(DISTINCT doc_id) AS n_listed, count(DISTINCT facility_id) AS n_known,
+  {", ".join(f"count(*) FILTER (WHERE status = {q(s)}) AS {s}" for s in STATUSES)}
+FROM documents LEFT JOIN gold ON facility_id = CAST(doc_id AS VARCHAR) GROUP BY 1""")
+
+# Enough rounds for the shares to stand still to more than the six digits shown.
+_ROUNDS = 80
+_DOMAIN = r"regexp_extract(lower(url), '://(?:[^/?#@]*@)?[^/:?#]*?((?:[^./:?#]+\.)?example\.(?:com|net|org))(?:[/:?#]|$)', 1)"
+add("source_quality", f"""
+WITH page AS (SELECT page_id, {_DOMAIN} AS domain, html FROM pages),
+led AS (
+  SELECT domain AS src, (page_id * 31 + (length(h) - 1) * (length(h) - 1) * 17) % (SELECT count(*) FROM pages) AS page_id
+  FROM (SELECT page_id, domain, unnest(regexp_extract_all(html, ' href="([^"]*)"', 1)) AS h FROM page WHERE page_id % 9 <> 4)),
+edge AS MATERIALIZED (
+  SELECT src, domain AS dst, count(*) AS n FROM led JOIN page USING (page_id) WHERE src <> domain GROUP BY ALL),
+node AS MATERIALIZED (
+  SELECT domain, count(*) AS n_pages, (SELECT sum(n) FROM edge WHERE src = domain) AS out FROM page GROUP BY domain),
+r0 AS MATERIALIZED (SELECT domain, out, 1.0e0 / (SELECT count(*) FROM node) AS r FROM node),
+""" + ",\n".join(f"""r{i + 1} AS MATERIALIZED (
+  SELECT p.domain, p.out, (0.15e0 + 0.85e0 * (SELECT coalesce(sum(r), 0) FROM r{i} WHERE out IS NULL)) / (SELECT count(*) FROM node)
+    + 0.85e0 * coalesce(g.got, 0) AS r
+  FROM r{i} p LEFT JOIN (SELECT dst, sum(r * n / out) AS got FROM edge JOIN r{i} ON domain = src GROUP BY dst) g
+    ON g.dst = p.domain)""" for i in range(_ROUNDS)) + f"""
+SELECT domain, n_pages, (SELECT count(*) FROM edge WHERE dst = domain) AS n_in, round(r, 6) AS rank,
+  rank() OVER (ORDER BY round(r, 9) DESC) AS place
+FROM r{_ROUNDS} JOIN node USING (domain)""")
+
+add("verdict_stream_log", ORACLE_SQL["recorded_verdicts"])
+add("verifications_state", ORACLE_SQL["verifications_latest"])
+add("label_lines", """
+SELECT CAST(doc_id AS VARCHAR) AS facility_id, 'common' AS claim_value,
+  CASE WHEN toxic = 1 THEN 'contradicted' WHEN quality = 1 THEN 'verified' ELSE 'unclear' END AS expected_status,
+  'quality ' || quality || ' toxic ' || toxic AS rationale
+FROM labels""")

@@ -1,12 +1,15 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators.actions import (
     add_notes, latest_verdicts, planner_history, planner_work, record_verdicts, valid_notes, validate_actions,
 )
 from attesta.schemas import ANNOTATION, VERIFICATION
-from attesta.streaming.verdicts import append_rejected, append_valid, current
+from attesta.streaming.verdicts import (
+    append_judged, append_rejected, append_valid, current, judged_log, keep_latest, kept_latest,
+)
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -86,3 +89,48 @@ def test_stream_equals_batch_and_appends_once(spark, tmp_path):
     assert sorted(r.seq for r in spark.read.parquet(f"{log}-no").collect()) == [6, 7, 8]
     got = current(spark, log, spark.read.schema(VERIFICATION).parquet(inbox))
     assert {(r.facility_id, r.claim_id, r.planner_id): (r.status, r.notes) for r in got.collect()} == WANT
+
+
+def _inbox(spark, path, rows):
+    spark.createDataFrame(rows, VERIFICATION).coalesce(1).write.mode("append").parquet(path)
+
+
+def _failing(stream, seq):
+    """The stream with a row that cannot be read."""
+    lost = F.when(F.col("seq") == seq, F.raise_error(F.lit("lost"))).otherwise(F.col("notes"))
+    return stream.withColumn("notes", lost.cast("string"))
+
+
+def test_one_stream_writes_log_and_rejects_once_also_after_a_failure(spark, tmp_path):
+    inbox, path, checkpoint = (str(tmp_path / n) for n in ("inbox", "judged", "checkpoint"))
+    read = lambda: spark.readStream.schema(VERIFICATION).option("maxFilesPerTrigger", 1).parquet(inbox)
+    _inbox(spark, inbox, ROWS[:3])
+    append_judged(read(), path, checkpoint).awaitTermination()
+    _inbox(spark, inbox, ROWS[3:6])
+    with pytest.raises(Exception, match="lost"):
+        append_judged(_failing(read(), 6), path, checkpoint).awaitTermination()
+    _inbox(spark, inbox, ROWS[6:])
+    for _ in range(2):
+        append_judged(read(), path, checkpoint).awaitTermination()
+    judged = judged_log(spark, path, read())
+    assert sorted((r.seq, r.refused) for r in judged.collect()) == [(i, i > 5) for i in range(1, 9)]
+    assert {tuple(r.broken) for r in judged.filter("refused").collect()} == {
+        ("status_outside_domain",), ("null_facility_id",), ("null_status",)}
+    assert _latest(judged.filter("NOT refused").drop("broken", "refused")) == WANT
+
+
+def test_state_equals_batch_with_late_rows_and_restarts(spark, tmp_path):
+    """The newest verdicts come first, so all later files are late; one micro-batch fails and runs again."""
+    inbox, path, checkpoint = (str(tmp_path / n) for n in ("inbox", "state", "checkpoint"))
+    read = lambda: spark.readStream.schema(VERIFICATION).option("maxFilesPerTrigger", 1).parquet(inbox)
+    spark.createDataFrame([], VERIFICATION).write.parquet(inbox)
+    keep_latest(read(), path, checkpoint).awaitTermination()
+    assert kept_latest(spark, path).count() == 0
+    for rows in ([ROWS[1], ROWS[4]], [ROWS[0], ROWS[2], ROWS[1]]):
+        _inbox(spark, inbox, rows)
+        keep_latest(read(), path, checkpoint).awaitTermination()
+    _inbox(spark, inbox, ROWS[3:])
+    with pytest.raises(Exception, match="lost"):
+        keep_latest(_failing(read(), 4), path, checkpoint).awaitTermination()
+    keep_latest(read(), path, checkpoint).awaitTermination()
+    assert {(r.facility_id, r.claim_id, r.planner_id): (r.status, r.notes) for r in kept_latest(spark, path).collect()} == WANT

@@ -10,7 +10,7 @@ from attesta.operators.facts import claims_of, evidence_of, found_facts, write_f
 from attesta.operators.trust import gold_trust, trust_from_tables
 from attesta.packs import CARE_PACK, NOTICE_PACK, Rule, RulePack
 from attesta.plans.bindings import (
-    district_source, document_entities, facility_source, postcode_source,
+    PARTITIONS_SETTING, district_source, document_entities, facility_source, postcode_source,
 )
 from attesta.plans.build import run_all
 from attesta.plans.catalogue import QUERIES
@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 WRITES = {
     "bronze_copy", "gold_trust_tables", "model_claims", "model_trust", "recorded_notes", "recorded_verdicts",
     "verifications_stream", "snapshot_intervals", "snapshot_as_of", "similar_claims", "similar_claims_exact",
-    "similar_claims_recall",
+    "similar_claims_recall", "source_quality", "verdict_stream_log", "verifications_state", "label_lines",
 }
 
 
@@ -144,3 +144,70 @@ def test_overwrite_may_change_the_schema(spark):
     assert overwrite_table(spark.range(5), "src.evolving").columns == ["id"]
     again = overwrite_table(spark.range(3).selectExpr("id", "'x' AS kind"), "src.evolving")
     assert again.columns == ["id", "kind"] and again.count() == 3
+
+
+@pytest.mark.parametrize("step", range(6))
+def test_a_rewrite_cut_off_at_any_step_is_taken_up_again(spark, monkeypatch, step):
+    """The statement number ``step`` of a rewrite fails; the old or the new table is there after recovery."""
+    from attesta.sources import tables
+
+    spark.sql("CREATE SCHEMA IF NOT EXISTS src")
+    name = f"src.cut_off_{step}"
+    overwrite_table(spark.range(4), name)
+    plain, said = type(spark).sql, []
+
+    def sql(self, text, *args, **named):
+        said.append(text)
+        if len(said) == step + 1:
+            raise RuntimeError("cut off")
+        return plain(self, text, *args, **named)
+
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "sql", sql)
+        try:
+            overwrite_table(spark.range(7), name)
+        except RuntimeError:
+            pass
+    tables.recover_table(spark, name)
+    assert spark.table(name).count() in (4, 7)
+    assert not spark.catalog.tableExists(f"{name}__old") and not spark.catalog.tableExists(f"{name}__next")
+    assert overwrite_table(spark.table(name).limit(2), name).count() == 2
+
+
+@pytest.mark.parametrize("name", ["indicator_filter", "triage_filtered"])
+def test_costly_filters_run_behind_the_dealing(spark, name):
+    spark.conf.set(PARTITIONS_SETTING, "6")
+    try:
+        plan = _plan(QUERIES[name](spark, SF))
+    finally:
+        spark.conf.unset(PARTITIONS_SETTING)
+    assert "RoundRobinPartitioning" in plan
+    for below in plan.split("RoundRobinPartitioning")[1:]:
+        first = below.split("FileScan")[0]
+        assert "rlike" not in first.lower()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from attesta.session import shared_dir
+
+    conf = {"spark.sql.warehouse.dir": "/w"}
+    for master in ("local[2]", "yarn"):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=context)
+        if master == "yarn":
+            with pytest.raises(RuntimeError, match="shared|share"):
+                shared_dir(session)
+        else:
+            assert shared_dir(session) == "/w/_intermediates"
+
+
+def test_triage_leaves_large_limits_to_the_planner(spark):
+    docs = document_entities(spark, SF)
+    from attesta.operators.serving import triage
+
+    for limit, hinted in ((200, True), (1_000_000, False)):
+        found = triage(gold_trust(docs, NOTICE_PACK), docs, "common", limit=limit)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == hinted
