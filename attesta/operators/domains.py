@@ -152,3 +152,21 @@ def _places(ranks: DataFrame) -> DataFrame:
     sizes = sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
     numbered = levels.withColumn("above", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sizes, "range")
     return numbered.select("level", (F.col("start") + F.col("above") + 1).alias("place"))
+
+
+def page_quality(pages: DataFrame, quality: DataFrame, suffixes: DataFrame, url_col: str = "url") -> DataFrame:
+    """The pages with the domain, rank and place of their host; NULL where a page has no host or its domain no rank.
+
+    Hosts are few beside pages, so their ranks are joined to the distinct hosts first; a host with very many pages is
+    met by a measured broadcast or a split join.
+    """
+    host = host_of(F.col(f"`{url_col}`"))
+    names = registered_domains(pages.select(host.alias("host")), suffixes)
+    ranked = names.join(quality.select("domain", "rank", "place"), "domain", "left")
+    known = pages.select("*", host.alias("page_host")).filter("page_host IS NOT NULL")
+    found = known.join(ranked, known["page_host"] == ranked["host"]).drop("page_host", "host")
+    none = pages.filter(host.isNull()).select(
+        "*", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("rank"),
+        F.lit(None).cast("long").alias("place"),
+    )
+    return found.select(*none.columns).unionByName(none)

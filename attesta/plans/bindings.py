@@ -243,9 +243,17 @@ def state_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.select("state", F.explode(F.array("state", F.concat(F.lit("Republic of "), "state"))).alias("alias"))
 
 
+def vector_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as facilities on a map: two numbers of each vector, moved over the test districts."""
+    at = lambda i, centre: 30.0 * F.get("embedding", F.lit(i)).cast("double") + centre
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", at(0, 48.0).alias("longitude"), at(1, 40.0).alias("latitude"))
+
+
 def misspelt_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with the name of their nation, misspelt in ways that their number decides."""
-    way, at = F.col("c_custkey") % 7, (3 + F.col("c_custkey") % 5).cast("int")
+    """Conversation turns with the name of a nation, misspelt in ways that their numbers decide."""
+    number = F.col("conv_id") + 11 * F.col("turn")
+    way, at = number % 7, (3 + number % 5).cast("int")
     name = F.regexp_replace("n_name", "_", " ")
     cut = lambda s, i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s)))
     spelled = (
@@ -254,13 +262,12 @@ def misspelt_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(way == 2, cut(cut(name, at), F.lit(2)))
         .when(way == 3, F.concat(name.substr(F.lit(1), at), F.lit("q"), name.substr(at + 1, F.length(name))))
         .when(way == 4, F.concat(F.lit("Republic of"), cut(name, at)))
-        .when(way == 5, F.when(F.col("c_custkey") % 2 == 0, F.lit(" ")))
+        .when(way == 5, F.when(number % 2 == 0, F.lit(" ")))
         .otherwise(F.initcap(name))
     )
-    joined = table(spark, sf_dir, "customer").join(
-        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
-    )
-    return joined.select(F.col("c_custkey").cast("string").alias("facility_id"), spelled.alias("state_raw"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    joined = turns.join(table(spark, sf_dir, "nation"), F.col("conv_id") % 25 == F.col("n_nationkey"))
+    return joined.select(F.concat_ws("-", "conv_id", "turn").alias("facility_id"), spelled.alias("state_raw"))
 
 
 def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -704,7 +704,7 @@ def similar_claims_recall(spark, d):
 @query
 def polygon_districts(spark, d):
     """Every district that holds a facility; planning runs the jobs that cover the districts with cells."""
-    return polygons.point_districts(b.facility_source(spark, d), b.district_polygons(spark, d), "unique_id")
+    return polygons.point_districts(b.vector_points(spark, d), b.district_polygons(spark, d), "vec_id")
 
 
 @query
@@ -786,3 +786,11 @@ def shortlist_status(spark, d):
 def source_quality(spark, d):
     """Registered domains of all pages by their rank in the graph of menu links; planning runs the rounds."""
     return domains.source_quality(b.table(spark, d, "pages"), b.cross_links(spark, d), b.host_suffixes(spark, d))
+
+
+@query
+def page_quality(spark, d):
+    """Every page with the rank of its registered domain."""
+    pages, suffixes = b.table(spark, d, "pages"), b.host_suffixes(spark, d)
+    ranked = domains.source_quality(pages, b.cross_links(spark, d), suffixes)
+    return domains.page_quality(pages.select("page_id", "url"), ranked, suffixes)

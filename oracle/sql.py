@@ -477,7 +477,11 @@ judged AS (
       AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) AS held
   FROM point, edge WHERE y IS NOT NULL GROUP BY ALL)""", """
 inside AS (SELECT point_id, district_id FROM judged WHERE crossed % 2 = 1 OR held > 0)""")
-add("polygon_districts", _INSIDE + "SELECT * FROM inside")
+add("polygon_districts", _INSIDE.replace(_POINT.strip(), """
+point AS (
+  SELECT vec_id AS point_id, 30.0e0 * CAST(embedding[1] AS DOUBLE) + 48.0e0 AS x,
+    30.0e0 * CAST(embedding[2] AS DOUBLE) + 40.0e0 AS y
+  FROM embeddings)""".strip()) + "SELECT * FROM inside")
 add("polygon_attach", _INSIDE + """
 SELECT point_id, min(district_id) AS district_id, count(district_id) AS n_districts,
   CASE WHEN count(district_id) = 0 THEN 'unresolved' ELSE 'polygon' END AS district_source
@@ -495,13 +499,12 @@ def _normal(c: str) -> str:
 _CUT = _cut("s", "i")
 add("alias_resolution", ctes(f"""
 written AS (
-  SELECT CAST(c_custkey AS VARCHAR) AS row_id, c_custkey % 7 AS way, c_custkey, 3 + c_custkey % 5 AS i,
-    replace(n_name, '_', ' ') AS s
-  FROM customer JOIN nation ON c_nationkey = n_nationkey)""", f"""
+  SELECT conv_id || '-' || turn AS row_id, number % 7 AS way, number, 3 + number % 5 AS i, replace(n_name, '_', ' ') AS s
+  FROM (SELECT *, conv_id + 11 * turn AS number FROM conversations) JOIN nation ON conv_id % 25 = n_nationkey)""", f"""
 raw AS (
   SELECT row_id, CASE way WHEN 0 THEN '  ' || lower(s) || '!' WHEN 1 THEN {_CUT} WHEN 2 THEN {_cut(_CUT, "2")}
     WHEN 3 THEN substr(s, 1, i) || 'q' || substr(s, i + 1) WHEN 4 THEN 'Republic of' || {_CUT}
-    WHEN 5 THEN CASE WHEN c_custkey % 2 = 0 THEN ' ' END ELSE {f.initcap("s")} END AS name_raw
+    WHEN 5 THEN CASE WHEN number % 2 = 0 THEN ' ' END ELSE {f.initcap("s")} END AS name_raw
   FROM written)""", f"""
 canon AS (SELECT {f.initcap("replace(n_name, '_', ' ')")} AS state FROM nation)""", f"""
 told AS (
@@ -614,3 +617,7 @@ SELECT CAST(doc_id AS VARCHAR) AS facility_id, 'common' AS claim_value,
   CASE WHEN toxic = 1 THEN 'contradicted' WHEN quality = 1 THEN 'verified' ELSE 'unclear' END AS expected_status,
   'quality ' || quality || ' toxic ' || toxic AS rationale
 FROM labels""")
+
+add("page_quality", f"""
+SELECT page_id, url, domain, rank, place FROM ({ORACLE_SQL["source_quality"]})
+JOIN (SELECT page_id, url, {_DOMAIN} AS domain FROM pages) USING (domain)""")

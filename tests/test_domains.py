@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators.domains import (
-    domain_links, host_of, page_links, rank_domains, registered_domains, source_quality,
+    domain_links, host_of, page_links, page_quality, rank_domains, registered_domains, source_quality,
 )
 
 EDGES = "src string, dst string, n long"
@@ -78,4 +78,7 @@ def test_links_and_quality(spark):
     assert {tuple(r) for r in domain_links(links, suffixes).collect()} == {("a.net", "b.net", 1), ("a.net", "c.net", 1), ("b.net", "a.net", 1)}
     got = {r.domain: (r.n_pages, r.n_in, r.place) for r in source_quality(pages, links, suffixes).collect()}
     assert got == {"a.net": (1, 1, 1), "b.net": (1, 1, 2), "c.net": (0, 1, 2)}
+    ranked = source_quality(pages, links, suffixes)
+    assert {(r.url, r.domain, r.place) for r in page_quality(pages, ranked, suffixes).collect()} == {
+        ("http://w.a.net/p/q", "a.net", 1), ("http://b.net/", "b.net", 2), (None, None, None), ("x", None, None)}
     assert source_quality(pages.limit(0), links.limit(0), suffixes).count() == 0

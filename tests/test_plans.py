@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 WRITES = {
     "bronze_copy", "gold_trust_tables", "model_claims", "model_trust", "recorded_notes", "recorded_verdicts",
     "verifications_stream", "snapshot_intervals", "snapshot_as_of", "similar_claims", "similar_claims_exact",
-    "similar_claims_recall", "source_quality", "verdict_stream_log", "verifications_state", "label_lines",
+    "similar_claims_recall", "source_quality", "page_quality", "verdict_stream_log", "verifications_state", "label_lines",
 }
 
 
