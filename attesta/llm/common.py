@@ -16,12 +16,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 ROW, PATH, PLACE = "__row", "__path", "__place"
+# Column names that operators use beside those of a table.
+RESERVED = frozenset((ROW, PATH, PLACE, "__lines", "_metadata"))
 FILE_SHIFT = 40
 PORTION = 4 << 20
 
 __all__ = [
     "ROW", "SPACE", "SPACE_CHARS", "map_batches", "materialise", "numbered", "portions",
-    "rows_only", "table", "texts", "words",
+    "rows_only", "sheltered", "table", "texts", "words",
 ]
 
 
@@ -53,19 +55,56 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
     )
 
 
+def sheltered(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """The table with columns that clash with an operator's own renamed, and how to give their names back.
+
+    Names are compared without case, as Spark does.
+    """
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for c in docs.columns:
+        free = c
+        while free.lower() in RESERVED or (free != c and free.lower() in taken):
+            free += "_own"
+        names.append(free)
+    if names == docs.columns:
+        plain = docs
+    else:
+        plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+
+    def restored(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{n}`").alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+    return plain, restored
+
+
+def _reads_rows_once(docs: DataFrame) -> bool:
+    """Whether a table is a scan of files under projections and filters, so that each row is one row of a file."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "ResolvedHint", "View"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith(("Relation", "LogicalRelation"))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows with a key of their own in ``__row``, whatever their ids are.
 
     The key is the file's place among the sorted files and the row's place in its file. It does not
     depend on how files are split or how many executors there are, so each scan gives the same keys. A table
-    that does not come from Parquet files is written first; call this once and use what it returns.
+    that is not a plain scan of files (also one that repeats, joins or limits the rows of such a scan, where several rows
+    would have one place) is written first; call this once and use what it returns. Columns with
+    the names of ``RESERVED`` have to be renamed before (``sheltered``).
     The list of files, one short row each, is broadcast.
     """
-    place = [F.col("_metadata.file_path").alias(PATH), F.col("_metadata.row_index").alias(PLACE)]
+    if not _reads_rows_once(docs):
+        docs = tables.materialise(docs, "rows")
     try:
-        placed = docs.select("*", *place)
-    except AnalysisException:
-        placed = tables.materialise(docs, "rows").select("*", *place)
+        file = docs.metadataColumn("_metadata")
+        placed = docs.select("*", file["file_path"].alias(PATH), file["row_index"].alias(PLACE))
+    except AnalysisException:  # files of a format without places
+        docs = tables.materialise(docs, "rows")
+        file = docs.metadataColumn("_metadata")
+        placed = docs.select("*", file["file_path"].alias(PATH), file["row_index"].alias(PLACE))
     files = sorted(r[0] for r in placed.select(PATH).distinct().collect())
     numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{ROW} long, {PATH} string")
     key = F.shiftleft(F.col(ROW), FILE_SHIFT) + F.col(PLACE)

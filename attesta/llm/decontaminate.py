@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ROW, SPACE_CHARS, materialise, numbered, rows_only, texts, words
+from .common import ROW, SPACE_CHARS, materialise, numbered, rows_only, sheltered, texts, words
 
 WINDOW = 5
 LITERALS = 3
@@ -205,11 +205,12 @@ def contaminated(marked: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, item_windows, changed_slots) of every leaked item."""
-    return contaminated(numbered(docs), benchmark).drop(ROW)
+    return contaminated(numbered(texts(docs)), benchmark).drop(ROW)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that leak no item, with all their columns."""
-    rows = numbered(docs)
+    plain, restored = sheltered(docs)
+    rows = numbered(plain)
     found = contaminated(rows, benchmark).select(ROW).distinct()
-    return rows.join(rows_only(found), ROW, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return restored(rows.join(rows_only(found), ROW, "left_anti"))

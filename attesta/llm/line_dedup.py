@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import ROW, map_batches, materialise, numbered, portions, rows_only
+from .common import ROW, map_batches, materialise, numbered, portions, rows_only, sheltered
 
 ROLL = 2
 DIVISOR = 2
@@ -138,7 +138,14 @@ def repeated_chunks(marked: DataFrame, id_col: str = "doc_id", text_col: str = "
 def drop_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False
 ) -> DataFrame:
-    """The rows with repeated chunks removed; ``counts`` adds removed_chunks and removed_lines."""
+    """The rows with repeated chunks removed; ``counts`` adds removed_chunks and removed_lines.
+
+    Columns may have any names; with ``counts``, columns of those two names are replaced.
+    """
+    if counts:
+        docs = docs.drop("removed_chunks", "removed_lines")
+    original = docs
+    docs, restored = sheltered(original)
     rows = numbered(docs)
     marked = rows.join(rows_only(repeated_chunks(rows, id_col, text_col)), ROW, "left")
     added = [StructField("removed_chunks", IntegerType()), StructField("removed_lines", IntegerType())]
@@ -169,4 +176,6 @@ def drop_repeated_lines(
     if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, (IntegerType, LongType)):
         n = F.length(f"`{text_col}`").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.coalesce(n, F.col("n_chars")))
-    return out
+    if docs is original:
+        return out
+    return restored(out) if not counts else out.toDF(*original.columns, *[f.name for f in added])

@@ -132,13 +132,12 @@ def pack_documents(
     """
     text = F.col("text").cast("string")
     return pack(
-        numbered(docs).select(
-            ROW,
+        numbered(docs.select(
             "doc_id",
             F.col("source").cast("string").alias("source"),
             (copy_cluster(text) if cluster is None else cluster).alias("cluster"),
             word_count(text).alias("n_tokens"),
-        ),
+        )),
         capacity,
         shard_rows,
     )

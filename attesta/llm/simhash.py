@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ROW, map_batches, materialise, numbered, rows_only, texts
+from .common import ROW, map_batches, materialise, numbered, rows_only, sheltered, texts
 from .components import components
 
 SHINGLE = 3
@@ -218,11 +218,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: that with the smallest id, of equal ids the first in the table."""
-    rows = numbered(docs)
+    plain, restored = sheltered(docs)
+    rows = numbered(plain)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
     own = texts(rows, id_col, text_col, ROW)
     folded = _fingerprinted(own).groupBy("fp").agg(F.min(place).alias("p"))
     first = _by_root(folded).groupBy("root").agg(F.min("p").alias("p"))
-    return rows.join(rows_only(first.select(f"p.{ROW}")), ROW, "left_semi").select(
-        *[f"`{c}`" for c in docs.columns]
-    )
+    return restored(rows.join(rows_only(first.select(f"p.{ROW}")), ROW, "left_semi"))
