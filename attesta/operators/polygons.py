@@ -16,7 +16,7 @@ from ..sources.tables import materialise
 SIDE = 16.0
 MAX_LEVEL = 10
 MAX_EDGES = 12
-CROWD = 50_000
+CROWD = 4_096
 
 EDGE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
