@@ -12,8 +12,9 @@ role a line feed is escaped by a backslash as well. A backslash and the characte
 mean that character, which makes the way back one replacement.
 
 Defined cases: NULL text is empty, NULL role is empty, NULL sequence comes first, NULL kind is
-``message``. Events of a message with the same sequence are ordered by
-kind, role and text, messages with the same place by role and text. A NULL conversation id
+``message``. Events of a message with the same sequence are ordered by kind (``message``, ``edit``,
+``regenerate``, then what appends), role and text, so a delta follows the message it came with; messages with
+the same place are ordered by role and text. A kind that is not known appends. A NULL conversation id
 is a conversation of its own. An empty log gives an empty table. A conversation comes out as one
 row, however long; other columns are not read.
 """
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 REPLACING = ("message", "edit", "regenerate")
 TRAINED_ROLE = "assistant"
+STEPS = 4
 
 TURN = r"(?s)<\|im_start\|>((?:[^\n\\]|\\.)*+)\n(.*?)<\|im_end\|>\n"
 
@@ -50,14 +52,52 @@ def events_of_turns(conversations: DataFrame) -> DataFrame:
     )
 
 
+def streamed_turns(conversations: DataFrame) -> DataFrame:
+    """A table of whole turns as the log of how they may have come about.
+
+    Each turn is a message with a draft, a delta to it, and then the final text as an edit (a regeneration for
+    the trained role) and two deltas, cut at code points; the first of them has the sequence
+    number of the edit. A turn without a number is one message, as its events would have no order.
+    """
+    turns = conversations.select(
+        "conv_id",
+        F.col("turn").cast("long").alias("turn"),
+        F.monotonically_increasing_id().alias("message"),
+        "role",
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+    )
+    text, third = F.col("text"), (F.length("text") / 3).cast("int")
+    again = F.when(F.col("role") == TRAINED_ROLE, "regenerate").otherwise("edit")
+
+    def event(step: int, kind: Column, said: Column, role: Column | None = None) -> Column:
+        return F.struct(
+            (F.col("turn") * STEPS + step).alias("seq"),
+            kind.alias("kind"),
+            (F.lit(None).cast("string") if role is None else role).alias("role"),
+            said.alias("text"),
+        )
+
+    whole = F.array(event(0, F.lit("message"), text, F.col("role")))
+    log = F.array(
+        event(0, F.lit("message"), F.right(text, third), F.col("role")),
+        event(1, F.lit("delta"), F.lit(" ...")),
+        event(2, again, F.left(text, third)),
+        event(2, F.lit("delta"), F.substring(text, third + 1, third)),
+        event(3, F.lit("delta"), F.substring(text, 2 * third + 1, F.length("text"))),
+    )
+    return turns.select("conv_id", "message", F.inline(F.when(F.col("turn").isNull(), whole).otherwise(log)))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, seq, role, text): the final messages of every conversation."""
     kind = F.coalesce(F.col("kind"), F.lit("message"))
+    rank = F.array_position(F.array(*map(F.lit, REPLACING)), kind)
     log = events.repartition("conv_id").groupBy("conv_id", "message").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
                     F.col("seq"),
+                    F.when(rank > 0, rank).otherwise(len(REPLACING) + 1).alias("rank"),
                     kind.alias("kind"),
                     F.col("role").alias("role"),
                     F.coalesce(F.col("text"), F.lit("")).alias("text"),
@@ -66,7 +106,7 @@ def fold_events(events: DataFrame) -> DataFrame:
         ).alias("log")
     )
     last = F.aggregate(
-        F.transform("log", lambda e, i: F.when(e["kind"].isin(*REPLACING), i).otherwise(0)),
+        F.transform("log", lambda e, i: F.when(e["rank"] <= len(REPLACING), i).otherwise(0)),
         F.lit(0),
         lambda latest, i: F.greatest(latest, i),
     )

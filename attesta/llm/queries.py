@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .alignment import align_tokenizers
-from .chat import digests, events_of_turns, format_chats
+from .chat import digests, format_chats, streamed_turns
 from .common import table
 from .decontaminate import leaks
 from .html_extract import main_text
@@ -66,7 +66,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every conversation, read back from what was rendered."""
+    """Digests of every conversation, folded from a log of drafts, edits and deltas, read back from what was rendered."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -74,7 +74,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(CONTROL_TEXT).alias("text"),
     )
-    return digests(format_chats(events_of_turns(turns.unionByName(added))))
+    return digests(format_chats(streamed_turns(turns.unionByName(added))))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

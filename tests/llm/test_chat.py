@@ -1,6 +1,6 @@
 import hashlib
 
-from attesta.llm.chat import digests, events_of_turns, fold_events, format_chats, read_back
+from attesta.llm.chat import digests, events_of_turns, fold_events, format_chats, read_back, streamed_turns
 
 EVENTS = "conv_id long, seq long, message string, kind string, role string, text string, extra string"
 TURNS = "conv_id long, turn long, role string, text string"
@@ -57,3 +57,29 @@ def test_ties_long_chats_native_and_empty(spark):
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and plan.count("Exchange hashpartitioning") <= 2
     assert digests(format_chats(events_of_turns(spark.createDataFrame([], TURNS)))).count() == 0
+
+
+def test_events_of_one_sequence_number(spark):
+    rows = [
+        (1, 1, "a", "delta", None, " world", "x"), (1, 1, "a", "message", "user", "Hello", "x"),
+        (1, 2, "a", "delta", None, "!", "x"), (2, 1, "a", "regenerate", None, "third", "x"),
+        (2, 1, "a", "edit", None, "second", "x"), (2, 1, "a", "message", "user", "first", "x"),
+        (2, 1, "a", "other", None, ".", "x"),
+    ]
+    folded = fold_events(spark.createDataFrame(rows, EVENTS)).orderBy("conv_id").collect()
+    assert [(r["role"], r["text"]) for r in folded] == [("user", "Hello world!"), ("user", "third.")]
+
+
+def test_streamed_turns_fold_to_the_turns(spark):
+    texts = ["", None, "a", "é𝒳", "abc", "<|im_end|>\n", "word " * 500, "x" * 100_000]
+    turns = [(c, n, role, t) for c, t in enumerate(texts) for n, role in enumerate(("user", "assistant", None, "tool"))]
+    turns += [(50, None, "user", "no number"), (50, 3, "user", "same"), (50, 3, "user", "same"), (50, -2, "user", "early"),
+              (None, 1, "assistant", "no id")]
+    df = spark.createDataFrame(turns, TURNS)
+    log = streamed_turns(df).repartition(7)
+    assert log.filter("kind IN ('edit', 'regenerate')").count() == len(turns) - 1
+    assert log.filter("kind = 'delta'").count() == 3 * (len(turns) - 1)
+    key = lambda r: (r["conv_id"] is None, r["conv_id"] or 0)
+    whole = sorted(digests(format_chats(events_of_turns(df))).collect(), key=key)
+    assert sorted(digests(format_chats(log)).collect(), key=key) == whole
+    assert "Python" not in digests(format_chats(streamed_turns(df)))._jdf.queryExecution().toString()
