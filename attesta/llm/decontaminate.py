@@ -7,9 +7,10 @@ of ``WINDOW`` template words are hashed and joined with those of the benchmark.
 place of the placeholders, so it meets only windows with the same values.
 
 Matches of a document and an item are grouped by their diagonal, the distance of the two places, so each
-occurrence stands alone. In it every value of the item has to stand for one value of the
-document throughout: an occurrence with inconsistent slots is dropped. A document is contaminated by an
-item when consistent occurrences cover ``SHARE`` of the item's windows, or a passage of ``RUN`` words. The
+occurrence stands alone. In it a value of the item that stands for several values of the document is in conflict, and
+windows in which such a value was changed do not count; the other windows do, as what they say is either the
+item's own words or changed throughout. A document is contaminated by an
+item when the windows that count cover ``SHARE`` of the item's windows, or a passage of ``RUN`` words. The
 windows that are templates are counted first; where they do not suffice, all windows are. ``matched`` and
 ``item_windows`` are of the count that sufficed.
 
@@ -19,13 +20,14 @@ to check. Nothing is collected by document but the places and slots that matched
 
 Defined cases: NULL texts are empty on both sides; items shorter than a window are one window of all their
 words, which only texts of these words alone hold. A document that repeats an item is listed once.
-Repeated rows are listed each; of equal items each is listed. NULL ids stay NULL. Empty tables give no
+Repeated rows are listed each; of equal items each is listed, also if they have one id or none, as windows are
+counted by row. NULL ids stay NULL. Empty tables give no
 rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ROW, SPACE_CHARS, materialise, numbered, rows_only, sheltered, texts, words
 
@@ -117,28 +119,36 @@ def _window_hashes(rows: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, hash, q, slots, item_windows, all_windows): ``slots`` with the values of templates, else NULL."""
-    rows = texts(benchmark, "item_id").select(F.col("doc_id").alias("item_id"), "text")
-    hashed = _window_hashes(rows.withColumn("item", F.struct("item_id", "text")), ["item"])
-    bodies = _templated(hashed.select("item.item_id", "item.text", "windows"), ["item_id", "windows"])
+    """(item, item_id, hash, q, slots, item_windows, all_windows): the windows of every row, ``item`` its key.
+
+    ``slots`` holds the values of templates and is NULL for other windows.
+    """
+    rows = numbered(texts(benchmark, "item_id")).select(
+        F.struct(F.col(ROW).alias("item"), F.col("doc_id").alias("item_id"), "text").alias("row")
+    )
+    hashed = _window_hashes(rows.select("row", "row.text"), ["row"])
+    ids = ["item", "item_id", "windows"]
+    bodies = _templated(hashed.select("row.*", "windows"), ids)
     split = bodies.select(
-        "item_id", "windows", words(F.col("spaced")).alias("raw"), words(F.col("template")).alias("words")
+        *ids, words(F.col("spaced")).alias("raw"), words(F.col("template")).alias("words")
     )
     values = F.transform(
         "words", lambda w, i: F.when(_is_slot(w), value(F.get(F.col("raw"), i)))
     )
-    valued = split.select("item_id", "windows", F.size("words").alias("n"), values.alias("values"))
+    valued = split.select(*ids, values.alias("values"))
+    # A short item has fewer words than a window, so absent ones are no literals.
+    says_enough = lambda v: F.size(F.filter(v, lambda x: x.isNull())) >= LITERALS
+    slots = lambda i: F.slice("values", i + 1, WINDOW)
     window = F.transform(
         "windows",
-        lambda w, i: F.struct(w.alias("hash"), i.alias("q"), F.slice("values", i + 1, WINDOW).alias("slots")),
+        lambda w, i: F.struct(
+            w.alias("hash"), i.alias("q"), F.when(says_enough(slots(i)), slots(i)).alias("slots")
+        ),
     )
-    found = valued.select("item_id", "n", F.inline(window))
-    # A short item has fewer words than a window, so absent ones are no literals.
-    literals = F.size(F.filter("slots", lambda v: v.isNull()))
-    item = Window.partitionBy("item_id")
-    return found.withColumn("slots", F.when(literals >= LITERALS, F.col("slots"))).select(
-        "item_id", "hash", "q", "slots", F.count("slots").over(item).alias("item_windows"),
-        F.count("*").over(item).alias("all_windows"),
+    held = valued.select("item", "item_id", window.alias("held"))
+    return held.select(
+        "item", "item_id", F.size(F.filter("held", lambda w: w["slots"].isNotNull())).alias("item_windows"),
+        F.size("held").alias("all_windows"), F.inline("held"),
     )
 
 
@@ -177,21 +187,39 @@ def contaminated(marked: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda x: x["item"].isNotNull() & x["doc"].isNotNull(),
     )
     no_pairs = F.array().cast("array<struct<item:string,doc:string>>")
-    occurrences = valued.groupBy(
-        "doc_id", ROW, "item_id", "item_windows", "all_windows", (F.col("p") - F.col("q")).alias("diagonal")
-    ).agg(
-        F.collect_set(F.when(F.col("slots").isNotNull(), F.col("q"))).alias("places"),
-        F.collect_set("q").alias("all_places"),
-        F.array_distinct(F.flatten(F.collect_set(F.coalesce(pairs, no_pairs)))).alias("slots"),
-    )
-    values = F.array_distinct(F.transform("slots", lambda s: s["item"]))
-    consistent = occurrences.filter(F.size(values) == F.size("slots"))
-    changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
+    item = ["doc_id", ROW, "item", "item_id", "item_windows", "all_windows"]
+    window = F.struct(
+        "q", F.col("slots").isNotNull().alias("template"), F.coalesce(pairs, no_pairs).alias("pairs")
+    )
+    occurrences = valued.groupBy(*item, (F.col("p") - F.col("q")).alias("diagonal")).agg(
+        F.collect_set(window).alias("held")
+    )
+    # A value in conflict has two pairs or more; sorted, it stands next to itself.
+    of_item = F.array_sort(
+        F.transform(F.array_distinct(F.flatten(F.transform("held", lambda w: w["pairs"]))), lambda x: x["item"])
+    )
+    sorted_values = occurrences.select(*item, "held", of_item.alias("values"))
+    conflicts = sorted_values.select(
+        *item, "held", F.filter("values", lambda v, i: F.get("values", i + 1) == v).alias("conflicts")
+    )
+    changed = lambda x: x["item"] != x["doc"]
+    counted = F.filter(
+        "held",
+        lambda w: ~F.exists(w["pairs"], lambda x: changed(x) & F.array_contains("conflicts", x["item"])),
+    )
+    places = lambda windows: F.transform(windows, lambda w: w["q"])
+    consistent = conflicts.select(*item, counted.alias("held")).select(
+        *item, places(F.filter("held", lambda w: w["template"])).alias("places"),
+        places(F.col("held")).alias("all_places"),
+        F.size(F.array_distinct(F.filter(
+            F.flatten(F.transform("held", lambda w: w["pairs"])), changed
+        ))).alias("changed"),
+    )
     distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    found = consistent.groupBy("doc_id", ROW, "item_id", "item_windows", "all_windows").agg(
+    found = consistent.groupBy(*item).agg(
         distinct("places").alias("matched"),
         distinct("all_places").alias("all_matched"),
-        F.max(changed).alias("changed_slots"),
+        F.max("changed").alias("changed_slots"),
     )
     enough = lambda n: F.least(F.ceil(F.col(n) * SHARE), F.lit(RUN - WINDOW + 1))
     by_templates = (F.col("item_windows") > 0) & (F.col("matched") >= enough("item_windows"))

@@ -1,20 +1,23 @@
 """Line dedup: content-defined chunks of lines that occur again anywhere are removed.
 
-A text is cut into chunks of lines. A chunk ends behind a line when a rolling hash over the last
-``ROLL`` line hashes is divisible by ``DIVISOR`` and the chunk has ``LEAST_LINES`` lines, so
-boundaries follow content: lines added or lost elsewhere do not shift them. A last chunk that is too
-short joins the one before.
+A rolling hash runs over the hashes of the lines of a text, ``ROLL`` of them at a time. A chunk is a longest
+stretch of such windows that each occurred before, so its boundaries lie where the rolling hash meets something
+new. They follow content alone: lines added or lost elsewhere do not shift them, and a chunk may have
+as few as ``ROLL`` lines. No sparser choice of boundaries does: a repeated run of two lines has one window, which
+then has to be a boundary.
 
-Chunks of two or more lines with a word are compared over the whole table: first by a 128-bit digest,
-then byte by byte, as the grouping key of the second step is the chunk itself. The first occurrence stays
-(smallest id, first in the table, first in the text), all others go.
+A window is looked for in the whole table by the two 64-bit hashes of its lines; it counts if a line of it has a
+word. Then the lines of repeated windows are compared byte by byte: a hash that stands for two different
+lines shows as a smallest and a largest line that differ, and no window with such a hash goes. The first
+occurrence of a window stays (smallest id, first in the table, first in the text), the lines of all others go, unless
+they overlap the first. So the first occurrence of each line always stays.
 
-Digests are counted with map-side folding, so a chunk in a third of all texts costs one row per task.
-Texts of chunks are fetched only where the digest repeats.
+Hashes are counted and lines are compared with map-side folding, so a passage in a third of all texts costs a few
+rows per task. Lines are fetched only where a window repeats.
 
 Defined cases: NULL text stays NULL. A text that loses all its lines becomes empty; its row stays. A
-single line is never removed. Repeated rows are copies: the first keeps its text. NULL ids count
-as the largest. ``n_chars``, where present, follows the new text. All other columns, whatever
+line that is repeated without a neighbour is never removed. Repeated rows are copies: the first keeps its text.
+NULL ids count as the largest. ``n_chars``, where present, follows the new text. All other columns, whatever
 their names, come out as they were. An empty table gives an empty table.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -31,108 +35,88 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from .common import ROW, map_batches, materialise, numbered, portions, rows_only, sheltered
 
 ROLL = 2
-DIVISOR = 2
-LEAST_LINES = 2
 WORD = re.compile(rb"[^\x20\x09-\x0D]")
-SEED = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
-
-
-def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(first line, number of lines, bytes) of each chunk of a text."""
-    lines = text.split(b"\n")
-    hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
-    cuts, start = [], 0
-    for i in range(len(lines)):
-        if i + 1 - start < LEAST_LINES:
-            continue
-        rolled = 0
-        for h in hashes[max(0, i + 1 - ROLL) : i + 1]:
-            rolled = (rolled * SEED + h) & MASK
-        if (rolled >> 17) % DIVISOR == 0:
-            cuts.append((start, i + 1))
-            start = i + 1
-    if start < len(lines):
-        if cuts and len(lines) - start < LEAST_LINES:
-            start = cuts.pop()[0]
-        cuts.append((start, len(lines)))
-    return [(s, e - s, b"\n".join(lines[s:e])) for s, e in cuts]
-
-
-def _eligible(text: bytes) -> list[tuple[int, int, bytes]]:
-    return [c for c in chunks(text) if c[1] >= LEAST_LINES and WORD.search(c[2])]
+
+
+def line_hash(line: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(line)
+
+
+def line_hashes(lines: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(line_hash, lines), np.uint64, len(lines)).view(np.int64)
 
 
 def _utf8(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
-def _digests(rows: DataFrame) -> DataFrame:
+def _windows(rows: DataFrame) -> DataFrame:
+    """(doc_id, __row, line, a, b): every two neighbouring lines of which one has a word, as hashes."""
+
     def make(batch):
-        at, line, digest = [], [], []
+        at, line, first, second = [], [], [], []
         for i, text in enumerate(_utf8(batch.column("text"))):
-            for first, _, body in _eligible(text or b""):
-                at.append(i)
-                line.append(first)
-                digest.append(xxhash.xxh3_128_digest(body))
-        at = pa.array(at, pa.int32())
+            if not text or b"\n" not in text:
+                continue
+            lines = text.split(b"\n")
+            worded = np.array([WORD.search(x) is not None for x in lines])
+            hashes = line_hashes(lines)
+            places = np.flatnonzero(worded[1:] | worded[:-1])
+            at.append(np.full(len(places), i, np.int32))
+            line.append(places.astype(np.int32))
+            first.append(hashes[places])
+            second.append(hashes[places + 1])
+        joined = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0, kind))
+        at = joined(at, np.int32)
         yield {
             "doc_id": batch.column("doc_id").take(at), ROW: batch.column(ROW).take(at),
-            "line": line, "digest": digest,
+            "line": joined(line, np.int32), "a": joined(first, np.int64), "b": joined(second, np.int64),
         }
 
     kind = dict(rows.dtypes)["doc_id"]
     return map_batches(
-        rows.select("doc_id", ROW, "text"), make,
-        f"doc_id {kind}, {ROW} long, line int, digest binary",
+        rows.select("doc_id", ROW, "text"), make, f"doc_id {kind}, {ROW} long, line int, a long, b long"
     )
 
 
-def _bodies(rows: DataFrame) -> DataFrame:
-    """The bytes of the chunks that start at the lines in ``wanted``."""
+def _line_bytes(rows: DataFrame) -> DataFrame:
+    """(h, body): the lines of the windows that start at ``wanted``, each once a batch."""
 
     def make(batch):
-        at, line, body = [], [], []
+        found = set()
         wanted = batch.column("wanted").to_pylist()
         for i, text in enumerate(_utf8(batch.column("text"))):
-            own = set(wanted[i])
-            for first, _, bytes_ in _eligible(text or b""):
-                if first in own:
-                    at.append(i)
-                    line.append(first)
-                    body.append(bytes_)
-        at = pa.array(at, pa.int32())
-        yield {
-            "doc_id": batch.column("doc_id").take(at), ROW: batch.column(ROW).take(at),
-            "line": line, "body": body,
-        }
+            lines = text.split(b"\n")
+            found.update(lines[k] for place in wanted[i] for k in range(place, place + ROLL))
+        bodies = list(found)
+        yield {"h": line_hashes(bodies), "body": bodies}
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return map_batches(
-        rows.select("doc_id", ROW, "text", "wanted"), make,
-        f"doc_id {kind}, {ROW} long, line int, body binary",
-    )
+    return map_batches(rows.select("text", "wanted"), make, "h long, body binary")
 
 
-def repeated_chunks(marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__row, __lines): the first lines of the chunks that go, for every numbered row that loses one."""
+def repeated_lines(marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__row, __lines): the places of the lines that go, for every numbered row that loses some."""
     rows = marked.select(
         F.col(f"`{id_col}`").alias("doc_id"), ROW, F.col(f"`{text_col}`").cast("string").alias("text")
     )
-    found = materialise(_digests(rows), "chunk-digests")
+    found = materialise(_windows(rows), "line-windows")
     # Written, as the planner splits a crowded key only between two plain exchanges.
     again = materialise(
-        found.groupBy("digest").count().filter("count > 1").select("digest"), "chunk-repeats"
-    )
-    wanted = found.join(again, "digest", "left_semi").groupBy(ROW).agg(
-        F.collect_set("line").alias("wanted")
+        found.groupBy("a", "b").count().filter("count > 1").select("a", "b"), "line-repeats"
     )
-    bodies = materialise(_bodies(rows.join(rows_only(wanted), ROW)), "chunk-bodies")
+    met = materialise(found.join(again, ["a", "b"], "left_semi"), "line-matches")
+    wanted = met.groupBy(ROW).agg(F.collect_set("line").alias("wanted"))
+    bodies = _line_bytes(rows.join(rows_only(wanted), ROW))
+    unlike = bodies.groupBy("h").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    unlike = materialise(unlike.filter("low != high").select("h"), "line-unlike")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", ROW, "line")
-    first = bodies.groupBy("body").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    first = materialise(first.filter("n > 1").drop("n"), "chunk-firsts")
-    later = bodies.join(first, "body").filter(place > F.col("first"))
-    return later.groupBy(ROW).agg(F.collect_set("line").alias("__lines"))
+    first = materialise(met.groupBy("a", "b").agg(F.min(place).alias("first")), "line-firsts")
+    apart = (F.col(ROW) != F.col(f"first.{ROW}")) | (F.col("line") >= F.col("first.line") + ROLL)
+    later = met.join(first, ["a", "b"]).filter((place > F.col("first")) & apart)
+    for side in ("a", "b"):
+        later = later.join(unlike.withColumnRenamed("h", side), side, "left_anti")
+    places = F.explode(F.sequence(F.col("line"), F.col("line") + (ROLL - 1))).alias("line")
+    return later.select(ROW, places).groupBy(ROW).agg(F.collect_set("line").alias("__lines"))
 
 
 def drop_repeated_lines(
@@ -140,6 +124,8 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """The rows with repeated chunks removed; ``counts`` adds removed_chunks and removed_lines.
 
+    A chunk is counted for each stretch of lines that goes.
+
     Columns may have any names; with ``counts``, columns of those two names are replaced.
     """
     if counts:
@@ -147,7 +133,7 @@ def drop_repeated_lines(
     original = docs
     docs, restored = sheltered(original)
     rows = numbered(docs)
-    marked = rows.join(rows_only(repeated_chunks(rows, id_col, text_col)), ROW, "left")
+    marked = rows.join(rows_only(repeated_lines(rows, id_col, text_col)), ROW, "left")
     added = [StructField("removed_chunks", IntegerType()), StructField("removed_lines", IntegerType())]
     schema = StructType([*docs.schema.fields, *(added if counts else [])])
     target, names = to_arrow_schema(schema), docs.columns
@@ -159,14 +145,10 @@ def drop_repeated_lines(
             gone_chunks, gone_lines = [0] * len(lost), [0] * len(lost)
             for i, own in enumerate(lost):
                 if own:
-                    kept, own = [], set(own)
-                    for first, n, body in chunks(texts[i]):
-                        if first in own:
-                            gone_chunks[i] += 1
-                            gone_lines[i] += n
-                        else:
-                            kept.append(body)
-                    texts[i] = b"\n".join(kept)
+                    lines, own = texts[i].split(b"\n"), set(own)
+                    gone_lines[i] = len(own)
+                    gone_chunks[i] = sum(k - 1 not in own for k in own)
+                    texts[i] = b"\n".join(x for k, x in enumerate(lines) if k not in own)
             text = pa.array(texts, pa.binary()).cast(pa.string())
             columns = [text if n == text_col else batch.column(n) for n in names]
             extra = [pa.array(gone_chunks, pa.int32()), pa.array(gone_lines, pa.int32())]

@@ -73,22 +73,25 @@ def simhash(rows):
     return [(d, f"{fp:016x}", least.get(top[fp])) for (d, _), fp in zip(rows, fps, strict=True)]
 
 
+def repeated_lines(rows):
+    """Places of the lines of each row that occurred before next to the same neighbour."""
+    first, gone = {}, [set() for _ in rows]
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)):
+        lines = (rows[i][1] or "").split("\n")
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if any(WORD.search(x) for x in pair):
+                row, at = first.setdefault(pair, (i, k))
+                if row != i or k >= at + 2:
+                    gone[i] |= {k, k + 1}
+    return gone
+
+
 def line_dedup(rows):
-    """Texts of (doc_id, text) rows, in their order, without repeated chunks."""
-    from attesta.llm.line_dedup import chunks
-
-    first = {}
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
-    cut = {i: chunks((rows[i][1] or "").encode()) for i in order}
-    for i in order:
-        for start, n, body in cut[i]:
-            if n > 1 and body.strip(b" \t\n\x0b\x0c\r"):
-                first.setdefault(body, (i, start))
-    out = []
-    for i, (_, text) in enumerate(rows):
-        kept = [b for s, _, b in cut[i] if first.get(b, (i, s)) == (i, s)]
-        out.append(None if text is None else b"\n".join(kept).decode())
-    return out
+    """Texts of (doc_id, text) rows, in their order, without lines repeated in runs of two or more."""
+    return [
+        None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+        for (_, text), gone in zip(rows, repeated_lines(rows), strict=True)
+    ]
 
 
 def best_fit(rows, capacity):
@@ -152,13 +155,14 @@ def leaks(rows, items):
                     met[p - q].append((p, q))
             found = set()
             for places in met.values():
+                pairs = {
+                    q: {(raw[q + k], doc_raw[p + k]) for k in range(5) if q + k < len(words) and slot(words[q + k])}
+                    for p, q in places
+                }
                 values = defaultdict(set)
-                for p, q in places:
-                    for k in range(5):
-                        if q + k < len(words) and slot(words[q + k]):
-                            values[raw[q + k]].add(doc_raw[p + k])
-                if all(len(v) == 1 for v in values.values()):
-                    found |= {q for _, q in places}
+                for old, new in set().union(*pairs.values()):
+                    values[old].add(new)
+                found |= {q for q, own in pairs.items() if all(a == b or len(values[a]) == 1 for a, b in own)}
             if found and len(found) >= min(-(-total * 4 // 5), 9):
                 out.append((doc_id, item_id, len(found)))
     return out

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+import attesta.llm.decontaminate as decontaminate
 from attesta.llm.decontaminate import drop_contaminated, leaks
 
 from . import brute
@@ -38,8 +41,8 @@ def test_equals_brute_force(spark, docs_of):
 
 def test_parameters_may_change_but_only_consistently(spark, docs_of):
     got = {(r["doc_id"], r["item_id"]): r["changed_slots"] for r in leaks(docs_of(rows()), bench(spark)).collect()}
-    assert got[1, 1] == 0 and got[2, 1] > 0 and got[3, 2] > 0 and (4, 2) not in got
-    assert {d for d, _ in got} == {1, 2, 3, 7, 8, 9, None, 10}
+    assert got[1, 1] == 0 and got[2, 1] > 0 and got[3, 2] > 0 and got[4, 2] == 0
+    assert {d for d, _ in got} == {1, 2, 3, 4, 7, 8, 9, None, 10}
 
 
 def test_drop_native_and_empty(spark, docs_of, no_docs):
@@ -47,7 +50,7 @@ def test_drop_native_and_empty(spark, docs_of, no_docs):
     kept = drop_contaminated(docs, bench(spark))
     assert kept.schema == docs.schema
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(
-        [4, 5, 6] + [d or -1 for d, t in edge_texts() ]
+        [5, 6] + [d or -1 for d, t in edge_texts() ]
     )
     plan = kept._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
@@ -68,3 +71,30 @@ def test_items_rich_in_values_are_found_word_for_word(spark, docs_of):
              (5, "capital of Spain?"), (6, around("of Paris Oslo London Lisbon Rome Athens Prague")), (7, "yes"), (8, "12 34")]
     found = leaks(docs_of(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 2), (3, 3), (7, 4)}
+
+
+def test_a_conflict_costs_only_the_windows_that_changed(spark, docs_of):
+    b = ITEMS[1][1]
+    two = "Of the pens that Mary has and the pens that John has, how many does Mary give, and how many does John give, to Mary?"
+    texts = [(1, b.replace("Mary", "Anna", 1)), (2, two.replace("Mary", "Anna", 1)),
+             (3, "Of the pens that Anna has and the pens that Peter has, how many does Rosa give, and how many does Paul give, to Ella?")]
+    items = [(2, b), (3, two)]
+    found = leaks(docs_of(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 2), (2, 3)}
+
+
+def test_items_with_one_id_or_none_are_counted_apart(spark, docs_of):
+    text = "eight plain words make one short question here"
+    for ids in ((5,), (5, 5), (None, None), (5, None, 5, 6)):
+        bench = spark.createDataFrame([(i, text) for i in ids], "item_id long, text string")
+        found = leaks(docs_of([(1, f"before it {text} and behind"), (2, "nothing of it")]), bench).collect()
+        assert sorted(str(r["item_id"]) for r in found) == sorted(map(str, ids))
+        assert {(r["doc_id"], r["matched"], r["item_windows"]) for r in found} == {(1, 4, 4)}
+
+
+@pytest.mark.parametrize("bound", (0, 10**9))
+def test_both_joins_find_the_same(spark, docs_of, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
+    docs = docs_of(rows())
+    got = sorted(str((r["doc_id"], r["item_id"], r["matched"])) for r in leaks(docs, bench(spark)).collect())
+    assert got == sorted(map(str, brute.leaks(rows(), ITEMS)))
