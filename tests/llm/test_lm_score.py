@@ -135,3 +135,14 @@ def test_unseen_words_score_below_seen_ones(docs_of):
     rows = lm.texts(lm.numbered(test), "doc_id", "text", lm.ROW)
     got = {r["doc_id"]: r["log_prob"] for r in lm.score_words(rows, *model).collect()}
     assert min(got[i] for i in range(200)) > max(got[1000 + i] for i in range(200))
+
+
+def test_blocks_do_not_change_scores(docs_of, monkeypatch):
+    docs = lm.numbered(lm.texts(docs_of(rows(40) + edge_texts())))
+    model = lm.fit_counted(docs)
+    whole = sorted(map(str, lm.score_words(docs, *model).collect()))
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 3)
+    encoded = lm.encode(docs, model[0])
+    assert encoded.filter("ids IS NOT NULL").count() == len(rows(40) + edge_texts())
+    assert encoded.select("block").distinct().count() > 5
+    assert sorted(map(str, lm.score_encoded(encoded, model[1], *model[2:]).collect())) == whole
