@@ -28,6 +28,10 @@ def _lines(part: int) -> Column:
     return F.filter(F.col("lines"), lambda _, i: i % 3 == part)
 
 
+# Two rounds of leases, between which the leases of one and two days end.
+LEASE_TIMES = ("2024-03-01 09:00:00", "2024-03-03 09:00:00")
+
+
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as cleaned facilities: prose plus three text arrays and a code array."""
     asked = spark.conf.get(PARTITIONS_SETTING, None)
@@ -181,6 +185,15 @@ def _verdicts(events: DataFrame) -> DataFrame:
     )
 
 
+def reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users of the events as reviewers of up to three claims for one to three days."""
+    user = F.col("user_id")
+    return table(spark, sf_dir, "events").filter(user.isNotNull()).select(
+        F.concat(F.lit("planner "), user).alias("planner_id"),
+        (user % 4).alias("capacity"), (user % 3 + 1).alias("lease_days"),
+    ).distinct()
+
+
 def note_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as reviewer notes."""
     return table(spark, sf_dir, "conversations").select(

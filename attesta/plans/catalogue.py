@@ -11,7 +11,7 @@ from ..functions import cleaning as clean
 from ..functions.scoring import status_label, trust_score
 from ..operators import (
     actions, aliases, claims, domains, elements, entity, evaluation, evidence, facts, indicators, inference, needles,
-    polygons, quality, reference, searches, serving, similar, snapshots, trust,
+    polygons, quality, reference, review, searches, serving, similar, snapshots, trust,
 )
 from ..packs import CARE_PACK, NOTICE_INDICATORS, NOTICE_PACK, REVISED_NOTICE_PACK
 from ..sources import tables as src
@@ -760,6 +760,17 @@ def trust_flips(spark, d):
     return _rounded(snapshots.flips(before, after), "old_score", "new_score")
 
 
+# --- the review queue ----------------------------------------------------------------
+
+
+@query
+def review_queue(spark, d):
+    """The leases of two rounds over the pairs without a verdict, the least trusted first; planning runs the rounds."""
+    decided = actions.latest_verdicts(b.verdict_log(spark, d)).filter("status <> 'needs_info'")
+    waiting = review.open_claims(_rounded(_trust(spark, d), "trust_score"), decided, ["facility_id"])
+    return review.lease_rounds(waiting, b.reviewers(spark, d), list(b.LEASE_TIMES))
+
+
 # --- saved searches, source quality -----------------------------------------------
 
 

@@ -10,7 +10,7 @@ from attesta.packs import (
     REVISED_NOTICE_PACK,
 )
 
-from attesta.plans.bindings import HOLE, STAR
+from attesta.plans.bindings import HOLE, LEASE_TIMES, STAR
 from attesta.plans.catalogue import SNAPSHOT_TIMES
 
 from . import fragments as f
@@ -582,6 +582,38 @@ FROM gold g JOIN documents d ON g.facility_id = CAST(d.doc_id AS VARCHAR) LEFT J
 JOIN search s ON (s.capability IS NULL OR s.capability = g.capability) AND (s.status IS NULL OR s.status = g.status)
   AND (s.place IS NULL OR starts_with(lower(d.lang), s.place) OR starts_with(lower(d.source), s.place))
   AND (s.min_trust IS NULL OR g.trust_score >= s.min_trust) AND list_has_all(coalesce(available, []), s.required)""")
+_LEASE = [f"TIMESTAMP '{t}'" for t in LEASE_TIMES]
+
+
+def _lease(n: int, waiting: str, free: str) -> str:
+    """The leases of round ``n``: claims by priority meet places by turn."""
+    return f"""
+place{n} AS (
+  SELECT planner_id, lease_days, row_number() OVER (ORDER BY turn, planner_id) AS position
+  FROM (SELECT *, unnest(range(1, free + 1)) AS turn FROM ({free}))),
+queue{n} AS (
+  SELECT *, row_number() OVER (ORDER BY trust_score NULLS FIRST, facility_id, capability) AS position
+  FROM ({waiting})),
+lease{n} AS (
+  SELECT facility_id, capability, trust_score, planner_id, position, {_LEASE[n - 1]} AS leased_at,
+    {_LEASE[n - 1]} + to_days(CAST(lease_days AS INTEGER)) AS expires_at
+  FROM queue{n} JOIN place{n} USING (position))"""
+
+
+add("review_queue", ctes(TRUST, f.VERDICT, """
+waiting AS (
+  SELECT facility_id, capability, min(round(trust_score, 6)) AS trust_score FROM trust
+  WHERE facility_id NOT IN (SELECT facility_id FROM latest WHERE status <> 'needs_info') GROUP BY ALL),
+reviewer AS (
+  SELECT DISTINCT 'planner ' || user_id AS planner_id, user_id % 4 AS free, user_id % 3 + 1 AS lease_days
+  FROM events WHERE user_id IS NOT NULL)""",
+    _lease(1, "SELECT * FROM waiting", "SELECT * FROM reviewer"), f"""
+live AS (SELECT * FROM lease1 WHERE expires_at > {_LEASE[1]})""",
+    _lease(2, "SELECT * FROM waiting ANTI JOIN live USING (facility_id, capability)", """
+      SELECT planner_id, lease_days, free - coalesce(held, 0) AS free FROM reviewer
+      LEFT JOIN (SELECT planner_id, count(*) AS held FROM live GROUP BY ALL) USING (planner_id)"""),
+) + "SELECT * FROM lease1 UNION ALL SELECT * FROM lease2")
+
 add("shortlist_status", f"""
 WITH gold AS ({ctes(TRUST)} SELECT * FROM trust)
 SELECT lang || '-' || source AS shortlist_id, count(DISTINCT doc_id) AS n_listed, count(DISTINCT facility_id) AS n_known,
