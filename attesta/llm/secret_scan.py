@@ -10,12 +10,20 @@ its encoding. Three tests ask whether the run looks drawn uniformly from it: chi
 alphabet, runs above and below the middle, and correlation of neighbours. Three times the smallest
 p-value, at most 1, is the run's p-value.
 
-Random is the null hypothesis, so a rejected run is text, a path or a counter. Rejections are chosen by the
-Benjamini-Hochberg rule over all runs of the table at rate ``RATE``, apart for each length class, because
-short runs give the tests little power and would set the bar for long ones. What is not rejected is a
-``random`` span, but only if a text-like run of its length could have been rejected (``LEAST_DISTINCT``
-different characters). P-values are counted on a fixed grid of ``GRID`` steps per factor of two, so the
-rule needs a few hundred counts, whatever the size of the table.
+Two decisions make a ``random`` span, each by the Benjamini-Hochberg rule at rate ``RATE`` over all runs of the table:
+
+1. The battery must not reject that the run is random; a rejected run is text, a path or a counter. Length classes are
+   judged apart, because short runs give these tests little power and would set the bar for long ones.
+2. That the run is text must be rejected, so ``RATE`` bounds the share of text among what is reported as secrets. Text is a chain
+   of letter, capital, digit and symbol stretches: camel case (``TEXT_MOVES``), the same in capitals, or the moves counted
+   in the table's own text-like runs (those that cannot be keys, and those the battery rejected), with
+   ``PRIOR_MOVES`` moves of ``TEXT_MOVES`` to start from. The run's likelihood when drawn uniformly from its encoding, over
+   the largest of the three likelihoods and the number of encodings, is an e-value: under any of the chains it exceeds
+   ``1 / a`` with a chance of at most ``a``, so its inverse serves as a p-value. It grows with each character, so all lengths share
+   one bar.
+
+P-values are counted on a fixed grid of ``GRID`` steps per factor of two, so each rule needs a few hundred counts, and the
+moves are sixteen, whatever the size of the table.
 
 Positions are code points, ends exclusive. Defined cases: a NULL text is empty; a text without spans has
 the hash of the empty string. Rows come out one for one; repeated rows and NULL ids stay. An empty table
@@ -74,6 +82,20 @@ SETS = {name: frozenset(chars) for name, chars in ALPHABETS.items()}
 PLACES = {name: {c: i for i, c in enumerate(chars)} for name, chars in ALPHABETS.items()}
 NORMAL = NormalDist()
 
+# Small letters, capitals, digits, symbols: how many characters each kind has, and the chances of text to move from a kind (row)
+# to a kind (column). Text stays within a kind, and a capital is followed by small letters.
+KIND_SIZES = (26, 26, 10, 4)
+TEXT_MOVES = (
+    (0.80, 0.08, 0.06, 0.06),
+    (0.70, 0.22, 0.04, 0.04),
+    (0.12, 0.12, 0.66, 0.10),
+    (0.50, 0.20, 0.28, 0.02),
+)
+PRIOR_MOVES = 100
+KIND_OF = np.full(256, 3, np.int64)
+for _kind, _chars in enumerate((LOWER, UPPER, DIGITS)):
+    KIND_OF[list(_chars.encode())] = _kind
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the patterns, by start, then kind."""
@@ -132,33 +154,50 @@ def random_p(run: str) -> float:
     return min(1.0, 3 * min(chi_squared_p(codes, size), runs_p(codes, size), serial_p(codes)))
 
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, grid step) of the runs outside the base spans."""
-    out = []
+def moves(run: str) -> np.ndarray:
+    """How often the run moves from each kind of character to each, sixteen counts."""
+    kinds = KIND_OF[np.frombuffer(run.encode(), np.uint8)]
+    return np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16)
+
+
+def text_runs(text: str, taken: list[tuple[int, int, str]]) -> tuple[list[tuple], np.ndarray]:
+    """The runs outside the base spans: candidates as (start, end, length class, grid step, encoding's size, moves), and
+    the moves of those that cannot be keys."""
+    out, plain = [], np.zeros(16, np.int64)
     for m in RUN.finditer(text):
         run, (start, end) = m[0], m.span()
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+        if any(s < end and start < e for s, e, _ in taken):
             continue
-        if len(set(run)) < LEAST_DISTINCT or any(s < end and start < e for s, e, _ in taken):
+        chars = set(run)
+        if len(chars) < LEAST_DISTINCT or not any(c.isdigit() for c in chars) or not any(c.isalpha() for c in chars):
+            plain += moves(run)
             continue
         step = math.floor(-GRID * math.log2(max(random_p(run), 2.0**-SMALLEST)))
-        out.append((start, end, sum(len(run) >= c for c in LENGTH_CLASSES) - 1, step))
-    return out
+        size = len(ALPHABETS[encoding(run)])
+        out.append((start, end, sum(len(run) >= c for c in LENGTH_CLASSES) - 1, step, size, moves(run).tolist()))
+    return out, plain
+
+
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple]:
+    return text_runs(text, taken)[0]
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, runs): the base spans, and the candidates with class and grid step."""
+    """(doc_id, base, runs, plain): the base spans, the candidates with class, grid step and moves, and other runs' moves."""
     span = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string())])
-    run = pa.struct([(n, pa.int32()) for n in ("s", "e", "class", "step")])
+    names = ("s", "e", "class", "step", "size", "moves")
+    run = pa.struct([(n, pa.int32()) for n in names[:-1]] + [("moves", pa.list_(pa.int32()))])
 
     def make(batch):
-        base, runs = [], []
+        base, runs, plain = [], [], []
         for text in batch.column("text").to_pylist():
             own = base_spans(text)
+            found, rest = text_runs(text, own)
             base.append([{"s": s, "e": e, "kind": k} for s, e, k in own])
-            runs.append([dict(zip(("s", "e", "class", "step"), r, strict=True)) for r in candidates(text, own)])
+            runs.append([dict(zip(names, r, strict=True)) for r in found])
+            plain.append(rest.tolist() if rest.any() else None)
         yield {
-            "doc_id": batch.column("doc_id"),
+            "doc_id": batch.column("doc_id"), "plain": pa.array(plain, pa.list_(pa.int64())),
             "base": pa.array(base, pa.list_(span)), "runs": pa.array(runs, pa.list_(run)),
         }
 
@@ -166,10 +205,39 @@ def _spans(docs: DataFrame) -> DataFrame:
     return map_batches(
         docs, make,
         f"doc_id {kind}, base array<struct<s:int,e:int,kind:string>>, "
-        "runs array<struct<s:int,e:int,class:int,step:int>>",
+        "runs array<struct<s:int,e:int,class:int,step:int,size:int,moves:array<int>>>, plain array<bigint>",
     )
 
 
+def _summed(counts: DataFrame) -> np.ndarray:
+    """The sum of arrays of sixteen counts in the only column."""
+    sums = counts.select(F.posexplode(counts.columns[0]).alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n"))
+    out = np.zeros(16)
+    for r in sums.collect():  # sixteen rows at most
+        out[r["i"]] = r["n"]
+    return out.reshape(4, 4)
+
+
+def text_chains(counted: np.ndarray) -> list[np.ndarray]:
+    """Logarithms of the chances of each move and character: camel case, capitals, and the table's own text."""
+    camel = np.array(TEXT_MOVES)
+    swap = [1, 0, 2, 3]
+    own = (counted + PRIOR_MOVES * camel) / (counted.sum(axis=1, keepdims=True) + PRIOR_MOVES)
+    return [np.log(chain / np.array(KIND_SIZES)).ravel() for chain in (camel, camel[swap][:, swap], own)]
+
+
+def key_step(run: Column, chains: list[np.ndarray]) -> Column:
+    """The grid step of the p-value of a run under the hypothesis that it is text."""
+
+    def total(weights: np.ndarray) -> Column:
+        pairs = F.zip_with(run["moves"], F.array(*[F.lit(float(w)) for w in weights]), lambda n, w: n * w)
+        return F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y)
+
+    drawn = -F.log(run["size"].cast("double")) * (run["e"] - run["s"] - 1) - math.log(len(ALPHABETS))
+    steps = F.floor((drawn - F.greatest(*map(total, chains))) * (GRID / math.log(2)))
+    return F.least(F.greatest(steps, F.lit(0)), F.lit(GRID * SMALLEST)).cast("int")
+
+
 def rejection_steps(runs: DataFrame, rate: float = RATE) -> DataFrame:
     """(class, least): from which grid step on a run of a length class is rejected.
 
@@ -194,17 +262,25 @@ def scan_secrets(
 ) -> DataFrame:
     """(doc_id, base, random): the spans of every row as arrays of (s, e, kind)."""
     found = materialise(_spans(texts(docs, id_col, text_col)), "secret-spans")
-    least = rejection_steps(found.select(F.inline("runs")), rate)
-    # One number per length class, so this stays as small as the list of classes.
-    bars = {r["class"]: r["least"] for r in least.collect()}
-
-    def keep(run: Column) -> Column:
-        rejected = F.lit(False)
-        for c, step in sorted(bars.items()):
-            rejected = rejected | ((run["class"] == c) & (run["step"] >= step))
-        return ~rejected
 
-    kept = F.filter("runs", keep)
+    def bars(runs: DataFrame) -> dict[int, int]:
+        # One number per length class, so this stays as small as the list of classes.
+        return {r["class"]: r["least"] for r in rejection_steps(runs, rate).collect()}
+
+    def rejected(run: Column, step: Column, least: dict[int, int]) -> Column:
+        out = F.lit(False)
+        for c, bar in sorted(least.items()):
+            out = out | ((run["class"] == c) & (step >= bar))
+        return out
+
+    battery = bars(found.select(F.inline("runs")))
+    as_text = F.transform(F.filter("runs", lambda r: rejected(r, r["step"], battery)), lambda r: r["moves"])
+    moved = found.select(F.explode(as_text).alias("m")).select(F.col("m").cast("array<bigint>").alias("m"))
+    chains = text_chains(_summed(found.select(F.col("plain").alias("m")).unionByName(moved)))
+    run = F.col("run")
+    keyed = found.select(F.explode("runs").alias("run")).select(F.lit(0).alias("class"), key_step(run, chains).alias("step"))
+    least = bars(keyed).get(0, GRID * SMALLEST + 1)
+    kept = F.filter("runs", lambda r: ~rejected(r, r["step"], battery) & (key_step(r, chains) >= least))
     return found.select(
         "doc_id", "base",
         F.transform(

@@ -3,7 +3,12 @@ import hashlib
 import random
 import re
 
-from attesta.llm.secret_scan import candidates, random_p, rejection_steps, scan_secrets, span_digests
+import numpy as np
+
+from attesta.llm.secret_scan import (
+    ALPHABETS, KIND_SIZES, TEXT_MOVES, candidates, encoding, key_step, moves, random_p, rejection_steps, scan_secrets,
+    span_digests, text_chains,
+)
 
 from .conftest import sentence
 
@@ -89,3 +94,53 @@ def test_runs_that_touch_base_spans_are_left_out():
 
 def test_empty(no_docs):
     assert span_digests(scan_secrets(no_docs)).count() == 0
+
+
+NAMES = "Table Report User Data Order Index Customer Event Page Value Manager Config Handler Status Count".split()
+
+
+def identifiers(rng, n):
+    """Names with a number as programs have them, of 20 characters or more."""
+    out = []
+    while len(out) < n:
+        parts = rng.choices(NAMES, k=rng.randint(3, 6)) + [str(rng.randint(1, 9999))]
+        style = rng.randrange(4)
+        name = "".join(parts) if style < 2 else "_".join(parts).lower() if style == 2 else "_".join(parts).upper()
+        if len(name) >= 20:
+            out.append(name)
+    return out
+
+
+def test_identifiers_are_no_secrets_and_keys_are(docs_of):
+    rng = random.Random(31)
+    names = identifiers(rng, 300)
+    letters = ALPHABETS["mixed"]
+    keys = ["".join(rng.choices(letters, k=rng.randint(28, 48))) for _ in range(60)]
+    keys += ["".join(rng.choices(ALPHABETS["base32"], k=32)) for _ in range(30)]
+    for alone in (True, False):
+        docs = [(i, f"{sentence(rng, 20)} {k} {sentence(rng, 5)}") for i, k in enumerate(names if alone else names + keys)]
+        got = {r["doc_id"]: r["n_random"] for r in span_digests(scan_secrets(docs_of(docs))).collect()}
+        wrong = sum(got[i] for i in range(300))
+        caught = sum(got[300 + i] for i in range(90)) if not alone else 0
+        assert wrong <= 0.05 * max(1, wrong + caught)
+        assert alone or caught >= 0.9 * 90
+
+
+def test_key_step_equals_the_likelihoods_of_the_run(spark):
+    rng = random.Random(2)
+    counted = np.arange(16.0).reshape(4, 4)
+    runs = identifiers(rng, 20) + ["".join(rng.choices(ALPHABETS["base64"], k=40)) for _ in range(20)]
+    rows = [(0, len(r), len(ALPHABETS[encoding(r)]), moves(r).tolist()) for r in runs]
+    df = spark.createDataFrame(rows, "s int, e int, size int, moves array<int>")
+    got = [r[0] for r in df.select(key_step({c: df[c] for c in df.columns}, text_chains(counted))).collect()]
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    other = {0: 1, 1: 0, 2: 2, 3: 3}
+    for run, step in zip(runs, got, strict=True):
+        camel = capitals = own = 1.0
+        for x, y in zip(run, run[1:], strict=False):
+            i, j = kind(x), kind(y)
+            camel *= TEXT_MOVES[i][j] / KIND_SIZES[j]
+            capitals *= TEXT_MOVES[other[i]][other[j]] / KIND_SIZES[j]
+            own *= (counted[i][j] + 100 * TEXT_MOVES[i][j]) / (counted[i].sum() + 100) / KIND_SIZES[j]
+        e = len(ALPHABETS[encoding(run)]) ** (1.0 - len(run)) / max(camel, capitals, own) / len(ALPHABETS)
+        assert abs(step - min(512, max(0, np.floor(8 * np.log2(e))))) <= 1
