@@ -104,3 +104,18 @@ def display_name(c: Column) -> Column:
 
     tokens = F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
     return F.coalesce(F.concat_ws(" ", F.transform(tokens, word)), F.lit(""))
+
+
+# A figure as published: suppressed, estimated from few cases (in brackets), or plain.
+_FIGURE = r"^\s*(\()?\s*([+-]?[0-9]+(?:[.][0-9]+)?)\s*%?\s*(\))?\s*$"
+
+
+def figure_value(text: Column) -> Column:
+    """The number of a published figure, also of one in brackets; NULL for ``*`` and for what is no figure."""
+    opened, closed = (F.regexp_extract(text, _FIGURE, i) != "" for i in (1, 3))
+    return F.when(opened == closed, F.regexp_extract(text, _FIGURE, 2).try_cast("double"))
+
+
+def figure_low_sample(text: Column) -> Column:
+    """Whether a published figure rests on few cases: in brackets, or suppressed as ``*``. NULL for no text."""
+    return (F.btrim(text) == "*") | (figure_value(text).isNotNull() & F.startswith(F.ltrim(text), F.lit("(")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.cleaning import normalize_name, sentinel_double, title
+from ..functions.cleaning import figure_low_sample, figure_value, normalize_name, sentinel_double, title
 from ..packs import CANONICAL_STATES
 
 # Office kinds from most to least preferred.
@@ -122,3 +124,12 @@ def attach_district(entities: DataFrame, pincodes: DataFrame) -> DataFrame:
         F.col("district").alias("district_resolved"),
         F.lit("pincode").alias("district_source"),
     )
+
+
+def typed_indicators(districts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Published figures as numbers under their names, each with a flag for few cases in ``<name>_low_sample``."""
+    typed = {c: figure_value(F.col(c)) for c in columns}
+    flags = {f"{c}_low_sample": figure_low_sample(F.col(c)) for c in columns}
+    return districts.select(
+        *[typed[c].alias(c) if c in typed else F.col(c) for c in districts.columns], *[x.alias(n) for n, x in flags.items()]
+    )

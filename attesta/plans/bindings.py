@@ -317,3 +317,42 @@ def cross_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = F.length(F.regexp_replace("target", "^.*/", "")).cast("long")
     led = led.select("source", ((F.col("page_id") * 31 + chars * chars * 17) % n).alias("page_id"))
     return led.join(pages.select("page_id", F.col("url").alias("target")), "page_id").select("source", "target")
+
+
+def published_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of short and of long documents by source and language, as published: few cases in brackets, very few as ``*``."""
+    docs = table(spark, sf_dir, "documents").groupBy(
+        F.upper("lang").alias("state"), F.concat("lang", F.lit("-"), "source").alias("district")
+    )
+    shares = docs.agg(
+        F.count("*").alias("n"), F.round(100.0 * F.count_if(F.col("n_chars") < 1000) / F.count("*"), 1).alias("short"),
+        F.round(100.0 * F.count_if(F.col("n_chars") > 3000) / F.count("*"), 1).alias("long"),
+    )
+    published = lambda c: (
+        F.when(F.col("n") % 7 == 1, F.lit("*")).when(F.col("n") % 3 == 0, F.concat(F.lit("("), c, F.lit(")")))
+        .when(F.col("n") % 3 == 1, F.concat(F.lit(" "), c, F.lit(" %"))).otherwise(F.col(c).cast("string")))
+    return shares.select("state", "district", published("short").alias("short_pct"), published("long").alias("long_pct"))
+
+
+def stated_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as what the fields of a facility (a part) say about its size, in words that their numbers decide."""
+    n = F.col("l_quantity").cast("long")
+    way = (F.col("l_orderkey") + F.col("l_suppkey")) % 9
+    more, many = (n + F.col("l_linenumber")).cast("string"), F.concat((n + 1).cast("string"), F.lit(",250"))
+    n = n.cast("string")
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    text = (
+        F.when(way == 0, said("A ward of ", n, " beds."))
+        .when(way == 1, said("Between ", n, "  and ", more, " beds, with over ", n, " nurses"))
+        .when(way == 2, said("a ", n, "-bedded house; up to ", more, " doctors"))
+        .when(way == 3, said(n, "-", more, " Beds on ", many, " sq ft"))
+        .when(way == 4, said("AT LEAST ", n, " beds (", n, ".5.1 beds, 3,5 nurses)"))
+        .when(way == 5, said("about ", n, " doctors and ", many, ".5 square  metres"))
+        .when(way == 6, said("v", n, " beds, room ", n))
+        .when(way == 7, said("minimum of ", n, " nurses, at most ", more, " nurses"))
+    )
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("facility_id"),
+        F.get(F.array(*map(F.lit, ("description", "capabilities", "equipment"))), F.col("l_linenumber") % 3).alias("source_field"),
+        text.alias("text"),
+    )

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import cleaning as clean
 from ..functions.scoring import status_label, trust_score
 from ..operators import (
-    actions, aliases, claims, domains, elements, entity, evaluation, evidence, facts, indicators, inference, needles,
-    polygons, quality, reference, review, searches, serving, similar, snapshots, trust,
+    actions, aliases, claims, corroboration, domains, elements, entity, evaluation, evidence, facts, gaps, indicators, inference,
+    needles, polygons, quality, reference, review, searches, serving, similar, snapshots, trust,
 )
 from ..packs import CARE_PACK, NOTICE_INDICATORS, NOTICE_PACK, REVISED_NOTICE_PACK
 from ..sources import tables as src
@@ -805,3 +805,42 @@ def page_quality(spark, d):
     pages, suffixes = b.table(spark, d, "pages"), b.host_suffixes(spark, d)
     ranked = domains.source_quality(pages, b.cross_links(spark, d), suffixes)
     return domains.page_quality(pages.select("page_id", "url"), ranked, suffixes)
+
+
+# --- figures, gaps, what fields say together ---------------------------------------
+
+
+def _published(spark, d):
+    return reference.typed_indicators(b.published_figures(spark, d), ["short_pct", "long_pct"])
+
+
+@query
+def typed_indicators(spark, d):
+    """Published figures as numbers, with a flag for few cases."""
+    return _published(spark, d)
+
+
+@query
+def district_gaps(spark, d):
+    """Verified coverage against a published burden, for every place and capability."""
+    facilities = _docs(spark, d).select("facility_id", "state", F.col("pincode").alias("district"))
+    burdens = _published(spark, d).select("state", "district", F.col("short_pct").alias("burden"))
+    terms = [r.capability for r in NOTICE_PACK.rules]
+    return gaps.district_gaps(_rounded(_trust(spark, d), "trust_score"), facilities, burdens, terms)
+
+
+@query
+def quantities(spark, d):
+    return _rounded(corroboration.quantities(b.stated_quantities(spark, d)), "low", "high")
+
+
+@query
+def quantity_agreement(spark, d):
+    """Where the fields of a facility agree about its size, and the two quotes that set the bounds."""
+    return _rounded(corroboration.quantity_agreement(corroboration.quantities(b.stated_quantities(spark, d))), "low", "high")
+
+
+@query
+def corroborated_claims(spark, d):
+    """How many fields claim each pair, and whether the prose supports it."""
+    return corroboration.corroboration(_claims(spark, d), _evidence(spark, d))

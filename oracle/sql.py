@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from attesta.operators.corroboration import UNITS, quantity_pattern
 from attesta.operators.entity import SILVER_COLUMNS
 from attesta.operators.inference import CLASSIFY_PROMPT, EXTRACT_PROMPT
 from attesta.operators.serving import DISTRICT_INDICATORS
@@ -653,3 +654,108 @@ FROM labels""")
 add("page_quality", f"""
 SELECT page_id, url, domain, rank, place FROM ({ORACLE_SQL["source_quality"]})
 JOIN (SELECT page_id, url, {_DOMAIN} AS domain FROM pages) USING (domain)""")
+
+
+# --- figures, gaps, what fields say together ---------------------------------------
+
+_PUBLISHED = """
+share AS (
+  SELECT upper(lang) AS state, lang || '-' || source AS district, count(*) AS n,
+    round(100.0e0 * count(*) FILTER (WHERE n_chars < 1000) / count(*), 1) AS short,
+    round(100.0e0 * count(*) FILTER (WHERE n_chars > 3000) / count(*), 1) AS long
+  FROM documents GROUP BY ALL),
+figure AS (
+  SELECT state, district, CASE WHEN n % 7 <> 1 THEN short END AS short_pct, CASE WHEN n % 7 <> 1 THEN long END AS long_pct,
+    n % 7 = 1 OR n % 3 = 0 AS short_pct_low_sample, n % 7 = 1 OR n % 3 = 0 AS long_pct_low_sample
+  FROM share)"""
+add("typed_indicators", ctes(_PUBLISHED) + "SELECT * FROM figure")
+
+add("district_gaps", ctes(TRUST, _PUBLISHED, f"""
+asked AS (SELECT unnest([{", ".join(q(t) for t in dict.fromkeys(r.capability for r in NOTICE_PACK.rules))}]) AS capability),
+held AS (
+  SELECT ['district', 'state', '', 'country'][grouping(state, pincode) + 1] AS level, state, pincode AS district, count(*) AS n_facilities
+  FROM doc GROUP BY GROUPING SETS ((state, pincode), (state), ())),
+burdened AS (
+  SELECT ['district', 'state', '', 'country'][grouping(state, district) + 1] AS level, state, district, round(avg(short_pct), 6) AS burden
+  FROM figure GROUP BY GROUPING SETS ((state, district), (state), ())),
+claiming AS (
+  SELECT ['district', 'state', '', 'country'][grouping(state, pincode) + 1] AS level, state, pincode AS district, capability,
+    count(*) AS n_claiming, count(*) FILTER (WHERE status = 'verified') AS n_verified,
+    quantile_disc(round(trust_score, 6), 0.5) AS median_score
+  FROM trust JOIN doc USING (facility_id) GROUP BY GROUPING SETS ((capability, state, pincode), (capability, state), (capability))),
+gapped AS (
+  SELECT t.level, t.state, t.district, asked.capability, n_facilities, coalesce(n_claiming, 0) AS n_claiming,
+    coalesce(n_verified, 0) AS n_verified, median_score, burden,
+    round(coalesce(n_verified, 0) / n_facilities, 6) AS coverage,
+    round(burden * (1 - coalesce(n_verified, 0) / n_facilities), 6) AS gap
+  FROM held t CROSS JOIN asked
+  LEFT JOIN burdened m ON m.level = t.level AND m.state IS NOT DISTINCT FROM t.state AND m.district IS NOT DISTINCT FROM t.district
+  LEFT JOIN claiming c ON c.level = t.level AND c.state IS NOT DISTINCT FROM t.state AND c.district IS NOT DISTINCT FROM t.district
+    AND c.capability = asked.capability)""") + """
+SELECT *, CASE WHEN gap IS NOT NULL THEN rank() OVER (PARTITION BY level, capability, gap IS NULL ORDER BY gap DESC) END AS gap_rank,
+  CASE WHEN gap IS NOT NULL THEN round(percent_rank() OVER (PARTITION BY level, capability, gap IS NULL ORDER BY gap), 6) END AS gap_percent
+FROM gapped""")
+
+_SAID = """
+said AS (
+  SELECT l_partkey AS facility_id, ['description', 'capabilities', 'equipment'][l_linenumber % 3 + 1] AS source_field,
+    CASE (l_orderkey + l_suppkey) % 9
+      WHEN 0 THEN 'A ward of ' || n || ' beds.'
+      WHEN 1 THEN 'Between ' || n || '  and ' || (n + l_linenumber) || ' beds, with over ' || n || ' nurses'
+      WHEN 2 THEN 'a ' || n || '-bedded house; up to ' || (n + l_linenumber) || ' doctors'
+      WHEN 3 THEN n || '-' || (n + l_linenumber) || ' Beds on ' || (n + 1) || ',250 sq ft'
+      WHEN 4 THEN 'AT LEAST ' || n || ' beds (' || n || '.5.1 beds, 3,5 nurses)'
+      WHEN 5 THEN 'about ' || n || ' doctors and ' || (n + 1) || ',250.5 square  metres'
+      WHEN 6 THEN 'v' || n || ' beds, room ' || n
+      WHEN 7 THEN 'minimum of ' || n || ' nurses, at most ' || (n + l_linenumber) || ' nurses' END AS text
+  FROM (SELECT *, CAST(l_quantity AS BIGINT) AS n FROM lineitem))"""
+_PATTERN = q(quantity_pattern(UNITS))
+_BY_UNIT = lambda i: "CASE unit " + " ".join(
+    f"WHEN {q(w)} THEN {q(x[0]) if i == 0 else repr(x[1]) + 'e0'}" for w, x in UNITS.items()) + " END"
+_number = lambda x: (
+    f"CASE WHEN regexp_matches({x}, '^([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)([.][0-9]+)?$') "
+    f"THEN CAST(replace({x}, ',', '') AS DOUBLE) * {_BY_UNIT(1)} END")
+_QUANTITY = f"""{_SAID},
+quoted AS (SELECT facility_id, source_field, unnest(regexp_extract_all(text, {_PATTERN}, 0)) AS quote FROM said),
+parts AS (
+  SELECT *, """ + ", ".join(
+    rf"lower(regexp_replace(regexp_extract(quote, {_PATTERN}, {i}), '\s+', ' ', 'g')) AS {n}"
+    for i, n in enumerate(("word", "first", "second", "unit"), 1)) + f""" FROM quoted),
+valued AS (SELECT *, {_BY_UNIT(0)} AS kind, {_number("first")} AS a, {_number("second")} AS b FROM parts),
+quantity AS (
+  SELECT facility_id, source_field, kind, quote,
+    CASE WHEN word IN ('at most', 'up to', 'less than', 'under', 'maximum of', 'maximum') THEN 0.0e0
+      WHEN word IN ('about', 'around', 'approximately', 'nearly') THEN least(a, coalesce(b, a)) * 0.9e0
+      ELSE least(a, coalesce(b, a)) END AS low,
+    CASE WHEN word IN ('at least', 'more than', 'over', 'minimum of', 'minimum') THEN NULL
+      WHEN word IN ('about', 'around', 'approximately', 'nearly') THEN greatest(a, coalesce(b, a)) * 1.1e0
+      ELSE greatest(a, coalesce(b, a)) END AS high
+  FROM valued WHERE a IS NOT NULL AND (second = '' OR b IS NOT NULL))"""
+add("quantities", ctes(_QUANTITY) + """
+SELECT facility_id, source_field, kind, round(low, 6) AS low, round(high, 6) AS high, quote FROM quantity""")
+add("quantity_agreement", ctes(_QUANTITY, """
+hull AS (
+  SELECT facility_id, kind, source_field, count(*) AS n, min(low) AS low, max(coalesce(high, 1e300)) AS high FROM quantity GROUP BY ALL),
+both_ AS (
+  SELECT facility_id, kind, count(*) AS n_fields, CAST(sum(n) AS BIGINT) AS n_statements, max(low) AS low, min(high) AS high
+  FROM hull GROUP BY ALL),
+sides AS (
+  SELECT b.*, (SELECT min(source_field) FROM hull h WHERE h.facility_id = b.facility_id AND h.kind = b.kind AND h.low = b.low) AS low_field,
+    (SELECT min(source_field) FROM hull h WHERE h.facility_id = b.facility_id AND h.kind = b.kind AND h.high = b.high) AS top_field
+  FROM both_ b)""") + """
+SELECT s.facility_id, s.kind, n_fields, n_statements, s.low <= s.high AS agrees, round(s.low, 6) AS low,
+  CASE WHEN s.high < 1e300 THEN round(s.high, 6) END AS high, low_field,
+  (SELECT min(quote) FROM quantity x WHERE x.facility_id = s.facility_id AND x.kind = s.kind AND x.source_field = low_field
+    AND x.low = s.low) AS low_quote,
+  CASE WHEN s.high < 1e300 THEN top_field END AS high_field,
+  CASE WHEN s.high < 1e300 THEN (SELECT min(quote) FROM quantity x WHERE x.facility_id = s.facility_id AND x.kind = s.kind
+    AND x.source_field = top_field AND x.high = s.high) END AS high_quote
+FROM sides s""")
+
+add("corroborated_claims", ctes(EVIDENCE, """
+prose AS (SELECT DISTINCT facility_id, claim_id, true AS in_prose FROM evidence WHERE source_field = 'description' AND polarity = 'supports')
+""") + """
+SELECT facility_id, claim_value AS capability, count(*) AS n_claims, count(DISTINCT source_field) AS n_fields,
+  string_agg(DISTINCT source_field, ',' ORDER BY source_field) AS fields, coalesce(bool_or(in_prose), false) AS description_supported,
+  round(least(max(extraction_confidence) + 0.05e0 * (count(DISTINCT source_field) - 1), 1.0e0), 6) AS confidence
+FROM claim LEFT JOIN prose USING (facility_id, claim_id) GROUP BY facility_id, claim_value""")
