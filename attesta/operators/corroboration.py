@@ -57,19 +57,22 @@ def _number(text: Column) -> Column:
 def quantities(texts: DataFrame, units: Mapping[str, tuple[str, float]] = UNITS) -> DataFrame:
     """(facility_id, source_field, kind, low, high, quote) of every quantity in (facility_id, source_field, text)."""
     pattern = quantity_pattern(units)
-    found = texts.select(
-        "facility_id", "source_field", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("quote")
+    part = lambda quote, i: F.lower(F.regexp_replace(F.regexp_extract(quote, pattern, i), r"\s+", " "))
+    parts = F.transform(
+        F.when(F.col("text").rlike("[0-9]"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))),
+        lambda x: F.struct(
+            x.alias("quote"), part(x, 1).alias("word"), part(x, 2).alias("first"), part(x, 3).alias("second"),
+            part(x, 4).alias("unit"),
+        ),
     )
-    part = lambda i: F.lower(F.regexp_replace(F.regexp_extract("quote", pattern, i), r"\s+", " "))
-    parts = found.select(
-        "*", part(1).alias("word"), part(2).alias("first"), part(3).alias("second"), part(4).alias("unit")
-    )
-    kind = F.coalesce(*[F.when(F.col("unit") == w, F.lit(k)) for w, (k, _) in units.items()])
-    factor = F.coalesce(*[F.when(F.col("unit") == w, F.lit(float(x))) for w, (_, x) in units.items()])
-    read = parts.select(
-        "facility_id", "source_field", "quote", "word", "second", kind.alias("kind"),
-        (_number(F.col("first")) * factor).alias("a"), (_number(F.col("second")) * factor).alias("b"),
-    ).filter("kind IS NOT NULL AND a IS NOT NULL AND (second = '' OR b IS NOT NULL)")
+    # Behind an outer generator the parts are columns; in front of it each test of one would match the text again.
+    split = texts.select("facility_id", "source_field", F.inline_outer(parts)).filter("unit IS NOT NULL")
+    by_unit = lambda i, kind: F.element_at(
+        F.create_map(*[F.lit(x) for w, u in units.items() for x in (w, kind(u[i]))]), F.col("unit"))
+    read = split.select(
+        "facility_id", "source_field", "quote", "word", "second", by_unit(0, str).alias("kind"),
+        (_number(F.col("first")) * by_unit(1, float)).alias("a"), (_number(F.col("second")) * by_unit(1, float)).alias("b"),
+    ).filter("a IS NOT NULL AND (second = '' OR b IS NOT NULL)")
     word, a, b = F.col("word"), F.col("a"), F.coalesce("b", "a")
     about = word.isin(*ABOUT)
     low = F.when(word.isin(*AT_MOST), F.lit(0.0)).otherwise(F.least(a, b) * F.when(about, 1 - NEAR).otherwise(1.0))
