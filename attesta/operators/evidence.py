@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cleaning import cut
 from ..functions.matching import (
-    match_windows, padded, quote, regex, short_sha1, text_after, text_before,
+    match_windows, may_match, padded, quote, regex, short_sha1, text_after, text_before,
 )
 from ..packs import RulePack
 from .claims import SPAN_HALF, primary_claims, terms, with_claims
@@ -72,7 +72,7 @@ def scan(text: Column, claimed: Column, pack: RulePack) -> Column:
     for i, rule in enumerate(pack.rules):
         asked = F.get(claimed, F.lit(i)).isNotNull()
         for p in rule.patterns:
-            windows.append(F.when(asked, match_windows(source, p, SPAN_HALF)))
+            windows.append(F.when(asked & may_match(text, p), match_windows(source, p, SPAN_HALF)))
             rule_of.append(F.lit(i))
     rules = F.array(*rule_of)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.matching import PAD, padded, quote
+from ..functions.matching import padded, quote, unpadded
 from ..packs import NEEDLE_CUES
 
 # Window half-width, cue reach, and scores of raw wording and of the term.
@@ -52,36 +52,55 @@ def needle_evidence(claimed: DataFrame) -> DataFrame:
     and its hits are then listed for every claim that has it. Polarity looks at what stands before
     the first occurrence inside the snippet.
     """
-    needles_of = lambda c: F.array(F.lower(c["claim_value"]), F.lower(c["claim_raw"]))
-    needles = F.array_distinct(F.flatten(F.transform("claims", needles_of)))
+    worded = F.transform(
+        "claims",
+        lambda c: F.struct(
+            c["claim_value"].alias("claim_value"), c["claim_raw"].alias("claim_raw"),
+            F.lower(c["claim_value"]).alias("value"), F.lower(c["claim_raw"]).alias("raw"),
+        ),
+    )
+    lowered_once = claimed.select("facility_id", "texts", worded.alias("worded"))
+    needles = F.array_distinct(F.flatten(F.transform("worded", lambda c: F.array(c["value"], c["raw"]))))
     asked = F.transform(
-        needles,
+        F.filter(needles, lambda n: n != ""),
         lambda n: F.struct(
             n.alias("needle"),
-            F.filter("claims", lambda c: (F.lower(c["claim_value"]) == n) | (F.lower(c["claim_raw"]) == n))
-            .alias("own"),
+            F.filter("worded", lambda c: (c["value"] == n) | (c["raw"] == n)).alias("own"),
         ),
     )
     # Outer generators: the plain ones make the optimizer test arrays below, by working them out twice.
-    per_text = claimed.select("facility_id", "claims", F.explode_outer("texts").alias("t")).filter(
-        F.col("t.text").isNotNull() & (F.col("t.text") != "")
+    per_text = (
+        lowered_once.select("facility_id", "texts", asked.alias("asked"))
+        .select("facility_id", "asked", F.explode_outer("texts").alias("t"))
+        .select("facility_id", "asked", "t.source_field", "t.text", F.lower("t.text").alias("low"))
+        .filter(F.col("text").isNotNull() & (F.col("text") != ""))
     )
-    per_needle = per_text.select("facility_id", "t.*", F.explode_outer(asked).alias("a")).select(
-        "facility_id", "source_field", "text", "a.needle", "a.own"
-    ).filter((F.col("needle") != "") & F.contains(F.lower("text"), F.col("needle")))
-    windows = F.call_function(
-        "regexp_extract_all", padded(F.col("text"), NEEDLE_HALF),
-        _window_pattern(F.col("needle")), F.lit(1),
+    # Needles meet the text inside the row, so no text is copied for each of them.
+    found = F.filter("asked", lambda a: F.contains(F.col("low"), a["needle"]))
+    windows = lambda needle: F.call_function(
+        "regexp_extract_all", padded(F.col("text"), NEEDLE_HALF), _window_pattern(needle), F.lit(1))
+    per_needle = F.transform(
+        found,
+        lambda a: F.transform(
+            windows(a["needle"]),
+            lambda w, i: F.struct(
+                a["needle"].alias("needle"), a["own"].alias("own"), i.alias("hit_ord"), w.alias("window")
+            ),
+        ),
     )
-    hits = per_needle.select(
-        "facility_id", "source_field", "needle", "own", F.posexplode_outer(windows).alias("hit_ord", "window")
+    hits = per_text.select("facility_id", "source_field", F.explode_outer(F.flatten(per_needle)).alias("h")).select(
+        "facility_id", "source_field", "h.*"
     ).filter(F.col("window").isNotNull())
-    lowered = F.btrim(F.lower("window"), F.lit(PAD))
-    at = F.instr(lowered, F.col("needle"))
-    before = F.substring(lowered, F.greatest(F.lit(1), at - CUE_REACH), F.least(F.lit(CUE_REACH), at - 1))
+    # Columns of their own, as many cues read them.
+    at = F.col("at")
+    hits = hits.select("*", unpadded(F.lower("window")).alias("lowered")).select(
+        "*", F.instr(F.col("lowered"), F.col("needle")).alias("at")
+    )
+    reach = F.substring("lowered", F.greatest(F.lit(1), at - CUE_REACH), F.least(F.lit(CUE_REACH), at - 1))
+    hits = hits.select("*", reach.alias("before"))
     denied = F.lit(False)
     for cue in NEEDLE_CUES:
-        denied = denied | F.contains(before, F.lit(cue))
+        denied = denied | F.contains(F.col("before"), F.lit(cue))
     judged = hits.select(
         "facility_id", "source_field", "needle", "hit_ord",
         quote(F.col("window")).alias("snippet"),
@@ -91,6 +110,6 @@ def needle_evidence(claimed: DataFrame) -> DataFrame:
     )
     return judged.select(
         "facility_id", "c.claim_value", "c.claim_raw", "source_field", "hit_ord", "snippet", "polarity",
-        F.when(F.col("needle") == F.lower("c.claim_raw"), F.lit(RAW_SCORE)).otherwise(F.lit(VALUE_SCORE))
+        F.when(F.col("needle") == F.col("c.raw"), F.lit(RAW_SCORE)).otherwise(F.lit(VALUE_SCORE))
         .alias("retrieval_score"),
     )
