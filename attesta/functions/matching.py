@@ -7,9 +7,7 @@ counted in characters even next to surrogate pairs.
 
 from __future__ import annotations
 
-import operator
 import re
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -73,56 +71,12 @@ def _first_group(pattern: str) -> tuple[str, str]:
     return used[3:-1], pattern[len(used):]
 
 
-# What is not ASCII and equals an ASCII letter in another case.
-_FOLDED = {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131"}
-
-
 def _guard(patterns: list[str]) -> str:
-    """Look-ahead at one character, which is far cheaper than a word-boundary test.
-
-    It lists every character that a match can start with, in both cases and without flags, so Java tests a bit and
-    folds no case at each place of a text.
-    """
+    """Look-ahead at one character, which is far cheaper than a word-boundary test."""
     heads = [_heads(p) for p in patterns]
-    if any(h is None or not "".join(h).isascii() for h in heads):
+    if any(h is None for h in heads):
         return ""
-    items = dict.fromkeys(x for h in heads for x in h)
-    first = re.compile("|".join(x if len(x) > 1 else re.escape(x) for x in items), re.IGNORECASE)
-    named = [chr(i) for i in range(128) if first.fullmatch(chr(i))]
-    folded = "".join(_FOLDED.get(c, "") for c in named)
-    digits = r"\d" if any(r"\d" in x for x in items) else ""
-    return f"(?=(?-i:[{''.join(f'\\x{ord(c):02x}' for c in named)}{folded}{digits}]))"
-
-
-_PART = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|\{[^}]*\}|.", re.DOTALL)
-_SIGN = re.compile(r"[@#%&,:;=/<>!~-]|\\[.+*?()$@-]")
-
-
-def _sign(branch: str) -> str | None:
-    """A sign that every match of a pattern without alternatives holds; None if none is known."""
-    depth, parts = 0, _PART.findall(branch)
-    for part, after in zip(parts, [*parts[1:], ""], strict=True):
-        depth += (part == "(") - (part == ")")
-        if depth == 0 and _SIGN.fullmatch(part) and after[:1] not in ("?", "*", "{"):
-            return part[-1]
-    return None
-
-
-def may_match(text: Column, pattern: str) -> Column:
-    """False only where no match can be, as the text holds none of the signs that a match needs."""
-    signs = [_sign(b) for b in _branches(ungrouped(pattern))]
-    if None in signs:
-        return F.lit(True)
-    held = [F.contains(text, F.lit(s)) for s in dict.fromkeys(signs)]
-    return reduce(operator.or_, held)
-
-
-def matches_any(text: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether any pattern matches; those that need a sign are tried only on texts that hold it."""
-    plain = tuple(p for p in patterns if any(_sign(b) is None for b in _branches(ungrouped(p))))
-    tests = [text.rlike(any_of(plain))] if plain else []
-    tests += [may_match(text, p) & text.rlike(regex(p)) for p in patterns if p not in plain]
-    return reduce(operator.or_, tests)
+    return f"(?=[{''.join(dict.fromkeys(x for h in heads for x in h))}])"
 
 
 def _alternatives(tails: list[str]) -> str:
@@ -195,21 +149,17 @@ def text_after(window: Column, width: int, n: int) -> Column:
     return F.left(F.right(window, F.lit(width)), F.lit(n))
 
 
-def _without(text: Column, ends: str) -> Column:
+def quote(window: Column) -> Column:
+    """A window as a snippet: without padding and without white space at its ends."""
+    return F.btrim(window, F.lit(PAD + WHITE_SPACE))
+
+
+def trimmed(text: Column, ends: str) -> Column:
     """Like ``btrim``, which copies every character that it takes off; windows of short texts are mostly padding."""
     other = "[^" + "".join(f"\\u{ord(c):04x}" for c in ends) + "]"
     return F.regexp_extract(text, rf"(?s){other}(?:.*{other})?", 0)
 
 
-def unpadded(window: Column) -> Column:
-    return _without(window, PAD)
-
-
-def quote(window: Column) -> Column:
-    """A window as a snippet: without padding and without white space at its ends."""
-    return _without(window, PAD + WHITE_SPACE)
-
-
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 

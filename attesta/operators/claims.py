@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cleaning import cut
 from ..functions.matching import (
-    first_window, matches_any, padded, quote, regex, short_sha1, strip, window_regex,
+    any_of, first_window, padded, quote, regex, short_sha1, strip, window_regex,
 )
 from ..packs import RULE_BITS, RulePack
 from .elements import CLAIM_FIELDS, CLAIM_TYPE, TEXT_FIELDS, field_elements, non_empty
@@ -53,32 +53,29 @@ def _span(text: Column, patterns: tuple[str, ...]) -> Column:
     )
 
 
-def _first_pattern(text: Column, patterns: tuple[str, ...]) -> Column:
-    """Place of the first pattern that matches, where one does; the last one is not tried."""
-    places = [F.when(text.rlike(regex(p)), F.lit(i)) for i, p in enumerate(patterns[:-1])]
-    return F.coalesce(*places, F.lit(len(patterns) - 1))
-
-
 def element_hits(text: Column, pack: RulePack, spans: bool = False) -> Column:
     """Rules that fire on one element, in rule order, each with its first matching pattern.
 
     With ``spans`` each hit quotes its surroundings; the patterns are literals here, so they
-    are compiled once. Whether a rule fires is worked out once, also where others ask for it.
+    are compiled once.
     """
-    fired = F.array(*[matches_any(text, r.patterns) for r in pack.rules])
-
-    def slots(fired: Column) -> Column:
-        out = []
-        for i, rule in enumerate(pack.rules):
-            fires = F.get(fired, F.lit(i))
-            for winner in pack.winners_over(rule.capability):
-                fires = fires & ~F.get(fired, F.lit(pack.rules.index(winner)))
-            span = _span(text, rule.patterns) if spans else F.lit(None).cast("string")
-            out.append(F.when(fires, F.struct(_first_pattern(text, rule.patterns).alias("pat_ord"), span.alias("span"))))
-        return F.array(*out)
-
+    fired = [text.rlike(any_of(r.patterns)) for r in pack.rules]
+    slots = []
+    for rule, fires in zip(pack.rules, fired):
+        for winner in pack.winners_over(rule.capability):
+            fires = fires & ~fired[pack.rules.index(winner)]
+        each = F.array(*[text.rlike(regex(p)) for p in rule.patterns])
+        span = _span(text, rule.patterns) if spans else F.lit(None).cast("string")
+        slots.append(
+            F.when(
+                fires,
+                F.struct(
+                    (F.array_position(each, True).cast("int") - 1).alias("pat_ord"), span.alias("span")
+                ),
+            )
+        )
     hits = F.transform(
-        F.flatten(F.transform(F.array(fired), slots)),
+        F.array(*slots),
         lambda h, rule: F.struct(rule.alias("rule_ord"), h["pat_ord"].alias("pat_ord"), h["span"].alias("span")),
     )
     return F.filter(hits, lambda h: h["pat_ord"].isNotNull())
@@ -150,8 +147,9 @@ def with_claims(entities: DataFrame, pack: RulePack, spans: bool = False) -> Dat
     Both stay inside the row: the entity's text is read once and never shuffled. Quotes are
     cut only with ``spans``.
     """
+    any_rx = any_of(pack.patterns)
     texts = F.concat(*[field_elements(f, CLAIM_FIELDS.index(f)) for f in TEXT_FIELDS])
-    marked = F.filter(texts, lambda e: matches_any(e["text"], pack.patterns))
+    marked = F.filter(texts, lambda e: e["text"].rlike(any_rx))
     return entities.withColumn("marked", marked).withColumn(
         "claims", F.array_sort(F.concat(_text_claims(F.col("marked"), pack, spans), _code_claims(pack)))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.matching import padded, quote, unpadded
+from ..functions.matching import PAD, WHITE_SPACE, padded, trimmed
 from ..packs import NEEDLE_CUES
 
 # Window half-width, cue reach, and scores of raw wording and of the term.
@@ -93,7 +93,7 @@ def needle_evidence(claimed: DataFrame) -> DataFrame:
     ).filter(F.col("window").isNotNull())
     # Columns of their own, as many cues read them.
     at = F.col("at")
-    hits = hits.select("*", unpadded(F.lower("window")).alias("lowered")).select(
+    hits = hits.select("*", trimmed(F.lower("window"), PAD).alias("lowered")).select(
         "*", F.instr(F.col("lowered"), F.col("needle")).alias("at")
     )
     reach = F.substring("lowered", F.greatest(F.lit(1), at - CUE_REACH), F.least(F.lit(CUE_REACH), at - 1))
@@ -103,7 +103,7 @@ def needle_evidence(claimed: DataFrame) -> DataFrame:
         denied = denied | F.contains(F.col("before"), F.lit(cue))
     judged = hits.select(
         "facility_id", "source_field", "needle", "hit_ord",
-        quote(F.col("window")).alias("snippet"),
+        trimmed(F.col("window"), PAD + WHITE_SPACE).alias("snippet"),
         F.when(at == 0, F.lit("neutral")).when(denied, F.lit("contradicts"))
         .otherwise(F.lit("supports")).alias("polarity"),
         F.explode("own").alias("c"),
