@@ -53,6 +53,8 @@ SALTS = 256
 BLOCK_WORDS = 150_000
 BLOCK_TOKENS = 3_000_000
 UNSEEN = 0.5
+# A count and a place in a block as one long: places have 31 bits, as a text has less than 2 GB, counts of rare words 32.
+PLACE_BITS = 31
 
 VOCABULARY = CLASS_SIZE * (CLASSES - 1)
 OUTPUTS = CLASS_SIZE * CLASSES
@@ -439,13 +441,16 @@ def score_encoded(encoded: DataFrame, params: Params, counted: DataFrame, totals
     less[VOCABULARY:] = np.log(totals + UNSEEN)
     docs = encoded.filter("ids IS NOT NULL").select("block", "doc_id", "ids", "rare")
     rare = encoded.filter("word IS NOT NULL").select("block", "at", "word")
-    times = F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)).alias("n")
-    shares = rare.join(counted, "word", "left").select(F.col("block").alias("part"), "at", times)
+    # No word of the corpus has the count 0, so it stands for words without a count.
+    held = F.shiftleft(F.coalesce("n", F.lit(0).cast("long")), PLACE_BITS).bitwiseOR(F.col("at").cast("long"))
+    shares = rare.join(counted, "word", "left").select(F.col("block").alias("part"), held.alias("held"))
 
     def run(left, right):
         found = _decoded(left.column("ids"))
         logs = np.zeros(right.num_rows)
-        logs[right.column("at").to_numpy()] = np.log(right.column("n").to_numpy())
+        held = right.column("held").to_numpy()
+        n = held >> PLACE_BITS
+        logs[held & ((1 << PLACE_BITS) - 1)] = np.log(np.where(n > 0, n, UNSEEN))
         more = [logs[np.frombuffer(x, np.int32)].sum() for x in left.column("rare").to_pylist()]
         return pa.table({
             "doc_id": left.column("doc_id"),

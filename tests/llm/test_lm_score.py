@@ -4,6 +4,8 @@ import random
 import numpy as np
 
 from attesta.llm import lm_score as lm
+from attesta.llm.common import numbered, texts
+from attesta.sources import tables
 
 from .conftest import edge_texts
 
@@ -146,3 +148,27 @@ def test_blocks_do_not_change_scores(docs_of, monkeypatch):
     assert encoded.filter("ids IS NOT NULL").count() == len(rows(40) + edge_texts())
     assert encoded.select("block").distinct().count() > 5
     assert sorted(map(str, lm.score_encoded(encoded, model[1], *model[2:]).collect())) == whole
+
+
+def test_words_go_to_their_blocks_as_one_long(spark):
+    # The rare words of a block meet their counts and come back with eight bytes for count and place.
+    docs = numbered(texts(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")))
+    counted = spark.createDataFrame([(bytearray(b"a"), 1 << 31)], "word binary, n long")
+    vocabulary = lm.Vocabulary()
+    params = lm.fresh_params(np.ones(lm.OUTPUTS))
+    found = lm.score_words(docs, vocabulary, params, counted, np.zeros(lm.CLASS_SIZE))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "AS held" in plan and "AS n#" not in plan
+    rows = {r.doc_id: r for r in found.collect()}
+    ids = np.array([vocabulary[w] for w in (b"a", b"b", b"c")], np.int16)
+    less = np.zeros(lm.OUTPUTS)
+    less[lm.VOCABULARY:] = np.log(lm.UNSEEN)
+    want = lm.log_probs([ids], params, less)[0] + np.log(float(1 << 31)) + 2 * np.log(lm.UNSEEN)
+    assert abs(rows[1].log_prob - want) < 0.01 and rows[1].n_tokens == 3
+    assert (rows[2].n_tokens, rows[2].log_prob, rows[2].mean_log_prob) == (0, 0.0, None)
+
+
+def test_intermediates_are_written_with_zstd(spark):
+    written = tables.materialise(spark.range(3).toDF("x"), "codec")
+    assert written.inputFiles() and all(f.endswith(".zstd.parquet") for f in written.inputFiles())
+    assert sorted(r.x for r in written.collect()) == [0, 1, 2]
