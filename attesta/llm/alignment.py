@@ -37,6 +37,8 @@ BLOCK_DOCS = 1 << 13
 BLOCK_CHARS = 6 << 20
 KEPT_CHUNKS = 1 << 18
 KEPT_LENGTH = 256
+# Encoded pieces take some kilobytes each until their ids are read, so this many are encoded at a time.
+ENCODED = 1 << 12
 DENSE = 16
 # A pair, a document of the block and a number of times share one sorted 63-bit value.
 B_BITS, POS_BITS, TIMES_BITS = 15, 13, 19
@@ -135,7 +137,9 @@ class Chunks:
                             for p, i in zip(own, ids, strict=True) if i is None)
         if new:
             at = dict(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
-            self._add(list(new))
+            added = list(new)
+            for start in range(0, len(added), ENCODED):
+                self._add(added[start : start + ENCODED])
             self.index.update((p, i) for p, i in at.items() if len(p) <= KEPT_LENGTH)
             found = [
                 [at[p] if i is None else i for p, i in zip(own, ids, strict=True)] if None in ids else ids

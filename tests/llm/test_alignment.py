@@ -128,3 +128,18 @@ def test_many_repeats_and_long_texts(spark, pair):
 
 def test_empty_table(no_docs):
     assert align_tokenizers(no_docs).count() == 0
+
+
+def test_new_pieces_are_encoded_a_few_at_a_time(pair, monkeypatch):
+    """A block's new pieces reach the tokenizers in slices, and the slices change no figure."""
+    rng = random.Random(9)
+    block = [" ".join(f"w{rng.randrange(400)}é" for _ in range(60)) for _ in range(20)] + ["", None, "\x1c", "  a\r\nb"]
+    at_once = alignment.Chunks(pair)
+    wanted = alignment.documents_of(at_once.ids(block), list(range(len(block))), at_once)
+    sizes, encode = [], pair.encode
+    monkeypatch.setattr(pair, "encode", lambda chunks: sizes.append(len(chunks)) or encode(chunks))
+    monkeypatch.setattr(alignment, "ENCODED", 64, raising=False)
+    sliced = alignment.Chunks(pair)
+    found = alignment.documents_of(sliced.ids(block), list(range(len(block))), sliced)
+    assert max(sizes) <= 64 < sum(sizes) == len(sliced.groups)
+    assert {k: list(v) for k, v in found.items()} == {k: list(v) for k, v in wanted.items()}
